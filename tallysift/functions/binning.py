@@ -1,0 +1,26 @@
+"""Right-closed binning as a balanced chain of comparisons."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+NO_BIN = -1  # fixed value: bin of missing values
+
+
+def bin_of(value: Column, edges: list[float]) -> Column:
+    """Index of the right-closed interval that holds ``value``; the lowest edge belongs to bin 0.
+
+    Missing values, and every value when fewer than two edges exist, fall into bin -1.
+    """
+    if len(edges) < 2:
+        return F.lit(NO_BIN)
+    inner = edges[1:-1]
+    return F.when(value.isNull(), NO_BIN).otherwise(_descend(value, inner, 0, len(inner)))
+
+
+def _descend(value: Column, inner: list[float], low: int, high: int) -> Column:
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value <= F.lit(inner[middle]), _descend(value, inner, low, middle)).otherwise(
+        _descend(value, inner, middle + 1, high)
+    )
