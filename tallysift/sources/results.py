@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tallysift.sources import schemas as S
 
@@ -18,29 +19,36 @@ def scan_predictions(spark: SparkSession, experiment_dir: str) -> DataFrame:
 
 
 def scan_run_records(spark: SparkSession, experiment_dir: str) -> DataFrame:
-    """Run records of all tasks of one experiment in one multi-file read."""
-    return read_run_records(spark, f"{experiment_dir}/tasks/task_*/{S.RUN_RECORDS_FILE}")
+    """Run records of all tasks of one experiment; a task folder's number offsets its runs."""
+    found = read_run_records(spark, f"{experiment_dir}/tasks/task_*/{S.RUN_RECORDS_FILE}")
+    offset = F.regexp_extract("path", "/tasks/task_(\\d+)/", 1).cast("int")
+    return found.withColumn("Run", offset + F.col("Run"))
 
 
 def read_run_records(spark: SparkSession, *paths: str, layout: str = "array") -> DataFrame:
-    """Nested run records; ``layout`` is one JSON ``array`` per file or JSON ``lines``."""
+    """Nested run records with their ``Run`` number and file path.
+
+    Layout ``array``: each file is one JSON array and the position in it numbers the runs from 1.
+    Layout ``lines``: one record per line carrying its own ``Run``, as ``write_run_records`` writes.
+    """
     if layout not in ("array", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
-    parts = []
+    numbered = StructType([StructField("Run", IntegerType())] + S.RUN_RECORD.fields)
+    out = spark.createDataFrame([], numbered).withColumn("path", F.lit(None).cast("string"))
+    path_col = F.col("_metadata.file_path").alias("path")
     for path in paths:
         try:
-            parts.append(
-                spark.read.schema(S.RUN_RECORD).option("multiLine", layout == "array").json(path)
-                .withColumn("path", F.col("_metadata.file_path"))
-            )
+            if layout == "lines":
+                part = spark.read.schema(numbered).json(path).select("*", path_col)
+            else:
+                whole = spark.read.option("wholetext", True).text(path).select("value", path_col)
+                records = F.from_json("value", ArrayType(S.RUN_RECORD))
+                part = whole.select("path", F.posexplode(records).alias("pos", "r")).select(
+                    (F.col("pos") + 1).alias("Run"), "r.*", "path")
+            out = out.unionByName(part)
         except AnalysisException as missing:
             if not _is_missing(missing):
                 raise
-    if not parts:
-        return spark.createDataFrame([], S.RUN_RECORD).withColumn("path", F.lit(None).cast("string"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
     return out
 
 
