@@ -1,11 +1,17 @@
 """Quantile binning and mutual information between columns."""
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tallysift.functions.binning import bin_of
 from tallysift.operators.quantiles import as_number, fit_quantiles
 
+NO_BIN = -1  # fixed value: bin of missing values
+MAX_TASK_CELLS = 32_000_000
+
 
 def fit_bin_edges(
     df: DataFrame, features: list[str], bins: int = 20, method: str = "quantile", **quantile_args
@@ -30,34 +36,101 @@ def fit_bin_edges(
 
 
 def bin_columns(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    """Replace each feature by its bin number."""
-    return df.withColumns({c: bin_of(as_number(c), e) for c, e in edges.items()})
-
+    """Replace each feature by its bin number: right-closed bins, the lowest edge in bin 0.
 
-def mutual_information(binned: DataFrame, columns: list[str]) -> DataFrame:
-    """Mutual information (natural log) of every unordered pair of discrete integer columns.
-
-    One job counts all pairs: each row yields its pair cells, which the map side collapses to
-    at most cells-per-pair rows per task before anything is shuffled. With entropies written
-    over plain counts, I(a,b) = ln N + (S_ab - S_a - S_b) / N where S = sum n ln n, so no
-    marginal has to be joined back to the cells.
+    Missing values, and all values of a feature with fewer than two edges, get bin -1.
     """
-    values = binned.select(F.array(*[F.col(c).cast("int") for c in columns]).alias("v"))
-    first = values.select(F.posexplode("v").alias("i", "a"), "v")
-    pairs = first.select(
-        "i", "a", F.posexplode(F.slice("v", F.col("i") + 1, len(columns))).alias("step", "b")
-    )
-    # step 0 pairs a column with itself: its cells are the column's own histogram
-    cells = pairs.groupBy("i", "step", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    sums = cells.groupBy("i", (F.col("i") + F.col("step")).alias("j")).agg(
-        F.sum(F.col("n") * F.log(F.col("n"))).alias("s"), F.sum("n").alias("rows")
-    )
-    own = sums.filter("i = j")
-    joint = (
-        sums.filter("i < j")
-        .join(own.select("i", F.col("s").alias("s_i")), "i")
-        .join(own.select("j", F.col("s").alias("s_j")), "j")
-    )
+    binned = df.withColumns({c: as_number(c) for c in edges})
+    several = {c: e for c, e in edges.items() if len(e) > 2}
+    if several:
+        # Bucketizer closes buckets on the left; on negated values that is the right
+        negated = binned.withColumns({f"-{c}": -F.col(c) for c in several})
+        binned = Bucketizer(
+            splitsArray=[[-math.inf, *[-v for v in reversed(e[1:-1])], math.inf] for e in several.values()],
+            inputCols=[f"-{c}" for c in several], outputCols=[f"bin {c}" for c in several],
+            handleInvalid="keep",
+        ).transform(negated)
+    place = {
+        c: F.lit(len(e) - 2) - F.col(f"bin {c}").cast("int") if c in several
+        else F.lit(0 if len(e) == 2 else NO_BIN)
+        for c, e in edges.items()
+    }
+    return binned.select([
+        F.when(F.col(c).isNull(), NO_BIN).otherwise(place[c]).alias(c) if c in edges else F.col(c)
+        for c in df.columns
+    ])
+
+
+def pair_cells(binned: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Rows per cell of each pair of integer columns, named by position: (i, j, a, b, n).
+
+    Unfolding every row into its pairs would cost rows x columns^2 rows before aggregation. Each
+    task counts whole Arrow batches into arrays instead and emits the filled cells, at most
+    (bins + 1)^2 per pair; Spark adds them up. When the arrays would outgrow
+    ``MAX_TASK_CELLS`` a task emits after every batch and holds one column's pairs at a time.
+    """
+    limit = MAX_TASK_CELLS
+    partners: dict[int, list[int]] = {}
+    for i, j in pairs:
+        partners.setdefault(i, []).append(j)
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def emit(i, base, tallies):
+            for j, cells in tallies.items():
+                filled = np.flatnonzero(cells)
+                a, b = filled // base, filled % base
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(filled), v, np.int32)) for v in (i, j)]
+                    + [pa.array((v - 1).astype(np.int32)) for v in (a, b)] + [pa.array(cells[filled])],
+                    names=["i", "j", "a", "b", "n"])
+
+        kept, base = {}, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [c.to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in batch.columns]
+            needed = int(max(v.max() for v in values)) + 1
+            if needed > base:
+                for i, tallies in kept.items():
+                    yield from emit(i, base, tallies)
+                kept, base = {}, needed
+            for i, others in partners.items():
+                tallies = kept.pop(i, {})
+                for j in others:
+                    cells = np.bincount(values[i] * base + values[j], minlength=base * base)
+                    tallies[j] = tallies[j] + cells if j in tallies else cells
+                if len(pairs) * base * base > limit:
+                    yield from emit(i, base, tallies)
+                else:
+                    kept[i] = tallies
+        for i, tallies in kept.items():
+            yield from emit(i, base, tallies)
+
+    return binned.select([F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(
+        count, "i int, j int, a int, b int, n long").groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def mutual_information(
+    binned: DataFrame, columns: list[str], pairs: list[tuple[int, int]] | None = None
+) -> DataFrame:
+    """Mutual information (natural log) of pairs of integer columns from -1 up; default: all pairs.
+
+    With entropies written over plain counts, I(a,b) = ln N + (S_ab - S_a - S_b) / N where
+    S = sum n ln n. A column paired with itself has its own histogram as cells, so no marginal
+    is joined back to the cells and one scan serves all pairs.
+    """
+    width = range(len(columns))
+    wanted = pairs if pairs is not None else [(i, j) for i in width for j in width if i < j]
+    alone = [(i, i) for i in sorted({i for pair in wanted for i in pair})]
+    sums = pair_cells(binned, columns, [*wanted, *alone]).groupBy("i", "j").agg(
+        F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("rows"))
+    own = F.max(F.when(F.col("i") == F.col("j"), F.col("s")))
+    joint = sums.select(
+        "*", own.over(Window.partitionBy("i")).alias("s_i"), own.over(Window.partitionBy("j")).alias("s_j"),
+    ).filter("i != j")
     value = F.log("rows") + (F.col("s") - F.col("s_i") - F.col("s_j")) / F.col("rows")
     name = F.lit(columns)
     return joint.select(
@@ -68,26 +141,9 @@ def mutual_information(binned: DataFrame, columns: list[str]) -> DataFrame:
 
 def importance(binned: DataFrame, features: list[str], label: str) -> DataFrame:
     """Mutual information of each binned feature with the label."""
-    cells = (
-        binned.select(
-            F.inline(F.array(*[
-                F.struct(F.lit(c).alias("feature"), F.col(c).cast("int").alias("bin")) for c in features
-            ])),
-            F.col(label).alias("label"),
-        )
-        .groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
-    )
-    weight = lambda n: n * F.log(n)
-    by_bin = cells.groupBy("feature", "bin").agg(
-        F.sum("n").alias("n"), F.sum(weight(F.col("n"))).alias("joint"))
-    bins = by_bin.groupBy("feature").agg(
-        F.sum("n").alias("rows"), F.sum("joint").alias("s_ab"), F.sum(weight(F.col("n"))).alias("s_a"))
-    labels = (
-        cells.groupBy("feature", "label").agg(F.sum("n").alias("n"))
-        .groupBy("feature").agg(F.sum(weight(F.col("n"))).alias("s_b"))
-    )
-    value = F.log("rows") + (F.col("s_ab") - F.col("s_a") - F.col("s_b")) / F.col("rows")
-    return bins.join(labels, "feature").select("feature", F.greatest(F.lit(0.0), value).alias("mi"))
+    last = len(features)
+    found = mutual_information(binned, [*features, label], [(i, last) for i in range(last)])
+    return found.select(F.col("f1").alias("feature"), "mi")
 
 
 def redundancy(binned: DataFrame, features: list[str]) -> DataFrame:

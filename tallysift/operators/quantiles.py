@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BINS = 4096
+
 
 @dataclass(frozen=True)
 class ColumnStats:
@@ -24,43 +26,37 @@ def as_number(name: str) -> Column:
 
 
 def fit_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    single_pass_rows: int = 2_000_000,
-    bins: int = 4096,
-    approx: bool = False,
-    accuracy: int = 100_000,
+    df: DataFrame, columns: list[str], probs: list[float], approx: bool = False,
+    bins: int = BINS, accuracy: int = 100_000,
 ) -> dict[str, ColumnStats]:
     """Quantiles with linear interpolation between neighbours.
 
-    Spark's ``percentile`` keeps every distinct value of a column in one buffer, so it is used
-    up to ``single_pass_rows`` rows only. Beyond that the wanted ranks are located by counting
-    equal-width bins between the actual extremes and recursing into the bins that hold them;
-    each pass shuffles at most one row per bin and task. ``approx`` trades exactness for a
-    single sketch pass.
+    Spark's ``percentile`` keeps every distinct value of a column in one buffer. Here the wanted
+    ranks are located by counting equal-width bins between the actual extremes and recursing
+    into the bins that hold a rank (two or three passes in practice). A pass shuffles at most
+    one row per bin and task, whatever the table size. ``approx`` trades exactness for a single
+    sketch pass.
     """
+    sketch = approx and bool(probs)
     head = df.agg(*[
         agg for i, c in enumerate(columns) for agg in (
             F.count(as_number(c)).alias(f"n{i}"),
             F.min(as_number(c)).alias(f"a{i}"),
             F.max(as_number(c)).alias(f"b{i}"),
+            *([F.percentile_approx(as_number(c), probs, accuracy).alias(f"q{i}")] if sketch else []),
         )
     ]).first()
     basics = {c: (head[f"n{i}"], head[f"a{i}"], head[f"b{i}"]) for i, c in enumerate(columns)}
     for c, (n, low, high) in basics.items():
         if n and (math.isinf(low) or math.isinf(high)):
             raise ValueError(f"column {c!r} holds infinite values")
-    filled = [c for c in columns if basics[c][0]]
-    if not probs or not filled:
-        values = {c: () for c in filled}
-    elif approx or max(basics[c][0] for c in filled) <= single_pass_rows:
-        kind = (lambda v: F.percentile_approx(v, probs, accuracy)) if approx else (
-            lambda v: F.percentile(v, probs))
-        row = df.agg(*[kind(as_number(c)).alias(f"q{i}") for i, c in enumerate(filled)]).first()
-        values = {c: tuple(row[f"q{i}"]) for i, c in enumerate(filled)}
+    filled = {c: b for c, b in basics.items() if b[0]}
+    if sketch:
+        values = {c: tuple(head[f"q{i}"]) for i, c in enumerate(columns) if c in filled}
+    elif probs and filled:
+        values = _by_counting(df, filled, probs, bins)
     else:
-        values = _by_counting(df, {c: basics[c] for c in filled}, probs, bins)
+        values = {}
     return {c: ColumnStats(*basics[c], values.get(c, ())) for c in columns}
 
 
@@ -77,16 +73,7 @@ def _by_counting(df, basics, probs, bins):
             spans[c] = [(low, high, 0, rest)]
     while spans:
         flat = [(c, *span) for c, parts in spans.items() for span in parts]
-        number = {(c, low): i for i, (c, low, *_) in enumerate(flat)}
-        per_row = F.array(*[
-            _locate(as_number(c), [(number[c, lo], lo, hi) for lo, hi, *_ in parts], bins)
-            for c, parts in spans.items()
-        ])
-        counted = (
-            df.select(F.explode(per_row).alias("s")).filter("s is not null")
-            .groupBy(F.col("s.span").alias("span"), F.col("s.bin").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("s.value").alias("lo"), F.max("s.value").alias("hi"))
-        )
+        counted = _count_bins(df, {c: [(lo, hi) for lo, hi, *_ in parts] for c, parts in spans.items()}, bins)
         upto = Window.partitionBy("span").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         wanted = df.sparkSession.createDataFrame(
             [(i, r - below) for i, (_, _, _, below, ranks) in enumerate(flat) for r in ranks],
@@ -117,20 +104,44 @@ def _by_counting(df, basics, probs, bins):
     return {c: tuple(_between(known, c, p, n) for p in probs) for c, (n, _, _) in basics.items()}
 
 
-def _locate(value: Column, spans, bins: int) -> Column:
-    """Span and bin of a value through a balanced chain of comparisons; null outside all spans."""
-    if len(spans) == 1:
-        span, lo, hi = spans[0]
-        half = 0.5 if math.isinf(hi - lo) else 1.0
-        share = (value * half - lo * half) / F.lit(hi * half - lo * half)
-        place = F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))
-        return F.when(
-            (value >= lo) & (value <= hi),
-            F.struct(F.lit(span).alias("span"), place.alias("bin"), value.alias("value")),
-        )
-    middle = len(spans) // 2
-    left, right = _locate(value, spans[:middle], bins), _locate(value, spans[middle:], bins)
-    return F.when(value <= spans[middle - 1][2], left).otherwise(right)
+def _count_bins(df: DataFrame, spans: dict[str, list[tuple[float, float]]], bins: int) -> DataFrame:
+    """Rows, minimum and maximum per bin of each span; spans are numbered in order of columns.
+
+    Each task counts its Arrow batches into one array per column and emits the filled bins;
+    Spark adds them up. The spans of a column are disjoint and sorted.
+    """
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tallies, first = [], 0
+        for parts in spans.values():
+            low, high = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
+            size = len(parts) * bins
+            tallies.append((first, low, high, np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)))
+            first += len(parts)
+        for batch in batches:
+            for column, (_, low, high, n, least, most) in zip(batch.columns, tallies):
+                values = column.drop_null().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(high, values), len(high) - 1)
+                inside = (values >= low[at]) & (values <= high[at])
+                values, at = values[inside], at[inside]
+                # halves, so that the distance between extremes cannot overflow
+                share = (values / 2 - low[at] / 2) / (high[at] / 2 - low[at] / 2)
+                place = at * bins + np.minimum((share * bins).astype(np.int64), bins - 1)
+                n += np.bincount(place, minlength=len(n))
+                np.minimum.at(least, place, values)
+                np.maximum.at(most, place, values)
+        for first, _, _, n, least, most in tallies:
+            filled = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((first + filled // bins).astype(np.int32)), pa.array((filled % bins).astype(np.int32)),
+                 pa.array(n[filled]), pa.array(least[filled]), pa.array(most[filled])],
+                names=["span", "bin", "n", "lo", "hi"])
+
+    numbers = df.select(*[as_number(c).alias(f"c{i}") for i, c in enumerate(spans)])
+    return numbers.mapInArrow(count, "span int, bin int, n long, lo double, hi double").groupBy("span", "bin").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _neighbours(p: float, n: int) -> tuple[int, int]:
