@@ -20,7 +20,7 @@ ACCURACY = "CAST(tn + tp AS DOUBLE) / (tn + fp + fn + tp)"
 
 
 def ranked(spark, sf):
-    return roc.ranked_scores(X.predictions(spark, sf))
+    return roc.fit_ranked_scores(X.predictions(spark, sf))
 
 
 def predicted(spark, sf):
@@ -119,7 +119,7 @@ SELECT 'events' AS model, c.run, {METRICS}, {r9('a.roc_auc')} AS "ROC-AUC" FROM
 JOIN averages m ON c.run = m.run AND m.key = 'macro avg' JOIN auc a ON c.run = a.run""")
 def g9(spark, sf):
     rows = predicted(spark, sf).withColumn("model", F.lit("events"))
-    return rounded(reports.binary_metrics(rows, score="prob"), "Accuracy", "Precision", "Recall", "F1", "ROC-AUC")
+    return rounded(reports.fit_binary_metrics(rows, score="prob"), "Accuracy", "Precision", "Recall", "F1", "ROC-AUC")
 
 
 @query("g9_metrics_without_score", f"""WITH {AVERAGES}
@@ -127,7 +127,7 @@ SELECT 'events' AS model, c.run, {METRICS}, CAST('nan' AS DOUBLE) AS "ROC-AUC" F
 JOIN averages m ON c.run = m.run AND m.key = 'macro avg'""")
 def g9_plain(spark, sf):
     rows = predicted(spark, sf).withColumn("model", F.lit("events"))
-    return rounded(reports.binary_metrics(rows), "Accuracy", "Precision", "Recall", "F1")
+    return rounded(reports.fit_binary_metrics(rows), "Accuracy", "Precision", "Recall", "F1")
 
 
 CELLS = f"""{PREDICTED}, grid AS (SELECT r.run, t.v AS true_label, q.v AS predicted_label
@@ -166,7 +166,7 @@ def g11(spark, sf):
 @query("g12_pooled_auc", f"""WITH {X.PREDICTIONS}, {X.auc_sql('predictions', keys='')}
 SELECT {r9('roc_auc')} AS pooled_auc FROM auc""")
 def g12(spark, sf):
-    return rounded(roc.pooled_auc(X.predictions(spark, sf)), "pooled_auc")
+    return rounded(roc.fit_pooled_auc(X.predictions(spark, sf)), "pooled_auc")
 
 
 SPLIT = "CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END"

@@ -23,7 +23,7 @@ def event_metrics(spark, sf, model, offset=0):
     rows = predicted(spark, sf).withColumn("model", F.lit(model))
     if offset:
         rows = rows.filter(F.col("run") > offset)
-    return reports.binary_metrics(rows, score="prob")
+    return reports.fit_binary_metrics(rows, score="prob")
 
 
 @query("i1_merge_history", f"WITH {X.HISTORY} SELECT * FROM history ORDER BY Run, Epoch")

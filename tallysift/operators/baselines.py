@@ -4,12 +4,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysift.session import persist_evenly
+
 NAMES = ("LogReg", "SVM-RBF")  # fixed values: model names in comparison tables
 
 
@@ -21,9 +24,9 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "label", ma
     objective of the summed form.
     """
     vectors = _assembled(train, features).select("vector", F.col(label).cast("double").alias("label"))
-    cached = vectors.persist()
+    cached, rows = persist_evenly(vectors)
     model = LogisticRegression(
-        featuresCol="vector", labelCol="label", regParam=1.0 / cached.count(), elasticNetParam=0.0,
+        featuresCol="vector", labelCol="label", regParam=1.0 / rows, elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=tol,
     ).fit(cached)
     cached.unpersist()
@@ -48,26 +51,27 @@ class KernelModel:
 
 
 def fit_kernel(train: DataFrame, features: list[str], label: str = "label", width: int = 128,
-               seed: int = 0, max_iter: int = 100) -> KernelModel:
+               seed: int = 0, max_iter: int = 40, tol: float = 1e-6) -> KernelModel:
     """RBF support-vector classifier by random Fourier features (Rahimi and Recht 2007).
 
     gamma = 1 / (number of features x variance of all feature values). The kernel matrix, which
     grows with the square of the rows, is never formed. Probabilities come from a logistic fit
     on the decision value (Platt 1999).
     """
-    moments = train.agg(*[
+    columns = train.select(*features, F.col(label).cast("double").alias("label"))
+    moments = columns.agg(*[
         a for c in features for a in (F.avg(c).alias(f"m_{c}"), F.avg(F.col(c) * F.col(c)).alias(f"s_{c}"))
-    ], F.count(F.lit(1)).alias("rows")).first()
+    ]).first()
     mean = sum(moments[f"m_{c}"] for c in features) / len(features)
     variance = sum(moments[f"s_{c}"] for c in features) / len(features) - mean * mean
     gamma = 1.0 / (len(features) * variance) if variance > 0 else 1.0
     rng = np.random.default_rng(seed)
     frequencies = rng.normal(0.0, math.sqrt(2 * gamma), (width, len(features))).tolist()
     phases = rng.uniform(0.0, 2 * math.pi, width).tolist()
-    lifted = _lifted(train, features, frequencies, phases).select(
-        "vector", F.col(label).cast("double").alias("label")).persist()
+    spread, rows = persist_evenly(columns)
+    lifted = _lifted(spread, features, frequencies, phases).select("vector", "label").persist()
     separator = LinearSVC(
-        featuresCol="vector", labelCol="label", regParam=1.0 / moments["rows"], maxIter=max_iter,
+        featuresCol="vector", labelCol="label", regParam=1.0 / rows, maxIter=max_iter, tol=tol,
         standardization=False,
     ).fit(lifted)
     margins = separator.transform(lifted).select(
@@ -75,6 +79,7 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     platt = LogisticRegression(featuresCol="vector", labelCol="label", maxIter=100).fit(
         _assembled(margins, ["margin"]))
     lifted.unpersist()
+    spread.unpersist()
     return KernelModel(
         tuple(map(tuple, frequencies)), tuple(phases), separator,
         (float(platt.coefficients[0]), float(platt.intercept)),
@@ -98,14 +103,15 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _lifted(df: DataFrame, features, frequencies, phases) -> DataFrame:
-    """cos(w.x + b) * sqrt(2 / width) for each random frequency, as one array expression."""
-    from pyspark.ml.functions import array_to_vector
-
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    waves = "array(" + ", ".join(
-        "named_struct('w', array(" + ", ".join(f"{v!r}D" for v in w) + f"), 'b', {b!r}D)"
-        for w, b in zip(frequencies, phases)) + ")"
-    norm = math.sqrt(2.0 / len(phases))
-    dot = lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
-    lifted = F.transform(F.expr(waves), lambda f: F.cos(dot(f["w"]) + f["b"]) * F.lit(norm))
-    return df.withColumn("vector", array_to_vector(lifted))
+    """cos(w.x + b) * sqrt(2 / width) for every random frequency, one matrix product per Arrow batch."""
+    scale = math.sqrt(2.0 / len(phases))
+
+    @F.arrow_udf("array<double>")
+    def waves(*columns: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        out = scale * np.cos(x @ np.array(frequencies).T + np.array(phases))
+        offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, out.ravel())
+
+    inputs = [F.col(c).cast("double") for c in features]
+    return df.withColumn("vector", array_to_vector(waves(*inputs)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.operators.roc import NAN, RUN, ranked_scores, roc_auc
+from tallysift.operators.roc import NAN, RUN, fit_ranked_scores, roc_auc
 from tallysift.sources.schemas import AVERAGE_KEYS, CLASS_KEYS, METRIC_ORDER
 
 CELLS = ("tn", "fp", "fn", "tp")
@@ -64,7 +64,7 @@ def evaluation_record(counts: DataFrame, keys: tuple[str, ...] = RUN,
     )
 
 
-def binary_metrics(
+def fit_binary_metrics(
     predictions: DataFrame, keys: tuple[str, ...] = ("model", "run"), label: str = "label",
     predicted: str = "predicted", score: str | None = None,
 ) -> DataFrame:
@@ -76,7 +76,7 @@ def binary_metrics(
     if score is None:
         scored = counts.withColumn("roc_auc", F.lit(NAN))
     else:
-        area = roc_auc(ranked_scores(predictions, keys, label, score), keys)
+        area = roc_auc(fit_ranked_scores(predictions, keys, label, score), keys)
         scored = counts.join(area, list(keys))
     return macro_metrics(scored, keys)
 

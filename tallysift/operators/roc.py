@@ -8,7 +8,7 @@ score; decisions between points compare exact integers.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.operators.running import BUCKETS, running_totals
+from tallysift.operators.running import fit_cuts, running_totals
 
 RUN = ("run",)
 NAN = float("nan")
@@ -25,14 +25,18 @@ def score_groups(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
 
 
-def ranked_scores(
+def fit_ranked_scores(
     predictions: DataFrame, keys: tuple[str, ...] = RUN, label: str = "label", score: str = "prob",
-    buckets: int = BUCKETS,
+    **cut_args,
 ) -> DataFrame:
-    """Score groups with the counts at or above each score (``tp``, ``fp``) and the class totals."""
-    scores = predictions.select(*keys, F.col(score).cast("double").alias("threshold"))
-    ranked = running_totals(
-        score_groups(predictions, keys, label, score), keys, "threshold", ("pos", "neg"), scores, buckets)
+    """Score groups with the counts at or above each score (``tp``, ``fp``) and the class totals.
+
+    The collapsed groups are persisted and probed once for their size; cut points, range sums and
+    every result derived from this table read them without another pass over the predictions.
+    """
+    groups = score_groups(predictions, keys, label, score).persist()
+    cuts = fit_cuts(groups, keys, "threshold", **cut_args)
+    ranked = running_totals(groups, keys, "threshold", ("pos", "neg"), cuts)
     return ranked.select(
         *keys, "threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"),
@@ -116,9 +120,9 @@ def roc_auc(ranked: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
     ).select(*keys, _auc().alias("roc_auc"))
 
 
-def pooled_auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
+def fit_pooled_auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
     """One AUC over the predictions of all runs together."""
-    return roc_auc(ranked_scores(predictions, (), label, score), ()).withColumnRenamed(
+    return roc_auc(fit_ranked_scores(predictions, (), label, score), ()).withColumnRenamed(
         "roc_auc", "pooled_auc")
 
 

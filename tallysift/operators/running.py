@@ -1,40 +1,60 @@
-"""Running sums over an ordered column without gathering a group in one task."""
+"""Running sums over an ordered column without gathering a large group in one task."""
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS = 256
 PROBE_SHARE = 1000
+PROBED_ROWS = 1000
+
+
+def fit_cuts(
+    groups: DataFrame, keys: tuple[str, ...], order: str, buckets: int = BUCKETS,
+    probe_share: int = PROBE_SHARE, probed_rows: int = PROBED_ROWS,
+) -> list[float]:
+    """Cut points that part ``groups`` into about equally large ranges of ``order``.
+
+    Looks at one row in ``probe_share``, picked by hash. No cuts are given while fewer than
+    ``probed_rows`` of them turn up, that is below about a million rows.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    probed = groups.filter(F.pmod(F.xxhash64(*keys, order), F.lit(probe_share)) == 0)
+    row = probed.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.expr(f"percentile_approx(`{order}`, array({', '.join(f'{s}D' for s in shares)}), {10 * buckets})").alias("cuts"),
+    ).first()
+    return sorted(set(row["cuts"])) if row["rows"] >= probed_rows else []
 
 
 def running_totals(
-    groups: DataFrame, keys: tuple[str, ...], order: str, values: tuple[str, ...],
-    probe: DataFrame | None = None, buckets: int = BUCKETS, probe_share: int = PROBE_SHARE,
+    groups: DataFrame, keys: tuple[str, ...], order: str, values: tuple[str, ...], cuts: list[float]
 ) -> DataFrame:
     """Add ``cum_<v>`` (running sum, ``order`` descending) and ``all_<v>`` (total) per key group.
 
-    ``groups`` holds one row per key and order value. The order range is cut into buckets of
-    about equally many such rows, however they are spread over keys. Buckets are summed and
-    offset against each other on a table of at most ``buckets`` rows per key; only rows inside
-    one bucket are sorted together. The cuts come from one in ``probe_share`` of the distinct
-    values of ``probe`` (default: ``groups``); they decide the balance, never the result, and
-    where the probe finds nothing the table is small enough for a single bucket.
+    Without cuts a key group is sorted as a whole. With cuts, the ranges are summed and offset
+    against each other on a table of one row per key and range, and only rows of one key and
+    range are sorted together. The cuts decide the balance, never the result.
     """
-    if buckets & (buckets - 1):
-        raise ValueError("buckets must be a power of two")
-    source = groups if probe is None else probe
-    cuts = _cuts(source, keys, order, buckets, probe_share)
-    bucketed = groups.withColumn("cuts", cuts).withColumn("bucket", _bucket(order, buckets)).drop("cuts")
+    if not cuts:
+        above = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return groups.select(
+            "*", *[F.sum(v).over(above).alias(f"cum_{v}") for v in values],
+            *[F.sum(v).over(Window.partitionBy(*keys)).alias(f"all_{v}") for v in values])
+    bucketed = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol=order, outputCol="bucket").transform(groups)
     parts = [*keys, "bucket"]
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     offsets = (
         bucketed.groupBy(*parts).agg(*[F.sum(v).alias(v) for v in values])
         .select(
             *parts,
             *[F.coalesce(F.sum(v).over(above), F.lit(0)).alias(f"before_{v}") for v in values],
-            *[F.sum(v).over(whole).alias(f"all_{v}") for v in values],
+            *[F.sum(v).over(Window.partitionBy(*keys)).alias(f"all_{v}") for v in values],
         )
     )
     inside = (Window.partitionBy(*parts).orderBy(F.desc(order))
@@ -44,27 +64,3 @@ def running_totals(
         *[(F.col(f"before_{v}") + F.sum(v).over(inside)).alias(f"cum_{v}") for v in values],
         *[F.col(f"all_{v}") for v in values],
     )
-
-
-def _cuts(source: DataFrame, keys, order: str, buckets: int, probe_share: int) -> Column:
-    """Approximate quantiles of the distinct order values as one scalar subquery.
-
-    The hash filter runs before the distinct, so the extra pass reads two columns and
-    shuffles a thousandth of them.
-    """
-    shares = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    distinct = source.select(*keys, order).filter(
-        F.pmod(F.xxhash64(*keys, order), F.lit(probe_share)) == 0).distinct()
-    sketch = F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * buckets})")
-    return distinct.agg(sketch.alias("cuts")).scalar()
-
-
-def _bucket(order: str, buckets: int) -> Column:
-    """Number of cuts below the value, by binary search."""
-    steps = [buckets >> i for i in range(1, buckets.bit_length())]
-    place = F.aggregate(
-        F.lit(steps), F.lit(0),
-        lambda at, step: at + F.when(F.get("cuts", at + step - 1) < F.col(order), step).otherwise(0),
-    )
-    # never null, so that the join on it adds no filter below the aggregation by score
-    return F.coalesce(place, F.lit(0))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tallysift.operators.scoring import Score, candidate_scores
+from tallysift.session import persist_evenly
 from tallysift.sources.schemas import HISTORY
 
 BOUND = math.pi  # fixed value: parameters start in, and stay within, [-pi, pi]
@@ -45,7 +46,7 @@ def fit_population(
     if method == "DE" and population < 4:
         raise ValueError("differential evolution needs a population of at least 4")
     size = dimensions or len(features)
-    cached = samples.select(*features, label).persist()
+    cached, _ = persist_evenly(samples.select(*features, label))
     swarm = _Swarm if method == "PSO" else _Evolution
     searches = {r: swarm(np.random.default_rng(base_seed + r - 1), population, size)
                 for r in range(1, runs + 1)}

@@ -18,7 +18,7 @@ def fit_baseline_metrics(
             baselines.fit_kernel(train, features, label, seed=seed), test, features, (label,))),
     ]
     tagged = [df.withColumns({"model": F.lit(name), "run": F.lit(1)}) for name, df in scored]
-    return reports.binary_metrics(tagged[0].unionByName(tagged[1]), label=label, score="prob")
+    return reports.fit_binary_metrics(tagged[0].unionByName(tagged[1]), label=label, score="prob")
 
 
 def compare_models(run_records: DataFrame, *others: DataFrame, model: str = "VQC") -> tuple[DataFrame, DataFrame]:

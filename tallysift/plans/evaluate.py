@@ -21,7 +21,7 @@ def evaluate_counts(
 
 def evaluate_predictions(predictions: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
     """The same from labelled probabilities (run, label, prob)."""
-    ranked = roc.ranked_scores(predictions)
+    ranked = roc.fit_ranked_scores(predictions)
     if thresholds is None:
         return reports.evaluation_record(roc.calibrated(ranked))
     fixed = roc.at_threshold(ranked, broadcast_if_small(thresholds))
@@ -30,7 +30,7 @@ def evaluate_predictions(predictions: DataFrame, thresholds: DataFrame | None =
 
 def calibrate_and_test(train: DataFrame, test: DataFrame) -> DataFrame:
     """Calibrate on training predictions, evaluate held-out predictions at those thresholds."""
-    return evaluate_predictions(test, roc.youden_threshold(roc.ranked_scores(train)))
+    return evaluate_predictions(test, roc.youden_threshold(roc.fit_ranked_scores(train)))
 
 
 def predicted_labels(predictions: DataFrame, thresholds: DataFrame, source: str = "youden_calibrated") -> DataFrame:

@@ -31,14 +31,14 @@ def experiment_tables(history: DataFrame, predictions: DataFrame) -> ExperimentT
     """Curves, losses, confusion and ROC tables from history and prediction rows."""
     keys = ("Run",)
     counts = reports.confusion(predictions, keys, "True_Label", "Predicted_Label")
-    ranked = roc.ranked_scores(predictions, keys, "True_Label", "Prob_1")
+    ranked = roc.fit_ranked_scores(predictions, keys, "True_Label", "Prob_1")
     return ExperimentTables(
         curves.learning_curve(history, ["fitness", "mean_best"]),
         curves.final_loss_distribution(history),
         reports.confusion_summary(counts, keys),
         roc.roc_auc(ranked, keys),
         roc.mean_roc(ranked, keys),
-        roc.pooled_auc(predictions, "True_Label", "Prob_1"),
+        roc.fit_pooled_auc(predictions, "True_Label", "Prob_1"),
     )
 
 

@@ -49,3 +49,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if small.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(small)
     return small
+
+
+def persist_evenly(df: DataFrame, max_rows: int = 10_000_000) -> tuple[DataFrame, int]:
+    """Persist a table that an iterative fit scans again and again; returns it with its row count.
+
+    Only a small table is redistributed, which may sit in fewer partitions than there are cores;
+    a large one keeps the partitions of its scan.
+    """
+    rows = df.count()
+    if rows <= max_rows:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.persist(), rows
