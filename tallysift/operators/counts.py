@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallysift.functions.readout import is_hit, log_likelihood
 
 SAMPLE = ("run", "sample_id")
+BROADCAST_LABELS = 100_000
 
 
 def explode_counts(histograms: DataFrame, counts: str = "counts") -> DataFrame:
@@ -66,6 +67,9 @@ def batch_log_likelihood(
     number p modulo ``size`` (column ``idx`` of ``labels``).
     """
     probs = measured_probs(counts, readout, ("pos",)).withColumn("idx", F.pmod("pos", F.lit(size)))
-    return probs.join(labels.select("idx", "label"), "idx").select(
+    known = labels.select("idx", "label")
+    if size <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    return probs.join(known, "idx").select(
         "pos", "idx", "prob", log_likelihood(F.col("label"), F.col("prob")).alias("loglik")
     )

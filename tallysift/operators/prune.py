@@ -156,7 +156,7 @@ def _fit_classes(df: DataFrame, estimates: dict[str, int], max_classes: int) ->
         ])
         values = (
             df.select(F.explode(per_row).alias("v")).select("v.feature", "v.cls")
-            .filter(F.col("cls").isNotNull()).distinct()
+            .filter(F.col("cls").isNotNull()).distinct().persist()
         )
         counted = values.groupBy("feature").agg(F.count("cls").alias("n")).collect()
         small = [r["feature"] for r in counted if r["n"] <= max_classes and residues[r["feature"]] == 1]
@@ -164,6 +164,7 @@ def _fit_classes(df: DataFrame, estimates: dict[str, int], max_classes: int) ->
         if small:
             for r in values.filter(F.col("feature").isin(small)).collect():
                 found.setdefault(r["feature"], []).append(r["cls"])
+        values.unpersist()
         residues = {
             c: 1 for c in residues if c not in small and c not in many and residues[c] > 1
         }

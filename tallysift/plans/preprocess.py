@@ -17,6 +17,12 @@ class Prepared:
     pruning: prune.PruneModel
     scaling: scale.ScaleModel
     cut: split.StrataCut | None
+    persisted: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the cached rows behind ``table``; they are recomputed if it is read again."""
+        if self.persisted is not None:
+            self.persisted.unpersist()
 
     @property
     def train(self) -> DataFrame:
@@ -38,6 +44,7 @@ def prepare(
     max_samples: int | None = None,
     fit_scope: str | None = None,
     approx: bool = False,
+    persist: bool = True,
 ) -> Prepared:
     """Prune, encode, split, impute and scale.
 
@@ -45,6 +52,10 @@ def prepare(
     row ``keys`` deciding membership. ``fit_scope`` says which rows pruning and encoding learn
     from: by default ``train`` for a table that comes split and ``all`` for one that does not.
     Medians and extremes are learned from training rows in either case.
+
+    The pruned and encoded rows (numbers only) are persisted unless ``persist`` is off: splitting,
+    scaling and everything fitted on the result scan them again, which would otherwise reread and
+    reparse the source each time.
     """
     scope = fit_scope or ("train" if split_col else "all")
     if scope not in ("train", "all"):
@@ -61,13 +72,17 @@ def prepare(
     reference = labelled.filter(F.col("split") == "train") if scope == "train" else labelled
     pruning = prune.fit_prune(reference, target, exclude=passive)
     encoded = prune.encode(prune.drop_pruned(labelled, pruning), pruning)
+    encoded = encoded.select(*[c for c in dict.fromkeys([*passive, target, *pruning.features]) if c in encoded.columns])
+    if persist:
+        encoded = encoded.persist()
+    persisted = encoded if persist else None
     if not split_col and scope == "all":
         encoded, cut = _split(encoded, target, keys, seed, test_size, max_samples)
     aligned = prune.align(encoded, list(pruning.features), keep=(*keys, "split", target))
     scaling = scale.fit_scale(
         aligned.filter(F.col("split") == "train"), list(pruning.features), approx=approx)
     scaled = prune.label_as_float(scale.impute_and_scale(aligned, scaling), target)
-    return Prepared(scaled, scaling.features, pruning, scaling, cut)
+    return Prepared(scaled, scaling.features, pruning, scaling, cut, persisted)
 
 
 def _split(df, target, keys, seed, test_size, max_samples):
