@@ -149,22 +149,19 @@ def i13(spark, sf):
     return rounded(records.summarise_reports(stored, by=("experiment",)), "mean", "std")
 
 
-@query("i14_history_rows", f"""WITH points AS (SELECT CAST(user_id % 5 AS INT) AS run_idx, event_id, value,
-    CASE WHEN event_type IN ('view', 'click') THEN 'loss' ELSE 'unused' END AS metric, event_id % 2 AS odd,
-    ROW_NUMBER() OVER (PARTITION BY user_id, CASE WHEN event_type IN ('view', 'click') THEN 'loss' ELSE 'unused' END, event_id % 2
-      ORDER BY event_id) AS epoch FROM events)
-SELECT run_idx + 1 AS "Run", CAST(epoch AS INT) AS "Epoch", metric AS "Metric", value AS "Value",
-  CASE WHEN odd = 1 THEN 'validation' ELSE 'training' END AS part FROM points WHERE metric = 'loss'""")
+@query("i14_history_rows", f"""WITH {X.HISTORY} SELECT Run AS "Run",
+  CAST(ROW_NUMBER() OVER (PARTITION BY Run, Metric ORDER BY Epoch) AS INT) AS "Epoch", 'fitness' AS "Metric", Value AS "Value",
+  CASE WHEN Metric = 'mean_best' THEN 'validation' ELSE 'training' END AS part FROM history WHERE Metric <> 'final_loss'""")
 def i14(spark, sf):
-    """One history map per user: odd events form the validation series, even ones the training series."""
-    name = F.concat(F.when(F.col("event_id") % 2 == 1, "val_").otherwise(""),
-                    F.when(F.col("event_type").isin("view", "click"), "loss").otherwise("unused"))
-    series = X.table(spark, sf, "events").groupBy("user_id", name.alias("name")).agg(
-        F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("points"))
-    maps = series.groupBy("user_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("name", F.col("points.value").alias("values")))).alias("history"))
-    return curves.history_rows(
-        maps.select((F.col("user_id") % 5).cast("int").alias("run_idx"), "history"), ["loss"])
+    """One history map per run: mean_best plays the validation series, final_loss is not asked for."""
+    name = F.when(F.col("Metric") == "mean_best", "val_fitness").otherwise(
+        F.when(F.col("Metric") == "fitness", "fitness").otherwise("closing"))
+    # epochs are days of a month: a series holds 31 values at most
+    series = X.history(spark, sf).groupBy("Run", name.alias("name")).agg(
+        F.sort_array(F.collect_list(F.struct("Epoch", "Value"))).alias("points"))
+    maps = series.groupBy("Run").agg(F.map_from_entries(F.collect_list(
+        F.struct("name", F.col("points.Value").alias("values")))).alias("history"))
+    return curves.history_rows(maps.select((F.col("Run") - 1).alias("run_idx"), "history"), ["fitness"])
 
 
 @query("i15_training_summary", f"""WITH {X.HISTORY} SELECT Run, arg_min(Value, Epoch) AS first, arg_max(Value, Epoch) AS last,

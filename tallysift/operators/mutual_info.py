@@ -11,6 +11,7 @@ from tallysift.operators.quantiles import as_number, fit_quantiles
 
 NO_BIN = -1  # fixed value: bin of missing values
 MAX_TASK_CELLS = 32_000_000
+MAX_VALUE = 2048
 
 
 def fit_bin_edges(
@@ -69,7 +70,7 @@ def pair_cells(binned: DataFrame, columns: list[str], pairs: list[tuple[int, int
     (bins + 1)^2 per pair; Spark adds them up. When the arrays would outgrow
     ``MAX_TASK_CELLS`` a task emits after every batch and holds one column's pairs at a time.
     """
-    limit = MAX_TASK_CELLS
+    limit, highest = MAX_TASK_CELLS, MAX_VALUE
     partners: dict[int, list[int]] = {}
     for i, j in pairs:
         partners.setdefault(i, []).append(j)
@@ -93,6 +94,8 @@ def pair_cells(binned: DataFrame, columns: list[str], pairs: list[tuple[int, int
                 continue
             values = [c.to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in batch.columns]
             needed = int(max(v.max() for v in values)) + 1
+            if needed > highest + 2 or min(v.min() for v in values) < 0:
+                raise ValueError(f"columns must hold integers from -1 to {highest}; bin them first")
             if needed > base:
                 for i, tallies in kept.items():
                     yield from emit(i, base, tallies)

@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallysift.operators.quantiles import as_number
+
 MISSING_CLASS = "nan"  # fixed value: how a missing category is spelled before ranking
 MAX_CLASSES = 30  # fixed value: text columns with more distinct values are dropped
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
-    """Keep the rows that have a label."""
-    return df.filter(F.col(target).isNotNull())
+    """Keep the rows that have a label; NaN is none."""
+    return df.filter(_present(df, target))
 
 
 def null_target_counts(df: DataFrame, target: str, split_col: str | None = None) -> DataFrame:
     """How many rows a missing label removes, per split."""
     split = F.col(split_col) if split_col else F.lit("full")
     return df.groupBy(split.alias("split")).agg(
-        F.count_if(F.col(target).isNull()).alias("dropped"),
-        F.count(target).alias("kept"),
+        F.count_if(~_present(df, target)).alias("dropped"),
+        F.count_if(_present(df, target)).alias("kept"),
     )
 
 
@@ -64,7 +66,7 @@ def fit_prune(
     """
     columns = [c for c in df.columns if c != target and c not in exclude]
     text = [c for c in columns if _is_categorical(df, c)]
-    estimates = [F.approx_count_distinct(_text(c)).alias(f"d{c}") for c in text]
+    estimates = [F.approx_count_distinct(_text(df, c)).alias(f"d{c}") for c in text]
     row = df.agg(*_profile_aggregates(df, columns), *estimates).first()
     empty = [c for i, c in enumerate(columns) if row[f"n{i}"] == 0]
     constant = [c for i, c in enumerate(columns) if row[f"k{i}"]]
@@ -102,7 +104,7 @@ def encoder_table(spark: SparkSession, model: PruneModel) -> DataFrame:
 def encode(df: DataFrame, model: PruneModel) -> DataFrame:
     """Replace classes by their index, classes the fit never saw by -1, without a join."""
     return df.withColumns({
-        c: (F.array_position(F.lit(values), F.coalesce(_text(c), F.lit(MISSING_CLASS))) - 1).cast("int")
+        c: (F.array_position(F.lit(values), F.coalesce(_text(df, c), F.lit(MISSING_CLASS))) - 1).cast("int")
         for c, values in model.classes.items() if c in df.columns
     })
 
@@ -132,7 +134,7 @@ def project(df: DataFrame, features: list[str], keep: tuple[str, ...] = ("label"
 def _profile_aggregates(df: DataFrame, columns: list[str]) -> list[Column]:
     out = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
-        v = _text(c) if _is_categorical(df, c) else _number(c)
+        v = _text(df, c) if _is_categorical(df, c) else as_number(c)
         out += [F.count(v).alias(f"n{i}"), (F.min(v) == F.max(v)).alias(f"k{i}")]
     return out
 
@@ -149,8 +151,8 @@ def _fit_classes(df: DataFrame, estimates: dict[str, int], max_classes: int) ->
     while residues:
         per_row = F.array(*[
             F.when(
-                F.pmod(F.xxhash64(_text(c)), F.lit(m)) == 0 if m > 1 else F.lit(True),
-                F.struct(F.lit(c).alias("feature"), _text(c).alias("cls")),
+                F.pmod(F.xxhash64(_text(df, c)), F.lit(m)) == 0 if m > 1 else F.lit(True),
+                F.struct(F.lit(c).alias("feature"), _text(df, c).alias("cls")),
             )
             for c, m in residues.items()
         ])
@@ -176,9 +178,14 @@ def _is_categorical(df: DataFrame, name: str) -> bool:
     return not isinstance(kind, T.NumericType)
 
 
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
+def _present(df: DataFrame, name: str) -> Column:
+    present = F.col(name).isNotNull()
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        present = present & ~F.isnan(name)
+    return present
 
 
-def _number(name: str) -> Column:
-    return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+def _text(df: DataFrame, name: str) -> Column:
+    text = F.col(name).cast("string")
+    # spelled True and False, which decides their rank beside a missing class
+    return F.initcap(text) if isinstance(df.schema[name].dataType, T.BooleanType) else text

@@ -185,6 +185,53 @@ def test_lists_are_refused_for_large_runs(spark):
         records.attach_lists(stored, predictions, max_rows=4)
 
 
+def test_integer_columns_are_bounded(spark):
+    df = spark.createDataFrame([(0, 5_000_000)], "a int, b int")
+    with pytest.raises(Exception, match="bin them first"):
+        mutual_info.mutual_information(df, ["a", "b"]).collect()
+
+
+def test_finished_experiments(spark):
+    from catalog.reading import write_csv, write_tasks
+    from tallysift.plans import report
+    from tallysift.sources import results, schemas
+
+    root = write_tasks(spark, "/root/testdata/sf0.001")
+    history, predictions, stored = report.merge_tasks(spark, root)
+    assert [r["Run"] for r in stored.orderBy("Run").collect()] == [1, 2, 3, 4, 5]
+    order = [(r["Run"], r["Epoch"]) for r in history.collect()]
+    assert order == sorted(order) and predictions.count() == 1000
+    write_csv(history, f"{root}/{schemas.HISTORY_FILE}")
+    write_csv(predictions, f"{root}/{schemas.PREDICTIONS_FILE}")
+    tables = report.read_experiment(spark, root)
+    cells = tables.confusion.collect()
+    assert len(cells) == 4 and sum(r["mean"] * r["runs"] for r in cells) == pytest.approx(1000)
+    assert tables.mean_roc.count() == 200 and tables.run_auc.count() == 5
+    assert 0 < tables.pooled_auc.first()[0] < 1 and tables.final_loss.count() == 1
+    assert tables.learning_curves.select("Metric").distinct().count() == 2
+    results.write_run_records(stored.drop("path"), f"{root}/{schemas.RUN_RECORDS_FILE}")
+    summary = report.summarise_experiments(spark, root, layout="lines")
+    assert summary.count() == 17 and summary.select("experiment").distinct().count() == 1
+
+
+def test_scratch_follows_the_session_setting():
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/scratch/"}
+        sparkContext = None
+
+    assert scratch_dir(Session, "x").startswith("hdfs://shared/scratch/x-")
+
+    class Cluster(Session):
+        conf = {}
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Cluster, "x")
+
+
 def test_stream_resumes_where_it_stopped(spark, tmp_path):
     log, out, state = tmp_path / "log" / "Run=1", scratch_dir(spark, "out"), scratch_dir(spark, "state")
     log.mkdir(parents=True)

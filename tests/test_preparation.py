@@ -42,6 +42,17 @@ def test_pruning_and_encoding(spark):
     assert [r[0] for r in prune.encode(test, model).collect()] == [0, -1, 2]
 
 
+def test_labels_and_booleans_as_stored(spark):
+    rows = [(1.0, True), (0.0, None), (float("nan"), False), (None, False), (1.0, False)]
+    df = spark.createDataFrame(rows, "y double, b boolean")
+    kept = prune.drop_null_target(df, "y")
+    assert kept.count() == 3
+    assert prune.null_target_counts(df, "y").first().asDict() == {"split": "full", "dropped": 2, "kept": 3}
+    model = prune.fit_prune(kept, "y")
+    assert model.classes == {"b": ["False", "True", "nan"]}
+    assert [r["b"] for r in prune.encode(kept, model).collect()] == [1, 2, 0]
+
+
 def test_cardinality_limit_is_exact(spark):
     for distinct, dropped in ((30, False), (31, True), (5000, True)):
         df = spark.range(10_000).select((F.col("id") % 2).alias("y"), F.concat(F.lit("v"), F.col("id") % distinct).alias("s"))
