@@ -163,10 +163,35 @@ def e8(spark, sf):
     return rounded(subset.annealed_minimum(reads), "energy")
 
 
-@query("e9_alpha_search")
+WANTED = 3
+MU = "GREATEST(-s.alpha * least, 2 * (1 - s.alpha) * most)"
+LOWER = f"CASE WHEN bit_count(best) < {WANTED} THEN alpha ELSE lower END"
+UPPER = f"CASE WHEN bit_count(best) > {WANTED} THEN alpha ELSE upper END"
+# the search as a recursion: each step takes the mask of least energy at the current alpha
+SEARCH = f"""{LINE_BINS}, single AS ({importance_sql(X.LINE_FEATURES)}), paired AS ({redundancy_sql(X.LINE_FEATURES)}),
+place AS ({PLACES}),
+lin AS MATERIALIZED (SELECT i, mi FROM single JOIN place ON feature = f),
+quad AS MATERIALIZED (SELECT a.i AS i, b.i AS j, mi FROM paired JOIN place a ON f1 = a.f JOIN place b ON f2 = b.f),
+peaks AS MATERIALIZED (SELECT (SELECT MIN(mi) FROM lin) AS least, (SELECT MAX(mi) FROM quad) AS most),
+masks AS MATERIALIZED (SELECT mask, (SELECT list(mi) FROM lin WHERE (mask >> i) & 1 = 1) AS gains,
+    (SELECT COALESCE(SUM(mi), 0) FROM quad WHERE (mask >> i) & 1 = 1 AND (mask >> j) & 1 = 1) AS shared
+  FROM (SELECT UNNEST(range(0, {2 ** len(X.LINE_FEATURES)})) AS mask)),
+search AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS lower, CAST(1 AS DOUBLE) AS upper, CAST(0.5 AS DOUBLE) AS alpha,
+    CAST(NULL AS DOUBLE) AS used, CAST(NULL AS BIGINT) AS mask, false AS done
+  UNION ALL
+  SELECT step + 1, {LOWER}, {UPPER}, (({LOWER}) + ({UPPER})) / 2, alpha, best,
+    bit_count(best) = {WANTED} OR ({UPPER}) - ({LOWER}) < CAST(1e-6 AS DOUBLE)
+  FROM (SELECT s.*, b.best FROM search s, LATERAL (SELECT arg_min(mask, 2 * (1 - s.alpha) * shared
+      + COALESCE(list_sum(list_transform(gains, lambda g: CASE WHEN s.alpha * g >= CAST(1e-8 AS DOUBLE) THEN -s.alpha * g
+          WHEN {MU} > 0 THEN {MU} ELSE 1 END)), 0)) AS best FROM masks, peaks) b WHERE NOT s.done))"""
+
+
+@query("e9_alpha_search", f"""WITH RECURSIVE {SEARCH} SELECT f AS feature, used AS alpha, bit_count(mask) = {WANTED} AS reached_k, step AS steps
+FROM search JOIN place ON (mask >> i) & 1 = 1 WHERE done""")
 def e9(spark, sf):
     rows = X.line_samples(spark, sf)
-    choice = reduce.fit_selection(rows, X.LINE_FEATURES, 3)
+    choice = reduce.fit_selection(rows, X.LINE_FEATURES, WANTED)
     return spark.createDataFrame(
         [(f, choice.alpha, choice.reached_k, len(choice.trail)) for f in choice.features],
         "feature string, alpha double, reached_k boolean, steps int")
