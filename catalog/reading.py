@@ -76,7 +76,7 @@ def a3_predictions(spark, sf):
     return results.scan_predictions(spark, write_tasks(spark, sf))
 
 
-RECORDS = f"""WITH {EVALUATED} SELECT c.run AS "Run", 'VQC' AS label, ROUND({ACCURACY}, 4) AS accuracy, ROUND(m.f1, 4) AS macro_f1,
+RECORDS = f"""WITH {EVALUATED} SELECT c.run AS "Run", 'trained' AS label, ROUND({ACCURACY}, 4) AS accuracy, ROUND(m.f1, 4) AS macro_f1,
   ROUND(a.roc_auc, 4) AS roc_auc, {r9('m.recall')} AS macro_recall FROM confusion c
   JOIN averages m ON c.run = m.run AND m.key = 'macro avg' JOIN auc a ON c.run = a.run"""
 

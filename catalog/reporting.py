@@ -16,7 +16,7 @@ EVALUATED = f"{AVERAGES}, {X.auc_sql('predictions')}"
 def event_records(spark, sf):
     """Stored run records of the five event runs."""
     found = evaluate.evaluate_predictions(X.predictions(spark, sf))
-    return records.to_run_records(found, label="VQC", n_features=2, epochs=30, infrastructure="local", backend="local")
+    return records.to_run_records(found, label="trained", n_features=2, epochs=30, infrastructure="local", backend="local")
 
 
 def event_metrics(spark, sf, model, offset=0):
@@ -39,7 +39,7 @@ def i2(spark, sf):
         F.col("predicted").alias("Predicted_Label"), F.col("prob").alias("Prob_1")))
 
 
-RECORD_METRICS = f"""metrics AS (SELECT 'VQC' AS model, c.run, ROUND({ACCURACY}, 4) AS "{ACC}", m.precision AS "{PREC}",
+RECORD_METRICS = f"""metrics AS (SELECT 'trained' AS model, c.run, ROUND({ACCURACY}, 4) AS "{ACC}", m.precision AS "{PREC}",
   m.recall AS "{REC}", ROUND(m.f1, 4) AS "{F1}", ROUND(a.roc_auc, 4) AS "{AUC}" FROM confusion c
   JOIN averages m ON c.run = m.run AND m.key = 'macro avg' JOIN auc a ON c.run = a.run)"""
 
@@ -47,7 +47,7 @@ RECORD_METRICS = f"""metrics AS (SELECT 'VQC' AS model, c.run, ROUND({ACCURACY},
 @query("i4_record_metrics", f"""WITH {EVALUATED}, {RECORD_METRICS}
 SELECT model, run, """ + ", ".join(f'{r9(chr(34) + m + chr(34))} AS "{m}"' for m in METRIC_ORDER) + " FROM metrics")
 def i4(spark, sf):
-    return rounded(records.record_metrics(event_records(spark, sf)), *METRIC_ORDER)
+    return rounded(records.record_metrics(event_records(spark, sf), "trained"), *METRIC_ORDER)
 
 
 TWO_MODELS = f"""base AS (SELECT c.run, {ACCURACY} AS "{ACC}", m.precision AS "{PREC}", m.recall AS "{REC}", m.f1 AS "{F1}",
@@ -87,7 +87,7 @@ def i7(spark, sf):
     from tallysift.plans.compare import compare_models
     stored = event_records(spark, sf)
     other = records.record_metrics(stored.filter("Run > 3"), "other")
-    return rounded(compare_models(stored, other)[0], "Mean", "Std")
+    return rounded(compare_models(stored, other, model="trained")[0], "Mean", "Std")
 
 
 @query("i8_comparison_matrix", f"""WITH {AGGREGATE} SELECT "Model", """ + ", ".join(

@@ -58,8 +58,8 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     grows with the square of the rows, is never formed. Probabilities come from a logistic fit
     on the decision value (Platt 1999).
     """
-    columns = train.select(*features, F.col(label).cast("double").alias("label"))
-    moments = columns.agg(*[
+    spread, rows = persist_evenly(train.select(*features, F.col(label).cast("double").alias("label")))
+    moments = spread.agg(*[
         a for c in features for a in (F.avg(c).alias(f"m_{c}"), F.avg(F.col(c) * F.col(c)).alias(f"s_{c}"))
     ]).first()
     mean = sum(moments[f"m_{c}"] for c in features) / len(features)
@@ -68,7 +68,6 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     rng = np.random.default_rng(seed)
     frequencies = rng.normal(0.0, math.sqrt(2 * gamma), (width, len(features))).tolist()
     phases = rng.uniform(0.0, 2 * math.pi, width).tolist()
-    spread, rows = persist_evenly(columns)
     lifted = _lifted(spread, features, frequencies, phases).select("vector", "label").persist()
     separator = LinearSVC(
         featuresCol="vector", labelCol="label", regParam=1.0 / rows, maxIter=max_iter, tol=tol,

@@ -32,7 +32,7 @@ def summarise_reports(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def record_metrics(records: DataFrame, model: str | Column = "VQC") -> DataFrame:
+def record_metrics(records: DataFrame, model: str | Column) -> DataFrame:
     """The five comparison metrics of each run record; what is missing becomes NaN."""
     macro = F.col("report")["macro avg"]
     values = [

@@ -21,6 +21,6 @@ def fit_baseline_metrics(
     return reports.fit_binary_metrics(tagged[0].unionByName(tagged[1]), label=label, score="prob")
 
 
-def compare_models(run_records: DataFrame, *others: DataFrame, model: str = "VQC") -> tuple[DataFrame, DataFrame]:
+def compare_models(run_records: DataFrame, *others: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """Aggregate and per-run tables over other models' metrics and the stored runs."""
     return comparison.build_comparison(*others, records.record_metrics(run_records, model))
