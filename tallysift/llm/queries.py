@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallysift.llm import quality_rules
+from tallysift.llm import quality_rules, simhash
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -20,3 +20,9 @@ def op1_quality_rules(spark, sf_dir):
                                        keep=["doc_id", "lang"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
