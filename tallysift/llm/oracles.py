@@ -48,7 +48,33 @@ def rules_judged(alpha: float = 0.05, delta: float = 0.05) -> str:
     judged AS (SELECT b.*, NOT base_failed AND NOT ({bad}) AS kept FROM based b)"""
 
 
+LATIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def contamination(docs: str = "documents") -> str:
+    """CTEs down to ``judged``: hit words, items and verdict of every row of ``docs``."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({lowered}, '{LATIN}') AS w FROM benchmark),
+    pats AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
+             FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM iw WHERE len(w) > 0)),
+    dw AS (SELECT row_number() OVER () AS rid, *, regexp_extract_all({lowered}, '{LATIN}') AS w FROM {docs}),
+    wins AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+             FROM (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i
+                   FROM dw, (SELECT DISTINCT k FROM pats) WHERE len(w) >= k)),
+    hits AS (SELECT rid, item, k, i FROM wins JOIN pats USING (k, g)),
+    n_hits AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+    n_items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+                FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid),
+    judged AS (SELECT dw.*, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hits.n, 0) AS BIGINT) AS n_hit,
+                      CAST(coalesce(n_items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+                      coalesce(n_hits.n, 0) > 0 AND 20 * coalesce(n_hits.n, 0) >= len(w) AS contaminated
+               FROM dw LEFT JOIN n_hits USING (rid) LEFT JOIN n_items USING (rid))"""
+
+
 ORACLES = {
+    "op8_decontaminate": f"""WITH {contamination()}
+        SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged""",
     "op1_quality_rules": f"""WITH {rules_measured()}, {rules_judged()}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged""",
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallysift.llm import quality_rules, simhash
+from tallysift.llm import decontaminate, quality_rules, simhash
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -26,3 +26,10 @@ def op1_quality_rules(spark, sf_dir):
 def op7_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_decontaminate(spark, sf_dir):
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", *(f"found.{c}" for c in (
+        "n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
