@@ -1,8 +1,9 @@
 """Registered queries of the operators, with SQL where SQL can say the same."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import decontaminate, quality_rules, simhash
+from tallysift.llm import decontaminate, packing, quality_rules, simhash
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -33,3 +34,8 @@ def op8_decontaminate(spark, sf_dir):
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", *(f"found.{c}" for c in (
         "n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
+
+
+@query
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
