@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import decontaminate, packing, quality_rules, simhash
+from tallysift.llm import decontaminate, packing, quality_rules, simhash, substrings
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -39,3 +39,9 @@ def op8_decontaminate(spark, sf_dir):
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
+@query
+def op5_substrings(spark, sf_dir):
+    cut = substrings.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], rest_as=None)
+    return cut.select("doc_id", *(f"cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
