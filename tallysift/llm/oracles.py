@@ -73,6 +73,12 @@ def contamination(docs: str = "documents") -> str:
 
 
 ORACLES = {
+    "op9_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        s AS (SELECT b, max(page_id) AS first FROM p WHERE octet_length(b) >= 1000 GROUP BY b HAVING count(*) > 1)
+        SELECT page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p LEFT JOIN s ON p.b = s.b""",
     "op8_decontaminate": f"""WITH {contamination()}
         SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged""",
     "op1_quality_rules": f"""WITH {rules_measured()}, {rules_judged()}

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import decontaminate, packing, quality_rules, simhash, substrings
+from tallysift.llm import decontaminate, packing, quality_rules, simhash, substrings, warc
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -45,3 +45,17 @@ def op3_packing(spark, sf_dir):
 def op5_substrings(spark, sf_dir):
     cut = substrings.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], rest_as=None)
     return cut.select("doc_id", *(f"cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    path, kind = warc.archive(pages), pages.schema["page_id"].dataType
+    full = warc.read(spark, path).where("record_type = 'response'").select(
+        "headers", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"))
+    again = warc.read(spark, path, payload=False).where("record_type = 'revisit'").select(
+        "headers", "record_type", F.col("payload_length").alias("payload_bytes"), "payload_digest")
+    return full.union(again).select(
+        F.col("headers")["X-Page-Id"].cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("headers")["X-Refers-To-Page"].cast(kind).alias("refers_to"))
