@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import decontaminate, packing, quality_rules, simhash, substrings, warc
+from tallysift.llm import decontaminate, packing, perspectives, quality_rules, simhash, substrings, warc
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -59,3 +59,10 @@ def op9_warc(spark, sf_dir):
     return full.union(again).select(
         F.col("headers")["X-Page-Id"].cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("headers")["X-Refers-To-Page"].cast(kind).alias("refers_to"))
+
+
+@query
+def op10_perspectives(spark, sf_dir):
+    views = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m[0].cast("string"), m[1].cast("string"))), ",")
+    return views.select("conv_id", "participant", "chunk", "n_turns", "n_own", "rendered", mask.alias("mask"))
