@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import decontaminate, packing, perspectives, quality_rules, simhash, substrings, warc
+from tallysift.llm import (block_labeller, decontaminate, packing, perspectives, quality_rules, simhash, substrings,
+                            warc)
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -66,3 +67,9 @@ def op10_perspectives(spark, sf_dir):
     views = perspectives.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m[0].cast("string"), m[1].cast("string"))), ",")
     return views.select("conv_id", "participant", "chunk", "n_turns", "n_own", "rendered", mask.alias("mask"))
+
+
+@query
+def op4_main_text(spark, sf_dir):
+    found = block_labeller.extract(table(spark, sf_dir, "pages"), name="text", keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
