@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import (block_labeller, decontaminate, packing, perspectives, quality_rules, simhash, substrings,
-                            warc)
+from tallysift.llm import (block_labeller, decontaminate, packing, perspectives, quality_classifier, quality_rules,
+                            simhash, substrings, warc)
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,3 +73,11 @@ def op10_perspectives(spark, sf_dir):
 def op4_main_text(spark, sf_dir):
     found = block_labeller.extract(table(spark, sf_dir, "pages"), name="text", keep=["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_quality_classifier(spark, sf_dir):
+    docs, out = table(spark, sf_dir, "documents"), quality_classifier.held_out()
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = quality_classifier.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
