@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import (block_labeller, decontaminate, packing, perspectives, quality_classifier, quality_rules,
-                            simhash, substrings, warc)
+from tallysift.llm import (backoff_lm, block_labeller, decontaminate, packing, perspectives, quality_classifier,
+                            quality_rules, simhash, substrings, warc)
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -81,3 +81,11 @@ def op2_quality_classifier(spark, sf_dir):
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~out)
     scored = quality_classifier.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op6_backoff_lm(spark, sf_dir):
+    out = backoff_lm.held_out()
+    scored = backoff_lm.score(table(spark, sf_dir, "documents"), ~out, keep=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), *(f"lm.{c}" for c in (
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")))
