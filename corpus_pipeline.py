@@ -12,7 +12,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the certified rules."""
-    return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import free_name, id_crc, stored
+from tallysift.llm.common import id_crc, numbered, numbered_fields, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK_BYTES = 16 << 20
@@ -191,20 +191,19 @@ def score(docs: DataFrame, training: Column, text: str = "text", head_share: flo
     spark, own = docs.sparkSession, [c for c in (docs.columns if keep is None else keep) if c != text]
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_BYTES))
-    train, chunk, body = free_name(docs, "_train", "_chunk", "_body")
-    held = (docs.withColumns({
-        chunk: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int"), train: training,
-        body: F.coalesce(F.col(text), F.lit("")).cast("binary")})
-        .select(*own, chunk, train, body).repartition(chunks, chunk).persist(StorageLevel.MEMORY_AND_DISK))
-    asked = stored(held.select(chunk, train, body).mapInArrow(chunk_words, "chunk int, word binary, n long"), "words")
+    held = (docs.select(
+        *numbered(docs, own), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
+        training.alias("train"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+        .repartition(chunks, "chunk").persist(StorageLevel.MEMORY_AND_DISK))
+    asked = stored(held.select("chunk", "train", "body").mapInArrow(chunk_words, "chunk int, word binary, n long"), "words")
     counts = stored(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = held.where(train).count()
+    ends = held.where("train").count()
     tokens, types = tokens + ends, types + (ends > 0)
     frequent = counts.where(F.col("n") >= max(2.0, tokens * head_share)).orderBy("word").collect()
     head = Head([bytes(r.word) for r in frequent])
     shared = spark.sparkContext.broadcast(head)
-    texts = held.select(train, body)
+    texts = held.select("train", "body")
 
     def grams(length: int, allowed) -> dict[int, int]:
         found = texts.mapInArrow(gram_counts(shared, length, allowed), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -216,7 +215,7 @@ def score(docs: DataFrame, training: Column, text: str = "text", head_share: flo
     norm = float(np.log10(tokens + types + 1))
     automaton = spark.sparkContext.broadcast(Automaton(head, np.log10(history + 1.0) - norm, history, pairs, triples))
     answers = asked.select("chunk", "word").join(counts, "word")
-    schema = T.StructType([*held.select(*own).schema.fields, T.StructField(name, T.StructType([
+    schema = T.StructType([*numbered_fields(docs, own), T.StructField("lm", T.StructType([
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]))])
     arrow = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
@@ -226,7 +225,7 @@ def score(docs: DataFrame, training: Column, text: str = "text", head_share: flo
         model = automaton.value
         known = dict(zip(answers.column("word").to_pylist(), answers.column("n").to_pylist()))
         get, number, out = known.get, model.head.ids.get, []
-        for text_ in rows.column(body).to_pylist():
+        for text_ in rows.column("body").to_pylist():
             words = words_in(text_)
             c = np.array([*(get(w, 0) for w in words), ends], np.int64)
             single = np.log10(c + 1.0) - norm
@@ -234,10 +233,10 @@ def score(docs: DataFrame, training: Column, text: str = "text", head_share: flo
             numbers.append(model.head.end)
             out.append({"n_tokens": len(c), "n_known": int((c > 0).sum()), "train_tokens": tokens,
                         "base_score": float(single.sum()), "score": model.score(numbers, single.tolist())})
-        return pa.Table.from_arrays([*(rows.column(c) for c in own), pa.array(out, arrow)], names=schema.names)
+        return pa.Table.from_arrays([*(rows.column(k) for k in range(len(own))), pa.array(out, arrow)], names=schema.names)
 
-    return held.select(*own, chunk, body).groupBy(chunk).cogroup(
-        answers.withColumnRenamed("chunk", chunk).groupBy(chunk)).applyInArrow(run, schema)
+    rows = held.select(*(f"c{k}" for k in range(len(own))), "chunk", "body")
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema).toDF(*own, name)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import free_name
+from tallysift.llm.common import numbered, numbered_fields
 from tallysift.llm.page_blocks import TAG_BUCKETS, WORD_BUCKETS, Features, blocks_of, invented
 
 TAG_SIZE, WORD_SIZE, HIDDEN, FIGURES = 16, 8, 16, 4
@@ -181,10 +181,9 @@ def extract(pages: DataFrame, weights: dict | None = None, html: str = "html", n
             keep: list[str] | None = None) -> DataFrame:
     """Add the main text; of the own columns only ``keep`` (None: all) stay."""
     own = pages.columns if keep is None else keep
-    src = free_name(pages, "_src")[0]
     held = pages.sparkSession.sparkContext.broadcast(weights or fit(pages, html))
-    read = pages.select(*own, F.col(html).alias(src))
-    schema = T.StructType([*pages.select(*own).schema.fields, T.StructField(name, T.StringType())])
+    read = pages.select(*numbered(pages, own), F.col(html).alias("src"))
+    schema = T.StructType([*numbered_fields(pages, own), T.StructField("out", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,4 +192,4 @@ def extract(pages: DataFrame, weights: dict | None = None, html: str = "html", n
                 texts = main_texts(held.value, part.column(len(own)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).toDF(*own, name)

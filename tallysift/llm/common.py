@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysift.session import scratch_dir
 
@@ -33,6 +34,20 @@ def id_crc(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+def own_columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """The table's columns (or the named ones), whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in (df.columns if names is None else names)]
+
+
+def numbered(df: DataFrame, names: list[str]) -> list[Column]:
+    """The named columns as c0, c1, ...: Arrow functions don't take every name."""
+    return [c.alias(f"c{k}") for k, c in enumerate(own_columns(df, names))]
+
+
+def numbered_fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
+    return [T.StructField(f"c{k}", df.schema[c].dataType) for k, c in enumerate(names)]
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, lengthened until no column of ``df`` has them."""
     taken = {c.lower() for c in df.columns}

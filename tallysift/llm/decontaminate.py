@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import free_name, stored
+from tallysift.llm.common import free_name, numbered, numbered_fields, own_columns, stored
 
 #: Bytes of words keep themselves, A-Z in lower case; all others become 0.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256))
@@ -155,7 +155,7 @@ def scan(texts: list[bytes | None], tables: list[Searcher]) -> list[tuple[int, l
 def joined_runs(a: list, b: list) -> list[tuple[int, int]]:
     """Union of two lists of runs."""
     out: list[list[int]] = []
-    for s, e in sorted([*a, *b]):
+    for s, e in sorted(map(tuple, [*a, *b])):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -191,12 +191,11 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """Add column ``name``, a struct of FOUND: counts, runs of hit words, ids and the verdict (at least a twentieth of
     the words hit). Of the own columns only ``keep`` (None: all) stay."""
     spark, own = docs.sparkSession, docs.columns if keep is None else keep
-    src = free_name(docs, "_src")[0]
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes) or 1
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    current = docs.select(*own, F.col(text).cast("binary").alias(src), F.lit(None).cast(FOUND).alias(name))
-    schema = current.schema
+    current = docs.select(*numbered(docs, own), F.col(text).cast("binary").alias("src"), F.lit(None).cast(FOUND).alias("found"))
+    schema = T.StructType([*numbered_fields(docs, own), T.StructField("src", T.BinaryType()), T.StructField("found", FOUND)])
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()
         tables = spark.sparkContext.broadcast(searchers([(r.i, r.t) for r in part], window))
@@ -219,10 +218,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         current = current.mapInArrow(run, schema)
         if block + 1 < blocks:
             current = stored(current, "block")
-    return current.drop(src)
+    return current.drop("src").toDF(*own, name)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
     name = free_name(docs, "_found")[0]
-    return find(docs, benchmark, text, name=name, **options).where(~F.col(name)["contaminated"]).select(*docs.columns)
+    return find(docs, benchmark, text, name=name, **options).where(~F.col(name)["contaminated"]).select(*own_columns(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import free_name, id_crc, small_side, stored
+from tallysift.llm.common import id_crc, numbered, numbered_fields, small_side, stored
 from tallysift.llm.decontaminate import _pieces, mixed, words_of
 
 BITS = 18
@@ -56,7 +56,7 @@ def _tenths(doc: np.ndarray, again: np.ndarray, n: int, salt: np.uint64) -> tupl
 
 def indicators(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every indicator, each once, in order."""
-    data = b"\0".join(t or b"" for t in texts)
+    data = b"\n".join(t or b"" for t in texts)
     n, begins = len(texts), np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
     starts, _, h = words_of(data.translate(WORDS))
     doc = np.searchsorted(begins, starts, "right") - 1
@@ -65,7 +65,6 @@ def indicators(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     changes[1:] = kinds[1:] != kinds[:-1]
     shape = words_of(kinds[changes].tobytes())[2]
     line_starts, _, line = words_of(data.translate(LINES))
-    # a text ends its last line: the joint between texts is a zero too
     line_doc = np.searchsorted(begins, line_starts, "right") - 1
     of, found = [doc, doc], [h * _SALT[0], shape * _SALT[1]]
     pair = doc[1:] == doc[:-1]
@@ -226,10 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the score; of the own columns only ``keep`` (None: all) stay."""
     own = docs.columns if keep is None else keep
-    src = free_name(docs, "_src")[0]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    read = docs.select(*own, F.col(text).cast("binary").alias(src))
-    schema = T.StructType([*docs.select(*own).schema.fields, T.StructField(name, T.DoubleType())])
+    read = docs.select(*numbered(docs, own), F.col(text).cast("binary").alias("src"))
+    schema = T.StructType([*numbered_fields(docs, own), T.StructField("out", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +236,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 out.append(held.value.scores(*indicators(texts[piece]), piece.stop - piece.start))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).toDF(*own, name)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

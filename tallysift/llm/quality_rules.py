@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.llm.common import free_name, small_side, stored
+from tallysift.llm.common import free_name, own_columns, small_side, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -68,7 +68,7 @@ def with_measures(docs: DataFrame, text: str = "text", keep: list[str] | None =
     covered = F.aggregate(
         hits, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    return out.select(*own, *(c.cast("long").alias(n) for n, c in {
+    return out.select(*own_columns(docs, own), *(c.cast("long").alias(n) for n, c in {
         "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")),
         "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
@@ -162,4 +162,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     own = docs.columns if keep is None else keep
     measured = stored(with_measures(docs, text, list(dict.fromkeys([*own, doc_id, stratum]))), "rules")
     cutoffs = stored(fit_cutoffs(measured, labels, stratum, doc_id, **risk), "cutoffs")
-    return judge(measured, cutoffs, stratum).select(*own, *MEASURES, "base_failed", "kept")
+    return judge(measured, cutoffs, stratum).select(*own_columns(docs, own), *MEASURES, "base_failed", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang",
+                   **risk) -> DataFrame:
+    """The documents that pass, with their own columns; names that this module uses are put aside meanwhile."""
+    used = {n.lower() for n in (*MEASURES, "base_failed", "kept", "_stratum", *(f"cut_{r}" for r in RULES))}
+    clash = [c for c in docs.columns if c.lower() in used]
+    aside = dict(zip(clash, free_name(docs, *(f"_own_{c}" for c in clash))))
+    names = [aside.get(c, c) for c in docs.columns]
+    held = docs.select(*(c.alias(n) for c, n in zip(own_columns(docs), names)))
+    judged = apply_rules(held, labels, *(aside.get(c, c) for c in (text, doc_id, stratum)), **risk)
+    return judged.where("kept").select(*(c.alias(n) for c, n in zip(own_columns(held), docs.columns)))

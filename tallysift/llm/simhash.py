@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallysift.llm.common import free_name, stored
+from tallysift.llm.common import free_name, numbered, numbered_fields, own_columns, stored
 from tallysift.llm.components import roots
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -67,17 +68,16 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", keep
                      shingle: int = 3) -> DataFrame:
     """Add the fingerprint as a signed long; of the own columns only ``keep`` (None: all) stay."""
     own = docs.columns if keep is None else keep
-    src = free_name(docs, "_src")[0]
-    read = docs.select(*own, F.col(text).cast("binary").alias(src))
-    schema = docs.select(*own).withColumn(name, F.lit(0).cast("long")).schema
+    read = docs.select(*numbered(docs, own), F.col(text).cast("binary").alias("src"))
+    schema = T.StructType([*numbered_fields(docs, own), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(len(own))), np.uint64, len(batch))
             columns = [batch.column(i) for i in range(len(own))] + [pa.array(fps.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, name])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).toDF(*own, name)
 
 
 def viable(x: np.ndarray) -> np.ndarray:
@@ -193,4 +193,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     own = marked.alias("m").join(
         least.alias("k"), F.col(f"m.{doc_id}").eqNullSafe(F.col(f"k.{cls}")) & (F.col(f"m.{fp}") == F.col(f"k.{fp}")))
     one = own.selectExpr("m.*", f"row_number() OVER (PARTITION BY m.`{doc_id}`, m.`{fp}` ORDER BY m.`{text}`) AS {rank}")
-    return one.where(F.col(rank) == 1).select(*docs.columns)
+    return one.where(F.col(rank) == 1).select(*own_columns(docs))
