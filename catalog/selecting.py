@@ -159,7 +159,7 @@ def e7(spark, sf):
   array_to_string(list_transform(range(0, {len(X.LINE_FEATURES)}), lambda i: (mask >> i) & 1), '') AS bits
 FROM best WHERE place = 1 AND alpha = 0.75""")
 def e8(spark, sf):
-    reads = subset.annealed_reads(spark, line_tables(spark, sf), 0.75, num_reads=64, seed=7, sweeps=200)
+    reads = subset.annealed_reads(spark, line_tables(spark, sf), 0.75, num_reads=1000, seed=7)
     return rounded(subset.annealed_minimum(reads), "energy")
 
 
@@ -191,7 +191,7 @@ search AS (
 FROM search JOIN place ON (mask >> i) & 1 = 1 WHERE done""")
 def e9(spark, sf):
     rows = X.line_samples(spark, sf)
-    choice = reduce.fit_selection(rows, X.LINE_FEATURES, WANTED)
+    choice = reduce.fit_selection(rows, X.LINE_FEATURES, WANTED, "exact")
     return spark.createDataFrame(
         [(f, choice.alpha, choice.reached_k, len(choice.trail)) for f in choice.features],
         "feature string, alpha double, reached_k boolean, steps int")

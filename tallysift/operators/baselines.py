@@ -48,15 +48,17 @@ class KernelModel:
     phases: tuple[float, ...]
     separator: object
     calibration: tuple[float, float]
+    converged: bool
 
 
 def fit_kernel(train: DataFrame, features: list[str], label: str = "label", width: int = 128,
-               seed: int = 0, max_iter: int = 40, tol: float = 1e-6) -> KernelModel:
+               seed: int = 0, max_iter: int = 1000, tol: float = 1e-4) -> KernelModel:
     """RBF support-vector classifier by random Fourier features (Rahimi and Recht 2007).
 
     gamma = 1 / (number of features x variance of all feature values). The kernel matrix, which
     grows with the square of the rows, is never formed. Probabilities come from a logistic fit
-    on the decision value (Platt 1999).
+    on the decision value (Platt 1999). ``converged`` tells whether the separator reached ``tol``
+    before ``max_iter``.
     """
     spread, rows = persist_evenly(train.select(*features, F.col(label).cast("double").alias("label")))
     moments = spread.agg(*[
@@ -82,6 +84,7 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     return KernelModel(
         tuple(map(tuple, frequencies)), tuple(phases), separator,
         (float(platt.coefficients[0]), float(platt.intercept)),
+        separator.summary().totalIterations < max_iter,
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tallysift.functions.readout import is_hit, log_likelihood
 
 SAMPLE = ("run", "sample_id")
-BROADCAST_LABELS = 100_000
 
 
 def explode_counts(histograms: DataFrame, counts: str = "counts") -> DataFrame:
@@ -64,12 +63,9 @@ def batch_log_likelihood(
     """Log-likelihood of histograms numbered by ``pos`` in a stream of batches.
 
     Batches walk through the ``size`` labels again and again: position p belongs to label
-    number p modulo ``size`` (column ``idx`` of ``labels``).
+    number p modulo ``size`` (column ``idx`` of ``labels``). A label that the table lacks is an error.
     """
     probs = measured_probs(counts, readout, ("pos",)).withColumn("idx", F.pmod("pos", F.lit(size)))
-    known = labels.select("idx", "label")
-    if size <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    return probs.join(known, "idx").select(
-        "pos", "idx", "prob", log_likelihood(F.col("label"), F.col("prob")).alias("loglik")
-    )
+    found = probs.join(labels.select("idx", "label"), "idx", "left").withColumn("label", F.coalesce(
+        "label", F.raise_error(F.concat(F.lit("no label number "), F.col("idx").cast("string"))).cast("int")))
+    return found.select("pos", "idx", "prob", log_likelihood(F.col("label"), F.col("prob")).alias("loglik"))

@@ -13,8 +13,8 @@ def merge_history(histories: DataFrame) -> DataFrame:
 
 
 def merge_predictions(predictions: DataFrame) -> DataFrame:
-    """Task predictions in run order."""
-    return predictions.orderBy("Run")
+    """Task predictions in run order; the other columns follow, so that a large run can be split between ranges."""
+    return predictions.orderBy("Run", *[c for c in predictions.columns if c != "Run"])
 
 
 def history_rows(histories: DataFrame, metrics: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def history_rows(histories: DataFrame, metrics: list[str]) -> DataFrame:
     """
     name = F.col("name")
     validation = name.startswith(VALIDATION_PREFIX)
-    base = F.when(validation, F.substring(name, len(VALIDATION_PREFIX) + 1, 1000)).otherwise(name)
+    base = F.when(validation, F.expr(f"substring(name, {len(VALIDATION_PREFIX) + 1})")).otherwise(name)
     entries = histories.select("run_idx", F.explode("history").alias("name", "values"))
     return (
         entries.select("run_idx", base.alias("Metric"), validation.alias("validation"), "values")

@@ -31,11 +31,11 @@ def fit_ranked_scores(
 ) -> DataFrame:
     """Score groups with the counts at or above each score (``tp``, ``fp``) and the class totals.
 
-    The collapsed groups are persisted and probed once for their size; cut points, range sums and
-    every result derived from this table read them without another pass over the predictions.
+    The collapsed groups are persisted and counted; cut points, range sums and every result derived
+    from this table read them without another pass over the predictions.
     """
     groups = score_groups(predictions, keys, label, score).persist()
-    cuts = fit_cuts(groups, keys, "threshold", **cut_args)
+    cuts = fit_cuts(groups, "threshold", **cut_args)
     ranked = running_totals(groups, keys, "threshold", ("pos", "neg"), cuts)
     return ranked.select(
         *keys, "threshold", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
@@ -90,15 +90,14 @@ def calibrated(ranked: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
     ).select(*keys, "threshold", *_confusion_from_totals(), "roc_auc")
 
 
-def at_threshold(ranked: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = RUN) -> DataFrame:
+def at_threshold(ranked: DataFrame, thresholds: DataFrame | float, keys: tuple[str, ...] = RUN) -> DataFrame:
     """Confusion counts and AUC when each key group uses a threshold fitted elsewhere.
 
-    ``thresholds`` has one row per key group; wrap it in ``broadcast_if_small`` to spare the
-    shuffle of the score groups.
+    ``thresholds`` has one row per key group, or is one number for all; a group without one is an
+    error.
     """
-    fixed = thresholds.select(*keys, F.col("threshold").alias("fixed"))
     above = F.col("threshold") >= F.col("fixed")
-    return ranked.join(fixed, list(keys)).groupBy(*keys).agg(
+    return _with_threshold(ranked, thresholds, keys, "fixed").groupBy(*keys).agg(
         F.max("fixed").alias("threshold"),
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
@@ -127,12 +126,14 @@ def fit_pooled_auc(predictions: DataFrame, label: str = "label", score: str = "p
 
 
 def apply_threshold(
-    predictions: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = RUN, score: str = "prob",
+    predictions: DataFrame, thresholds: DataFrame | float, keys: tuple[str, ...] = RUN, score: str = "prob",
     source: str = "youden_calibrated",
 ) -> DataFrame:
-    """Predicted label per row (score >= threshold) and where the threshold came from."""
-    fixed = thresholds.select(*keys, "threshold")
-    return predictions.join(fixed, list(keys)).withColumns({
+    """Predicted label per row (score >= threshold) and where the threshold came from.
+
+    A row whose key group has no threshold is an error.
+    """
+    return _with_threshold(predictions, thresholds, keys, "threshold").withColumns({
         "predicted": (F.col(score) >= F.col("threshold")).cast("int"),
         "threshold_source": F.lit(source),
     })
@@ -169,6 +170,15 @@ def mean_roc(ranked: DataFrame, keys: tuple[str, ...] = RUN, points: int = GRID_
     )
 
 
+def _with_threshold(df: DataFrame, thresholds: DataFrame | float, keys: tuple[str, ...], name: str) -> DataFrame:
+    if not isinstance(thresholds, DataFrame):
+        return df.withColumn(name, F.lit(float(thresholds)))
+    fixed = thresholds.select(*keys, F.col("threshold").cast("double").alias(name))
+    who = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all rows")
+    missing = F.raise_error(F.concat(F.lit("no threshold for "), who)).cast("double")
+    return df.join(fixed, list(keys), "left").withColumn(name, F.coalesce(name, missing))
+
+
 def _rate(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(NAN))
 

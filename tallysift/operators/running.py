@@ -7,27 +7,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 256
-PROBE_SHARE = 1000
-PROBED_ROWS = 1000
+ROWS_PER_RANGE = 1_000_000
 
 
-def fit_cuts(
-    groups: DataFrame, keys: tuple[str, ...], order: str, buckets: int = BUCKETS,
-    probe_share: int = PROBE_SHARE, probed_rows: int = PROBED_ROWS,
-) -> list[float]:
-    """Cut points that part ``groups`` into about equally large ranges of ``order``.
+def fit_cuts(groups: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Cut points that part ``groups`` into ranges of ``order`` of about ``rows_per_range`` rows each.
 
-    Looks at one row in ``probe_share``, picked by hash. No cuts are given while fewer than
-    ``probed_rows`` of them turn up, that is below about a million rows.
+    ``groups`` should be persisted: it is counted and, if there is more than one range, sketched.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    probed = groups.filter(F.pmod(F.xxhash64(*keys, order), F.lit(probe_share)) == 0)
-    row = probed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.expr(f"percentile_approx(`{order}`, array({', '.join(f'{s}D' for s in shares)}), {10 * buckets})").alias("cuts"),
-    ).first()
-    return sorted(set(row["cuts"])) if row["rows"] >= probed_rows else []
+    ranges = -(-groups.count() // rows_per_range)
+    if ranges <= 1:
+        return []
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    return sorted(set(groups.agg(F.expr(f"percentile_approx(`{order}`, array({shares}), {10 * ranges})")).first()[0]))
 
 
 def running_totals(
@@ -35,18 +27,12 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<v>`` (running sum, ``order`` descending) and ``all_<v>`` (total) per key group.
 
-    Without cuts a key group is sorted as a whole. With cuts, the ranges are summed and offset
-    against each other on a table of one row per key and range, and only rows of one key and
-    range are sorted together. The cuts decide the balance, never the result.
+    The ranges between the cuts are summed and offset against each other on a table of one row per
+    key and range, and only rows of one key and range are sorted together. The cuts decide the
+    balance, never the result.
     """
-    if not cuts:
-        above = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return groups.select(
-            "*", *[F.sum(v).over(above).alias(f"cum_{v}") for v in values],
-            *[F.sum(v).over(Window.partitionBy(*keys)).alias(f"all_{v}") for v in values])
     bucketed = Bucketizer(
-        splits=[-math.inf, *cuts, math.inf], inputCol=order, outputCol="bucket").transform(groups)
+        splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol=order, outputCol="bucket").transform(groups)
     parts = [*keys, "bucket"]
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -163,18 +163,18 @@ def annealed_minimum(reads: DataFrame) -> DataFrame:
 
 
 def fit_subset(
-    spark: SparkSession, tables: MiTables, k: int, method: str = "auto", num_reads: int = 1000,
-    seed: int = 0, epsilon: float = EPSILON, sweeps: int = 1000,
+    spark: SparkSession, tables: MiTables, k: int, method: str, num_reads: int = 1000, seed: int = 0,
+    epsilon: float = EPSILON, sweeps: int = 1000,
 ) -> SubsetChoice:
     """Halve the alpha interval from 0.5 until the best subset has exactly ``k`` features.
 
     More than k lowers the upper end, fewer raise the lower end. Once the interval is narrower
-    than 1e-6 the last subset is returned with ``reached_k=False``.
+    than 1e-6 the last subset is returned with ``reached_k=False``. Method ``exact`` looks at every
+    subset and refuses more than ``EXACT_FEATURES`` features; ``annealed`` searches.
     """
-    if method not in ("auto", "exact", "annealed"):
+    if method not in ("exact", "annealed"):
         raise ValueError(f"unknown method {method!r}")
-    exact = method == "exact" or (method == "auto" and len(tables.features) <= EXACT_FEATURES)
-    if not exact:
+    if method == "annealed":
         def solve(alpha, lower, upper):
             reads = annealed_reads(spark, tables, alpha, num_reads, seed, epsilon, sweeps)
             bits = annealed_minimum(reads).first()["bits"]

@@ -4,28 +4,27 @@ from pyspark.sql import DataFrame
 
 from tallysift.operators import counts as C
 from tallysift.operators import reports, roc
-from tallysift.session import broadcast_if_small
 
 
 def evaluate_counts(
     counts: DataFrame, samples: DataFrame, readout: str = "single_qubit",
-    thresholds: DataFrame | None = None,
+    thresholds: DataFrame | float | None = None,
 ) -> DataFrame:
     """Evaluation record of every run in ``samples`` (run, sample_id, label).
 
     Without ``thresholds`` each run calibrates its own (training data); with a table
-    (run, threshold) the given ones are applied without refitting (held-out data).
+    (run, threshold), or one number for all runs, the given ones are applied without refitting
+    (held-out data).
     """
     return evaluate_predictions(C.label_probs(counts, samples, readout), thresholds)
 
 
-def evaluate_predictions(predictions: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+def evaluate_predictions(predictions: DataFrame, thresholds: DataFrame | float | None = None) -> DataFrame:
     """The same from labelled probabilities (run, label, prob)."""
     ranked = roc.fit_ranked_scores(predictions)
     if thresholds is None:
         return reports.evaluation_record(roc.calibrated(ranked))
-    fixed = roc.at_threshold(ranked, broadcast_if_small(thresholds))
-    return reports.evaluation_record(fixed, source="pre_calibrated")
+    return reports.evaluation_record(roc.at_threshold(ranked, thresholds), source="pre_calibrated")
 
 
 def calibrate_and_test(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -35,4 +34,4 @@ def calibrate_and_test(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def predicted_labels(predictions: DataFrame, thresholds: DataFrame, source: str = "youden_calibrated") -> DataFrame:
     """Row-level predictions (the label, probability and predicted label of every sample)."""
-    return roc.apply_threshold(predictions, broadcast_if_small(thresholds), source=source)
+    return roc.apply_threshold(predictions, thresholds, source=source)

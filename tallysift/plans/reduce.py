@@ -6,8 +6,8 @@ from tallysift.operators import components, mutual_info, prune, subset
 
 
 def fit_selection(
-    train: DataFrame, features: list[str], k: int, label: str = "label", bins: int = 20,
-    method: str = "auto", num_reads: int = 1000, seed: int = 0, epsilon: float = subset.EPSILON,
+    train: DataFrame, features: list[str], k: int, method: str, label: str = "label", bins: int = 20,
+    num_reads: int = 1000, seed: int = 0, epsilon: float = subset.EPSILON,
     **quantile_args,
 ) -> subset.SubsetChoice:
     """Bin, measure mutual information in one pass over the rows and search for k features."""
@@ -23,7 +23,10 @@ def reduce_features(
     table: DataFrame, train: DataFrame, features: list[str], mode: str = "all", k: int | None = None,
     keep: tuple[str, ...] = ("label", "split"), **selection_args,
 ) -> tuple[DataFrame, list[str]]:
-    """The reduced table and its feature names; everything is learned from ``train``."""
+    """The reduced table and its feature names; everything is learned from ``train``.
+
+    Mode ``subset`` needs the search ``method``, ``exact`` or ``annealed``.
+    """
     if mode == "all":
         return prune.project(table, features, keep), list(features)
     if mode == "pca":

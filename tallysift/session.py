@@ -1,10 +1,9 @@
-"""Session defaults, the shared scratch folder and the size-checked broadcast."""
+"""Session defaults, the shared scratch folder and tables persisted for iterative fits."""
 
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,31 +32,25 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting: above ``max_rows`` the plan keeps its shuffle join.
-
-    Meant for per-run tables (one narrow row per run). The table is persisted so that the
-    count and the join evaluate it once.
-    """
-    small = df.persist()
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(small)
-    return small
-
-
-def persist_evenly(df: DataFrame, max_rows: int = 10_000_000) -> tuple[DataFrame, int]:
+def persist_evenly(df: DataFrame) -> tuple[DataFrame, int]:
     """Persist a table that an iterative fit scans again and again; returns it with its row count.
 
-    Only a small table is redistributed, which may sit in fewer partitions than there are cores;
-    a large one keeps the partitions of its scan.
+    The table is evaluated once. If it came in fewer partitions than there are cores, the persisted
+    rows are dealt out to all of them; else the partitions of the scan stay.
     """
-    rows = df.count()
-    if rows <= max_rows:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df.persist(), rows
+    held = df.persist()
+    rows = held.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if held.rdd.getNumPartitions() >= cores:
+        return held, rows
+    spread = held.repartition(cores).persist()
+    spread.count()
+    held.unpersist()
+    return spread, rows

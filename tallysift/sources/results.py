@@ -30,19 +30,20 @@ def read_run_records(spark: SparkSession, *paths: str, layout: str = "array") ->
 
     Layout ``array``: each file is one JSON array and the position in it numbers the runs from 1.
     Layout ``lines``: one record per line carrying its own ``Run``, as ``write_run_records`` writes.
+    A file that is not valid JSON is an error.
     """
     if layout not in ("array", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
     numbered = StructType([StructField("Run", IntegerType())] + S.RUN_RECORD.fields)
     out = spark.createDataFrame([], numbered).withColumn("path", F.lit(None).cast("string"))
-    path_col = F.col("_metadata.file_path").alias("path")
+    path_col = _file_path().alias("path")
     for path in paths:
         try:
             if layout == "lines":
-                part = spark.read.schema(numbered).json(path).select("*", path_col)
+                part = spark.read.schema(numbered).option("mode", "FAILFAST").json(path).select("*", path_col)
             else:
                 whole = spark.read.option("wholetext", True).text(path).select("value", path_col)
-                records = F.from_json("value", ArrayType(S.RUN_RECORD))
+                records = F.from_json("value", ArrayType(S.RUN_RECORD), {"mode": "FAILFAST"})
                 part = whole.select("path", F.posexplode(records).alias("pos", "r")).select(
                     (F.col("pos") + 1).alias("Run"), "r.*", "path")
             out = out.unionByName(part)
@@ -91,7 +92,7 @@ def write_summary(summary: DataFrame, root: str) -> None:
 
 
 def _scan_tasks(spark, experiment_dir, file_name, schema):
-    task = F.regexp_extract(F.col("_metadata.file_path"), "/tasks/([^/]+)/", 1)
+    task = F.regexp_extract(_file_path(), "/tasks/([^/]+)/", 1)
     try:
         return (
             spark.read.schema(schema).option("header", True)
@@ -103,5 +104,10 @@ def _scan_tasks(spark, experiment_dir, file_name, schema):
         return spark.createDataFrame([], schema).withColumn("task", F.lit(None).cast("string"))
 
 
+def _file_path():
+    """The file's path as it is on disk: Spark reports it percent-encoded, with a plus left as it is."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"

@@ -14,20 +14,28 @@ MISSING_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# What counts as a number: digits with a point and an exponent, or infinity; no type letters at the end.
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None, fmt: str = "csv") -> DataFrame:
     """Read a table with a header row.
 
-    With ``schema`` nothing is inferred (the way to read large CSV data). Without one, the
-    column types integer, double, boolean or text come from one extra aggregate over the file.
+    With ``schema`` nothing is inferred (the way to read large CSV data); columns are found by
+    their header, absent ones are null. Without one, the column types integer, double, boolean or
+    text come from one extra aggregate over the file. ``MISSING_TOKENS`` are null on both paths, and
+    a value that does not fit its column's type is an error.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unknown table format {fmt!r}")
-    if schema is not None:
-        return spark.read.schema(schema).option("header", True).csv(path)
     raw = _as_text(spark, path)
+    if schema is not None:
+        present = [f for f in schema.fields if f.name in raw.columns]
+        cast = _cast(raw, {f.name: f.dataType.simpleString() for f in present}, [f.name for f in present])
+        return cast.select([
+            _quoted(f.name) if f in present else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
     return _cast(raw, fit_column_types(raw))
 
 
@@ -51,7 +59,7 @@ def read_labelled(
         return read_table(spark, data_path, schema, fmt)
     if fmt == "csv" and schema is None:
         train_raw, test_raw = _as_text(spark, train_path), _as_text(spark, test_path)
-        types = fit_column_types(train_raw)
+        types = fit_column_types(train_raw.unionByName(test_raw, allowMissingColumns=True))
         train, test = _cast(train_raw, types), _cast(test_raw, types)
     else:
         train = read_table(spark, train_path, schema, fmt)
@@ -97,7 +105,7 @@ def fit_column_types(raw: DataFrame) -> dict[str, str]:
         checks += [
             F.count(c).alias(f"n{i}"),
             F.count_if(c.isNotNull() & c.try_cast("bigint").isNull()).alias(f"l{i}"),
-            F.count_if(c.isNotNull() & c.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(c.isNotNull() & (~c.rlike(NUMBER) | c.try_cast("double").isNull())).alias(f"d{i}"),
             F.count_if(c.isNotNull() & ~flag(c)).alias(f"b{i}"),
         ]
     row = raw.agg(*checks).first()
@@ -117,7 +125,7 @@ def fit_column_types(raw: DataFrame) -> dict[str, str]:
 
 
 def _quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _as_text(spark: SparkSession, path: str) -> DataFrame:
@@ -127,5 +135,14 @@ def _as_text(spark: SparkSession, path: str) -> DataFrame:
     ])
 
 
-def _cast(raw: DataFrame, types: dict[str, str]) -> DataFrame:
-    return raw.select([_quoted(c).try_cast(types.get(c, "string")).alias(c) for c in raw.columns])
+def _cast(raw: DataFrame, types: dict[str, str], names: list[str] | None = None) -> DataFrame:
+    return raw.select([_fitted(c, types.get(c, "string")) for c in (raw.columns if names is None else names)])
+
+
+def _fitted(name: str, kind: str) -> Column:
+    """The column in its type; a value that does not fit stops the job instead of becoming null."""
+    c = _quoted(name)
+    if kind == "string":
+        return c
+    misfit = F.concat(F.lit(f"column {name}: no {kind}: "), c)
+    return F.coalesce(c.try_cast(kind), F.when(c.isNotNull(), F.raise_error(misfit).cast(kind))).alias(name)

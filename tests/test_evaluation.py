@@ -66,8 +66,8 @@ def test_running_totals_do_not_depend_on_buckets(spark, keys):
     groups = spark.createDataFrame([(r, p, rng.randint(0, 9)) for p, r in rows], "run int, s double, v long")
     got = [
         sorted(map(tuple, running_totals(
-            groups.repartition(n), keys, "s", ("v",), fit_cuts(groups, keys, "s", b, share, 1)).collect()))
-        for n, b, share in ((1, 64, 1), (7, 256, 2), (3, 2, 10))
+            groups.repartition(n), keys, "s", ("v",), fit_cuts(groups, "s", size)).collect()))
+        for n, size in ((1, 64), (7, 15), (3, 2000))
     ] + [sorted(map(tuple, running_totals(groups, keys, "s", ("v",), []).collect()))]
     assert got[0] == got[1] == got[2] == got[3]
     expected, total = {}, {}
@@ -83,7 +83,7 @@ def test_many_scores_of_one_run_take_the_cut_path(spark):
         F.lit(1).alias("run"), (F.hash("id") % 2 == 0).cast("int").alias("label"),
         (F.pmod(F.hash("id"), F.lit(4000)) / 4000).alias("prob"))
     plain = roc.fit_ranked_scores(rows)
-    parted = roc.fit_ranked_scores(rows, probe_share=3, probed_rows=1, buckets=32)
+    parted = roc.fit_ranked_scores(rows, rows_per_range=150)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, parted.collect()))
     assert roc.calibrated(plain).first() == roc.calibrated(parted).first()
     assert roc.mean_roc(parted).count() == 200
@@ -152,3 +152,24 @@ def test_thresholds_fitted_elsewhere(spark):
     record = evaluate.calibrate_and_test(train, test).first()
     assert record["threshold_used"] == .8 and record["threshold_source"] == "pre_calibrated"
     assert record["accuracy"] == pytest.approx(1 / 3)
+
+
+def test_a_run_without_a_threshold_is_an_error(spark):
+    rows = scored(spark, [(1, .9), (0, .2)], [(1, .8), (0, .1)])
+    given = spark.createDataFrame([(1, .5)], "run int, threshold double")
+    for df in (roc.apply_threshold(rows, given), evaluate.evaluate_predictions(rows, given)):
+        with pytest.raises(Exception, match="no threshold for 2"):
+            df.collect()
+
+
+def test_one_number_is_a_threshold_for_all_runs(spark):
+    rows = scored(spark, [(1, .9), (0, .2)], [(1, .3), (0, .1)])
+    assert {r["run"]: r["threshold_used"] for r in evaluate.evaluate_predictions(rows, 0.4).collect()} == {1: .4, 2: .4}
+    assert [r["predicted"] for r in roc.apply_threshold(rows, 0.4).orderBy("run", "prob").collect()] == [0, 1, 0, 0]
+
+
+def test_a_pooled_curve_is_cut_into_ranges(spark):
+    rows = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("label"), (F.hash("id") / 2 ** 32).alias("prob"))
+    pooled = roc.fit_pooled_auc(rows).first()["pooled_auc"]
+    ranked = roc.fit_ranked_scores(rows, (), rows_per_range=100)
+    assert roc.roc_auc(ranked, ()).first()["roc_auc"] == pooled

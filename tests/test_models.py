@@ -85,7 +85,7 @@ def replay(tables, k):
 @pytest.mark.parametrize("k", [1, 3, 5, 9])
 def test_alpha_search(spark, k):
     tables = tables_of(6, seed=8)
-    choice = subset.fit_subset(spark, tables, k)
+    choice = subset.fit_subset(spark, tables, k, "exact")
     mask, reached = replay(tables, k)
     assert choice.features == [f for i, f in enumerate(tables.features) if mask >> i & 1]
     assert choice.reached_k == reached and len(choice.trail) <= 20
@@ -95,7 +95,7 @@ def test_alpha_search(spark, k):
 
 def test_annealed_search_agrees_with_the_exact_one(spark):
     tables = tables_of(8, seed=2)
-    exact = subset.fit_subset(spark, tables, 4)
+    exact = subset.fit_subset(spark, tables, 4, "exact")
     assert subset.fit_subset(spark, tables, 4, "annealed", num_reads=16, sweeps=150).features == exact.features
 
 
@@ -122,6 +122,7 @@ def test_kernel_baseline_separates_a_ring(spark):
     y = (np.hypot(*x.T) > 1.2).astype(int)
     df = spark.createDataFrame([(float(a), float(b), int(v)) for (a, b), v in zip(x, y)], "a double, b double, label int")
     model = baselines.fit_kernel(df, ["a", "b"])
+    assert model.converged
     scored = baselines.kernel_predictions(model, df, ["a", "b"], ("label",)).withColumns(
         {"model": F.lit("k"), "run": F.lit(1)})
     got = reports.fit_binary_metrics(scored, score="prob").first()

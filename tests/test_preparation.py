@@ -5,10 +5,12 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallysift.operators import components, mutual_info, prune, quantiles, scale, split
 from tallysift.plans import preprocess, reduce
 from tallysift.sources import results, tables
+from tallysift.sources import schemas as S
 
 
 def test_types_and_missing_tokens(spark, tmp_path):
@@ -194,3 +196,40 @@ def test_row_keys_survive_recomputation(spark):
     keyed_rows = tables.with_row_key(spark.range(50).select((F.col("id") % 3).alias("v")))
     assert keyed_rows.select("row_id").distinct().count() == 50
     assert sorted(keyed_rows.collect()) == sorted(keyed_rows.collect())
+
+
+def csv(tmp_path, name, text):
+    (tmp_path / name).write_text(text)
+    return str(tmp_path / name)
+
+
+def test_types_of_a_pair_come_from_both_files(spark, tmp_path):
+    train, test = csv(tmp_path, "a.csv", "a,b,y\n1,10,0\n"), csv(tmp_path, "b.csv", "a,b,y\n3.5,x,1\n4,40,1.0\n")
+    got = tables.read_labelled(spark, train_path=train, test_path=test)
+    assert dict(got.dtypes) == {"a": "double", "b": "string", "y": "double", "split": "string"}
+    assert sorted((r.a, r.b, r.y) for r in got.collect()) == [(1.0, "10", 0.0), (3.5, "x", 1.0), (4.0, "40", 1.0)]
+
+
+def test_a_schema_is_applied_by_header(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("y", T.IntegerType())])
+    train, test = csv(tmp_path, "a.csv", "a,b,y\n1,u,0\n"), csv(tmp_path, "b.csv", "y,b\n1,NA\n")
+    got = tables.read_labelled(spark, train_path=train, test_path=test, schema=schema)
+    assert {(r.a, r.b, r.y, r.split) for r in got.collect()} == {(1, "u", 0, "train"), (None, None, 1, "test")}
+    with pytest.raises(Exception, match="column y: no int: 2.5x"):
+        tables.read_table(spark, csv(tmp_path, "c.csv", "a,b,y\n1,u,2.5x\n"), schema).collect()
+
+
+def test_codes_and_dotted_names(spark, tmp_path):
+    got = tables.read_table(spark, csv(tmp_path, "d.csv", "seat,n.x,e\n12D,1,1e3\n14F,2,-.5\n"))
+    assert dict(got.dtypes) == {"seat": "string", "n.x": "bigint", "e": "double"}
+    assert [r.seat for r in got.collect()] == ["12D", "14F"]
+
+
+def test_record_files_keep_their_names_and_must_be_whole(spark, tmp_path):
+    for folder in ("my exp", "a+b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / S.RUN_RECORDS_FILE).write_text("[{}]")
+    assert {r.experiment for r in results.discover_experiments(spark, str(tmp_path)).collect()} == {"my exp", "a+b"}
+    (tmp_path / "a+b" / S.RUN_RECORDS_FILE).write_text('[{"final_loss": 1.0}, {')
+    with pytest.raises(Exception):
+        results.discover_experiments(spark, str(tmp_path)).collect()
