@@ -37,7 +37,7 @@ def j2(spark, sf):
     """Two runs of the query on one state: the second finds nothing new and appends nothing."""
     logs, out, state = write_logs(spark, sf), scratch_dir(spark, "history"), scratch_dir(spark, "state")
     for _ in range(2):
-        T.append_generations(spark, logs, out, state, files_per_batch=4).awaitTermination()
+        T.append_generations(spark, logs, out, state).awaitTermination()
     return spark.read.parquet(out).select("Run", "Epoch", "Metric", "Value")
 
 
@@ -45,5 +45,5 @@ def j2(spark, sf):
   arg_max(fitness, Epoch) AS last_fitness, COUNT(*) AS generations FROM pairs GROUP BY Run""")
 def j3(spark, sf):
     logs, table = write_logs(spark, sf), scratch_dir(spark, "running")
-    T.track_state(spark, logs, table, scratch_dir(spark, "state"), files_per_batch=4).awaitTermination()
-    return spark.read.parquet(table)
+    T.track_state(spark, logs, table, scratch_dir(spark, "state")).awaitTermination()
+    return T.read_state(spark, table)

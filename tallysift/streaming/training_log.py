@@ -1,23 +1,24 @@
 """Live training logs: lines to history rows, incremental append, running state."""
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallysift.streaming.growing_log import read_growing
+
 # Fixed value: a generation line of the training log.
 GENERATION_LINE = r"Generation\s+(\d+):.*BestFitness:\s+([-\d.eE+]+),\s*MeanBest:\s+([-\d.eE+]+)"
 RUN_FOLDER = r"/Run=(\d+)/"
 
 
-def read_log(spark: SparkSession, path: str, stream: bool = True, files_per_batch: int | None = None) -> DataFrame:
-    """Log lines of ``path/Run=<n>/*`` with their run number."""
-    reader = spark.readStream if stream else spark.read
-    if stream and files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(f"{path}/Run=*/").select(
-        F.regexp_extract(F.col("_metadata.file_path"), RUN_FOLDER, 1).cast("int").alias("Run"),
-        F.col("value").alias("line"),
-    )
+def read_log(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
+    """Log lines of ``path/Run=<n>/*`` with their run number; a stream also sees what files grow by."""
+    if stream:
+        found = read_growing(spark, path)
+    else:
+        found = spark.read.text(f"{path}/Run=*/").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return found.select(F.regexp_extract("file", RUN_FOLDER, 1).cast("int").alias("Run"), "line")
 
 
 def parse_generations(lines: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def generation_history(generations: DataFrame) -> DataFrame:
 
 def append_generations(
     spark: SparkSession, log_path: str, history_path: str, state_path: str,
-    every: str | None = None, files_per_batch: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Append history rows of new log lines exactly once.
 
@@ -45,7 +46,7 @@ def append_generations(
     present is flushed and the query ends. A restart with the same ``state_path`` continues
     after the last committed batch.
     """
-    history = generation_history(parse_generations(read_log(spark, log_path, True, files_per_batch)))
+    history = generation_history(parse_generations(read_log(spark, log_path)))
     writer = (
         history.writeStream.format("parquet").partitionBy("Run").outputMode("append")
         .option("path", history_path).option("checkpointLocation", state_path)
@@ -64,16 +65,36 @@ def running_state(generations: DataFrame) -> DataFrame:
 
 def track_state(
     spark: SparkSession, log_path: str, table_path: str, state_path: str,
-    every: str | None = None, files_per_batch: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Keep a table with the running state of every run; each batch replaces it."""
-    state = running_state(parse_generations(read_log(spark, log_path, True, files_per_batch)))
+    """Keep a table with the running state of every run, to be read with ``read_state``.
+
+    Each batch writes a version of its own below ``table_path``, so there is always a whole one to read;
+    the version before the last is then deleted.
+    """
+    state = running_state(parse_generations(read_log(spark, log_path)))
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_path}/v{number:012d}")
+        store, _ = fs.FileSystem.from_uri(table_path)
+        for old in _versions(table_path)[:-2]:
+            store.delete_dir(old)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         state.writeStream.outputMode("complete").foreachBatch(replace)
         .option("checkpointLocation", state_path).trigger(**trigger).start()
     )
+
+
+def read_state(spark: SparkSession, table_path: str) -> DataFrame:
+    """The last whole version that ``track_state`` has written."""
+    return spark.read.parquet(f"{table_path}/{_versions(table_path)[-1].rsplit('/', 1)[-1]}")
+
+
+def _versions(table_path: str) -> list[str]:
+    """Paths of the finished versions, oldest first."""
+    store, path = fs.FileSystem.from_uri(table_path)
+    found = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("v"))
+    done = store.get_file_info([f"{p}/_SUCCESS" for p in found])
+    return [p for p, d in zip(found, done) if d.is_file]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallysift.operators import baselines, comparison, curves, mutual_info, records, reports, scoring, search, subset
 from tallysift.session import scratch_dir
-from tallysift.streaming import training_log
+from tallysift.streaming import growing_log, training_log
 
 
 def tables_of(n, seed=0, low=()):
@@ -244,3 +244,31 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     assert [(r["Run"], r["Epoch"], r["Metric"]) for r in rows] == [
         (1, e, m) for e in (1, 2, 3, 4) for m in ("fitness", "mean_best")]
     assert rows[0]["Value"] == -0.015 and rows[1]["Value"] == -1.1
+
+
+def test_a_growing_file_is_read_on_and_a_half_line_waits(spark, tmp_path):
+    log, out, state = tmp_path / "log" / "Run=3", scratch_dir(spark, "out"), scratch_dir(spark, "state")
+    table, kept = scratch_dir(spark, "table"), scratch_dir(spark, "kept")
+    log.mkdir(parents=True)
+    line = "Generation {0}: x, BestFitness: -0.{0}, MeanBest: -1.{0}\n"
+    whole = "".join(line.format(k) for k in range(1, 7))
+    seen = []
+    for cut in (len(line.format(1)), 2 * len(line.format(1)) + 20, len(whole)):
+        (log / "training.log").write_text(whole[:cut])
+        training_log.append_generations(spark, str(tmp_path / "log"), out, state).awaitTermination()
+        training_log.track_state(spark, str(tmp_path / "log"), table, kept).awaitTermination()
+        seen.append([r["Epoch"] for r in spark.read.parquet(out).filter("Metric = 'fitness'").orderBy("Epoch").collect()])
+        assert training_log.read_state(spark, table).first()["generations"] == len(seen[-1])
+    assert seen == [[1], [1, 2], [1, 2, 3, 4, 5, 6]]
+    batch = training_log.generation_history(training_log.parse_generations(
+        training_log.read_log(spark, str(tmp_path / "log"), stream=False)))
+    assert batch.count() == spark.read.parquet(out).count() == 12
+
+
+def test_pieces_of_a_growing_file_hold_each_line_once(tmp_path):
+    lines = [f"line {k} " + "x" * (k % 23) for k in range(200)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\nhalf")
+    for size in (7, 64, 1000, 10 ** 6):
+        reader = growing_log.GrowingLines({"path": str(tmp_path), "piece_bytes": size})
+        end = reader.latestOffset()
+        assert [t for p in reader.partitions({}, end) for _, t in reader.read(p)] == lines
