@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,7 +163,8 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of ``marked`` (stored: it is read twice)."""
+    """(fp, root, component_id) for every distinct fingerprint of ``marked`` (stored: it is read twice); ``root`` names
+    the class, ``component_id`` is its smallest id."""
     nodes = stored(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least")), "fingerprints")
     keyed = nodes.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in KEYS))).alias("mask"))
     buckets = (keyed.groupBy("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
@@ -173,7 +174,7 @@ def classes(marked: DataFrame, doc_id: str = "doc_id", fp: str = "fp") -> DataFr
               .withColumn("root", F.coalesce("root", "fp")))
     rooted = stored(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,14 +184,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each class, all columns as they came; of rows that repeat that id in the
-    class the first by text stays. A class of null ids only keeps its first text."""
-    fp, cls, rank = free_name(docs, "_fp", "_cls", "_rank")
-    marked = stored(with_fingerprint(docs, text, name=fp), "marked")
-    named = classes(marked, doc_id, fp).toDF(fp, cls)
-    least = (marked.select(doc_id, fp).join(named, fp).where(F.col(doc_id).eqNullSafe(F.col(cls)))
-             .groupBy(cls).agg(F.min(fp).alias(fp)))
-    own = marked.alias("m").join(
-        least.alias("k"), F.col(f"m.{doc_id}").eqNullSafe(F.col(f"k.{cls}")) & (F.col(f"m.{fp}") == F.col(f"k.{fp}")))
-    one = own.selectExpr("m.*", f"row_number() OVER (PARTITION BY m.`{doc_id}`, m.`{fp}` ORDER BY m.`{text}`) AS {rank}")
-    return one.where(F.col(rank) == 1).select(*own_columns(docs))
+    """The document with the smallest id of each class, all columns as they came. Of rows that repeat that id in the
+    class one stays: the least by text hash, of equal texts the least by a hash of all columns. A class of null ids only
+    keeps one row in the same way.
+
+    Rows are known by id and text hash, so what is stored and joined on the way holds no texts; the documents are
+    shuffled once, for the join that picks them.
+    """
+    kd, kx, rank = free_name(docs, "_kd", "_kx", "_rank")
+    keys = {kd: F.xxhash64(F.col(doc_id)), kx: F.xxhash64(F.col(text), F.col(doc_id).isNull())}
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *(c.alias(n) for n, c in zip(("kd", "kx"), keys.values())))
+    marked = stored(with_fingerprint(keyed, "text", keep=["id", "kd", "kx"]), "marked")
+    one = (marked.join(classes(marked, "id"), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+           .groupBy("root").agg(F.min(F.struct("kx", "kd")).alias("k")).select(F.col("k.kd").alias(kd), F.col("k.kx").alias(kx)))
+    picked = docs.withColumns(keys).join(one, [kd, kx])
+    first = F.row_number().over(Window.partitionBy(kd, kx).orderBy(F.xxhash64(*own_columns(docs))))
+    return picked.withColumn(rank, first).where(F.col(rank) == 1).select(*own_columns(docs))
