@@ -134,9 +134,8 @@ qubo AS (SELECT raw.alpha, f1, f2,
 
 @query("e6_qubo_coefficients", f"WITH {QUBO} SELECT alpha, f1, f2, {r9('coef')} AS coef FROM qubo")
 def e6(spark, sf):
-    binned = line_bins(spark, sf)
-    single = M.importance(binned, X.LINE_FEATURES, "label")
-    return rounded(subset.qubo_coefficients(single, M.redundancy(binned, X.LINE_FEATURES), ALPHAS), "coef")
+    mi = M.relevance_and_redundancy(line_bins(spark, sf), X.LINE_FEATURES, "label")
+    return rounded(subset.qubo_coefficients(mi, "label", ALPHAS), "coef")
 
 
 PLACES = " UNION ALL ".join(f"SELECT '{c}' AS f, {i} AS i" for i, c in enumerate(X.LINE_FEATURES))

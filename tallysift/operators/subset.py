@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EPSILON = 1e-8  # fixed value: relevance below this counts as none
 ALPHA_WIDTH = 1e-6  # fixed value: the alpha search stops below this interval width
@@ -48,21 +49,20 @@ def fit_mi_tables(mi: DataFrame, features: list[str], label: str) -> MiTables:
     return MiTables(tuple(features), tuple(relevance), pairs)
 
 
-def qubo_coefficients(
-    relevance: DataFrame, redundancy: DataFrame, alphas: list[float], epsilon: float = EPSILON
-) -> DataFrame:
-    """Coefficient table (alpha, f1, f2, coef) for each alpha; f1 = f2 on the diagonal."""
-    alpha = F.explode(F.lit([float(a) for a in alphas])).alias("alpha")
-    single = relevance.select(alpha, F.col("feature").alias("f1"), F.col("feature").alias("f2"), "mi")
-    paired = redundancy.select(alpha, "f1", "f2", "mi")
-    raw = single.withColumn("raw", -F.col("alpha") * F.col("mi")).unionByName(
-        paired.withColumn("raw", 2 * (1 - F.col("alpha")) * F.col("mi")))
-    peak = raw.groupBy("alpha").agg(F.max("raw").alias("peak")).withColumn(
-        "mu", F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0))
-    penalised = (F.col("f1") == F.col("f2")) & (F.col("alpha") * F.col("mi") < epsilon)
-    return raw.join(peak, "alpha").select(
-        "alpha", "f1", "f2", F.when(penalised, F.col("mu")).otherwise(F.col("raw")).alias("coef")
-    )
+def qubo_coefficients(mi: DataFrame, label: str, alphas: list[float], epsilon: float = EPSILON) -> DataFrame:
+    """Coefficient table (alpha, f1, f2, coef) for each alpha; f1 = f2 on the diagonal.
+
+    ``mi`` comes from ``relevance_and_redundancy``: one counting pass over the rows.
+    """
+    single, weight = F.col("f2") == label, F.col("alpha")
+    rows = mi.withColumn("alpha", F.explode(F.lit([float(a) for a in alphas]))).select(
+        "alpha", "f1", F.when(single, F.col("f1")).otherwise(F.col("f2")).alias("f2"), "mi",
+        F.when(single, -weight * F.col("mi")).otherwise(2 * (1 - weight) * F.col("mi")).alias("raw"))
+    peak = F.max("raw").over(Window.partitionBy("alpha"))
+    penalised = (F.col("f1") == F.col("f2")) & (weight * F.col("mi") < epsilon)
+    return rows.select(
+        "alpha", "f1", "f2",
+        F.when(penalised, F.when(peak > 0, peak).otherwise(1.0)).otherwise(F.col("raw")).alias("coef"))
 
 
 def subset_table(spark: SparkSession, tables: MiTables) -> DataFrame:
