@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import numbered, numbered_fields
+from tallysift.llm.common import hashed_sample, numbered, numbered_fields
 from tallysift.llm.page_blocks import TAG_BUCKETS, WORD_BUCKETS, Features, blocks_of, invented
 
 TAG_SIZE, WORD_SIZE, HIDDEN, FIGURES = 16, 8, 16, 4
@@ -157,7 +157,7 @@ def by_elements(page: list) -> np.ndarray | None:
 
 def fit(pages: DataFrame, html: str = "html", fit_pages: int = 192, fit_chars: int = 200_000, made_up: int = 300) -> dict:
     """Train on made-up pages and a bounded sample of real ones."""
-    rows = (pages.where(F.length(html) <= fit_chars).select(html).orderBy(F.xxhash64(html), html).limit(fit_pages).collect())
+    rows = hashed_sample(pages.where(F.length(html) <= fit_chars).select(html), fit_pages, F.col(html)).collect()
     known = [(b, y) for b in (blocks_of(r[0]) for r in rows) if b and (y := by_elements(b)) is not None]
     return train(known + invented(made_up, seed=5))
 

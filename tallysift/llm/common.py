@@ -29,6 +29,18 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def hashed_sample(df: DataFrame, rows: int, *by: Column) -> DataFrame:
+    """At most ``rows`` rows, those with the least hash of ``by``, for fits on a bounded sample.
+
+    Of a large table a fixed share by hash, about four times the rows wanted, is let through first, so that what tasks
+    send for the choice doesn't grow with their number.
+    """
+    h, n = F.xxhash64(*by), df.count()
+    if n > 4 * rows:
+        df = df.where(h.bitwiseAND((1 << 40) - 1) < int(4 * rows / n * (1 << 40)))
+    return df.orderBy(h, *by).limit(rows)
+
+
 def id_crc(doc_id: str) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

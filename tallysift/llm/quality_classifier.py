@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.llm.common import id_crc, numbered, numbered_fields, small_side, stored
+from tallysift.llm.common import hashed_sample, id_crc, numbered, numbered_fields, small_side, stored
 from tallysift.llm.decontaminate import _pieces, mixed, words_of
 
 BITS = 18
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc
     zeros[sums.bucket] += sums.zeros
     ratios = np.log(ones / ones.sum()) - np.log(zeros / zeros.sum())
     order = F.xxhash64("_id")
-    chosen = stored(marks.orderBy(order, "_id").limit(fit_rows), "chosen")
+    chosen = stored(hashed_sample(marks, fit_rows, F.col("_id")), "chosen")
     rows = stored(body.join(small_side(chosen), "_id").orderBy(order).limit(fit_rows)
                   .select(order.alias("order"), "label", "text").mapInArrow(
                       indicator_rows, "order long, label int, buckets array<int>"), "sample")
