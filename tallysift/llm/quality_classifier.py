@@ -123,8 +123,8 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
     values = []
     for b in rows:
         v = scale[b]
-        values.append(v / (np.sqrt(v @ v) or 1.0))
-    norm = np.array([v @ v + 1 for v in values])
+        values.append((v / (np.sqrt(v @ v) or 1.0)).astype(np.float32))
+    norm = np.array([float(v @ v) + 1 for v in values])
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
@@ -180,24 +180,23 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text",
-        label: str = "quality", fit_rows: int = 8000, fit_nonzeros: int = 12_000_000) -> Model:
+        label: str = "quality", fit_rows: int = 4000, fit_nonzeros: int = 4_000_000) -> Model:
     """Train on the labelled rows for which ``training`` (a condition on the document id) holds."""
     marks = stored(labels.where(training & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id"))
                    .agg(F.max(label).cast("int").alias("label")).where("label IN (0, 1)"), "marks")
     body = docs.where(training).select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("text"))
     labelled = body.join(small_side(marks), "_id")
     tally = labelled.select("label", "text").mapInArrow(counts_of, "bucket long, ones long, zeros long")
-    sums = tally.groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toPandas()
-    total = sums[sums.bucket < 0]
-    n_ones, n_zeros = int(total.ones.sum()), int(total.zeros.sum())
+    sums = tally.groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow()
+    bucket, n_one, n_zero = (sums.column(k).to_numpy() for k in range(3))
+    n_ones, n_zeros = int(n_one[bucket < 0].sum()), int(n_zero[bucket < 0].sum())
     flat = np.zeros(SIZE + 1)
     if not n_ones or not n_zeros:
         prior = (n_ones + 1) / (n_ones + n_zeros + 2)
         return Model(np.zeros(SIZE), flat, 0.0, float(np.log(prior / (1 - prior))))
     ones, zeros = np.ones(SIZE), np.ones(SIZE)
-    sums = sums[sums.bucket >= 0]
-    ones[sums.bucket] += sums.ones
-    zeros[sums.bucket] += sums.zeros
+    ones[bucket[bucket >= 0]] += n_one[bucket >= 0]
+    zeros[bucket[bucket >= 0]] += n_zero[bucket >= 0]
     ratios = np.log(ones / ones.sum()) - np.log(zeros / zeros.sum())
     order = F.xxhash64("_id")
     chosen = stored(hashed_sample(marks, fit_rows, F.col("_id")), "chosen")
@@ -205,8 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc
                   .select(order.alias("order"), "label", "text").mapInArrow(
                       indicator_rows, "order long, label int, buckets array<int>"), "sample")
     running = F.sum(F.size("buckets")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("running", running).where(F.col("running") <= fit_nonzeros).orderBy("order").toPandas()
-    x, y = list(sample.buckets), np.where(sample.label == 1, 1.0, -1.0)
+    sample = rows.withColumn("running", running).where(F.col("running") <= fit_nonzeros).orderBy("order").select(
+        "label", "buckets").toArrow().combine_chunks()
+    y = np.where(sample.column("label").to_numpy() == 1, 1.0, -1.0)
+    x = [b.values.to_numpy() for b in sample.column("buckets")]
     aside = np.arange(len(x)) % 5 == 4
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False
