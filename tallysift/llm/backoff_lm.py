@@ -1,21 +1,21 @@
 """Language-model scores by a weighted backoff automaton.
 
-Tokens are lower-cased words and an end. The unigram of every training word is in the model, so the model grows with
-the corpus. Words that make up at least ``head_share`` of the training tokens (at most 1 / head_share of them) also
-form 2- and 3-grams; of those the ones with at least ``gram_share`` of the tokens and two occurrences are kept (at most
-1 / gram_share per length). Probabilities are discounted counts, and what the discount and the dropped n-grams leave is
-spread over the shorter history's words, so that each history's probabilities add up to one; below all is the
+Tokens are lower-cased words and an end. The unigram of every training word is in the model, and so is every 2- and
+3-gram that occurs at least ``least`` = 2 times in the training texts (of a 3-gram also both 2-grams, which follows), so
+the model grows with the corpus. Probabilities are discounted counts, and what the discount and the dropped n-grams
+leave is spread over the shorter history's words, so that each history's probabilities add up to one; below all is the
 add-one unigram.
 
 The automaton has a state per kept history, an arc per kept n-gram with its log10 probability and the next state, and
-from each state a failure arc to the next shorter history with its backoff weight. A text is scored in one pass from
-left to right: the state is carried from token to token, and where it has no arc for a word the failure arcs are
-followed down to the root, whose arcs are the unigrams.
-
-The n-gram part has a fixed bound and is broadcast. The unigrams haven't: documents are dealt into chunks of about
-``CHUNK_BYTES`` of text, every chunk asks for the counts of the words it has (a row per chunk and word, never one per
-token or document), and gets them in a co-grouped task. Null and empty texts have the end token only; repeated rows
-count each time; without training rows every token has probability one of the unknown.
+from each state a failure arc to the next shorter history with its backoff weight. Where a state has no arc for a word
+the failure arcs are followed down to the root, whose arcs are the unigrams.
+
+No part of it is held whole. Documents are dealt into chunks of about ``CHUNK_BYTES`` of text; every chunk asks for the
+words, then the 2-grams, then the 3-grams it has (a row per chunk and n-gram, never one per token or document), gets the
+counts and the backoff weights of those alone, and is scored with the arcs and failure arcs of its own part of the
+automaton. Words are numbered by falling count, so a number tells the count by a table of the distinct counts, which
+grows with the square root of the tokens. Null and empty texts have the end token only; repeated rows count each time;
+without training rows every token has probability one of the unknown.
 """
 
 from collections import Counter
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK_BYTES = 16 << 20
 DISCOUNT = 0.75
 ROOT, START = 0, 1
+#: Numbers of the end, of the start and of the most frequent word; unseen words and words seen once have none.
+END_NUMBER, START_NUMBER, FIRST_NUMBER, UNSEEN, ONCE = 0, 1, 2, -1, -2
+BITS = 31
+LAST = (1 << BITS) - 1
 
 
 def words_in(text: bytes | None) -> list[bytes]:
@@ -56,7 +60,7 @@ def chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Head:
-    """Numbers of the frequent words; the end and the start of a text have the two numbers after them."""
+    """Numbers of words for an automaton in memory; the end and the start of a text have the two numbers after them."""
 
     def __init__(self, words: list[bytes]):
         self.ids = {w: k for k, w in enumerate(words)}
@@ -68,46 +72,6 @@ class Head:
         return np.array([self.start, *(get(w, -1) for w in words), self.end], np.int64)
 
 
-def gram_counts(head, length: int, allowed):
-    """(training, body) rows to (gram, n) per task: the n-grams of head words whose both shorter parts are allowed
-    (None: all). A gram is its words' numbers in base ``head.size``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, keep = head.value, None if allowed is None else allowed.value
-        held, size, sums = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-        def merged(sums, held):
-            keys, inverse = np.unique(np.concatenate([sums[0], *held]), return_inverse=True)
-            weight = np.concatenate([sums[1], np.ones(len(inverse) - len(sums[0]), np.int64)])
-            return keys, np.bincount(inverse, weight, minlength=len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for train, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not train:
-                    continue
-                s = h.sequence(words_in(body))
-                n = len(s) - length + 1
-                if n <= 0:
-                    continue
-                ok, gram = np.ones(n, bool), np.zeros(n, np.int64)
-                for k in range(length):
-                    part = s[k:k + n]
-                    ok &= part >= 0
-                    gram = gram * h.size + part
-                if keep is not None:
-                    pair = s[:-1] * h.size + s[1:]
-                    at = np.minimum(np.searchsorted(keep, pair), max(len(keep) - 1, 0))
-                    known = keep[at] == pair if len(keep) else np.zeros(len(pair), bool)
-                    ok &= known[:n] & known[1:n + 1]
-                held.append(gram[ok])
-                size += len(held[-1])
-                if size > 1 << 20:
-                    sums, held, size = merged(sums, held), [], 0
-        keys, counts = merged(sums, held)
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
-    return run
-
-
 class Automaton:
     """States, arcs and failure arcs. ``unigrams``: log10 probabilities by head number; ``history``: how often each
     head number is followed by a token; ``pairs`` and ``triples``: counts by gram."""
@@ -184,59 +148,231 @@ class Automaton:
         return total
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", head_share: float = 1e-4, gram_share: float = 1e-5,
-          name: str = "lm", keep: list[str] | None = None) -> DataFrame:
+class Unigrams:
+    """Counts and log10 probabilities of word numbers. ``classes``: (count, words with it) by falling count."""
+
+    def __init__(self, classes: list[tuple[int, int]], ends: int, tokens: int, types: int):
+        self.values = np.array([n for n, _ in classes] + [0], np.int64)
+        self.bounds = np.cumsum([k for _, k in classes], dtype=np.int64)
+        self.ends, self.norm = ends, float(np.log10(tokens + types + 1))
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """How often a word occurs, which is also how often a token follows it."""
+        n = self.values[np.searchsorted(self.bounds, numbers - FIRST_NUMBER, "right")]
+        return np.where(numbers >= FIRST_NUMBER, n, np.where(numbers >= 0, self.ends, numbers == ONCE))
+
+    def logs(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10(counts + 1.0) - self.norm
+
+
+def column_of(table: pa.Table, k: int) -> np.ndarray:
+    """Null doubles are NaN."""
+    return table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def laid(seqs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' numbers in a row, each text behind a start; the text of each."""
+    lengths = seqs.combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = seqs.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.insert(flat, np.cumsum(lengths) - lengths, START_NUMBER), np.repeat(np.arange(len(lengths)), lengths + 1)
+
+
+def pairs_of(s: np.ndarray) -> np.ndarray:
+    """The 2-gram that ends at each token; -1 where there is none or a word of it has no number."""
+    pair = np.full(len(s), -1, np.int64)
+    ok = (s[1:] != START_NUMBER) & (s[1:] >= 0) & (s[:-1] >= 0)
+    pair[1:][ok] = (s[:-1][ok] << BITS) + s[1:][ok]
+    return pair
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in the sorted ``keys`` each wanted one is; -1: nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def pair_rows(table: pa.Table) -> pa.Table:
+    """The texts (chunk, train, seq) of a chunk to (chunk, pair, n): all its 2-grams, n counts training texts only."""
+    (s, of), train = laid(table.column(2)), column_of(table, 1).astype(np.int64)
+    pair = pairs_of(s)
+    found = pair >= 0
+    keys, inverse = np.unique(pair[found], return_inverse=True)
+    n = np.bincount(inverse, train[of[found]], minlength=len(keys)).astype(np.int64)
+    return pa.table({"chunk": np.full(len(keys), table.column(0)[0].as_py(), np.int32), "pair": keys, "n": n})
+
+
+def word_rows(table: pa.Table) -> pa.Table:
+    """The texts of a chunk to (chunk, number): its numbered words and the start."""
+    numbers = np.unique(laid(table.column(2))[0])
+    numbers = numbers[numbers >= 0]
+    return pa.table({"chunk": np.full(len(numbers), table.column(0)[0].as_py(), np.int32), "number": numbers})
+
+
+def triple_rows(table: pa.Table, kept: pa.Table) -> pa.Table:
+    """The texts and the kept 2-grams (chunk, pair, n) of a chunk to (chunk, pair, last, n, shorter): its 3-grams of two
+    kept ones, and how often the later of those occurs."""
+    if not table.num_rows:
+        return pa.table({"chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.int64()) for c in ("pair", "last", "n", "shorter")}})
+    (s, of), train = laid(table.column(2)), column_of(table, 1).astype(np.int64)
+    keys, first = np.unique(column_of(kept, 1).astype(np.int64), return_index=True)
+    counts = column_of(kept, 2).astype(np.int64)[first]
+    at = places(keys, pairs_of(s))
+    found = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0)) + 1
+    grams, inverse = np.unique((at[found - 1] << BITS) + s[found], return_inverse=True)
+    n = np.bincount(inverse, train[of[found]], minlength=len(grams)).astype(np.int64)
+    before, last = grams >> BITS, grams & LAST
+    shorter = counts[places(keys, ((keys[before] & LAST) << BITS) + last)] if len(grams) else grams
+    return pa.table({"chunk": np.full(len(grams), table.column(0)[0].as_py(), np.int32), "pair": keys[before], "last": last,
+                     "n": n, "shorter": shorter})
+
+
+def chunk_scores(s: np.ndarray, unigrams: Unigrams, words: tuple, pairs: tuple, triples: tuple) -> np.ndarray:
+    """log10 probability of each token of ``laid`` texts (0 for starts), by the arcs and failure arcs of the states.
+
+    ``words``: numbers with kept 2-grams behind them, backoff weights; ``pairs``: kept 2-grams, counts, backoff weights
+    (NaN: no kept 3-gram goes on from it); ``triples``: 2-gram, last number and count of the kept 3-grams. All sorted."""
+    count = unigrams.counts(s)
+    history, log = np.roll(count, 1), unigrams.logs(count)
+    at = places(words[0], s)
+    weight = np.append(words[1], 0.0)[at]
+    pair = places(pairs[0], pairs_of(s))
+    n = np.append(pairs[1], 1)[pair]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        log = np.where(pair >= 0, np.log10((n - DISCOUNT) / history), np.roll(weight, 1) + log)
+    weight = np.append(pairs[2], np.nan)[pair]
+    before, weight = np.roll(pair, 1), np.roll(weight, 1)
+    deep = ~np.isnan(weight) & (s != START_NUMBER)
+    keys = (places(pairs[0], triples[0]) << BITS) + triples[1]
+    order = np.argsort(keys)
+    triple = places(keys[order], np.where(deep & (s >= 0), (before << BITS) + s, -1))
+    n = np.append(triples[2][order], 1)[triple]
+    arc = np.log10((n - DISCOUNT) / np.append(pairs[1], 1)[before])
+    log = np.where(deep, np.where(triple >= 0, arc, weight + log), log)
+    return np.where(s == START_NUMBER, 0.0, log)
+
+
+def left_over(kept: Column, below: Column) -> Column:
+    """The backoff weight of a history whose arcs have the probabilities ``kept``, and ``below`` without it."""
+    return F.log10(F.greatest(1 - kept, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12)))
+
+
+def score(docs: DataFrame, training: Column, text: str = "text", least: int = 2, name: str = "lm",
+          keep: list[str] | None = None) -> DataFrame:
     """Add a struct of n_tokens, n_known, train_tokens, base_score and score. Of the own columns only ``keep`` (None:
-    all but the text) stay. The chunked texts are cached until ``spark.catalog.clearCache()`` or the session's end."""
+    all but the text) stay. The chunked texts are cached, as numbers, until ``spark.catalog.clearCache()`` or the
+    session's end."""
+    if least < 2:
+        raise ValueError("n-grams seen once are not kept: least must be 2 or more")
     spark, own = docs.sparkSession, [c for c in (docs.columns if keep is None else keep) if c != text]
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(spark.sparkContext.defaultParallelism, -(-size // CHUNK_BYTES))
     held = (docs.select(
         *numbered(docs, own), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
-        training.alias("train"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+        F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
         .repartition(chunks, "chunk").persist(StorageLevel.MEMORY_AND_DISK))
     asked = stored(held.select("chunk", "train", "body").mapInArrow(chunk_words, "chunk int, word binary, n long"), "words")
-    counts = stored(asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
-    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ranked = asked.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "word")
+    ranked = stored(ranked.select("word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "unigrams")
+    classes = [(r.n, r.k) for r in ranked.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()]
     ends = held.where("train").count()
-    tokens, types = tokens + ends, types + (ends > 0)
-    frequent = counts.where(F.col("n") >= max(2.0, tokens * head_share)).orderBy("word").collect()
-    head = Head([bytes(r.word) for r in frequent])
-    shared = spark.sparkContext.broadcast(head)
-    texts = held.select("train", "body")
-
-    def grams(length: int, allowed) -> dict[int, int]:
-        found = texts.mapInArrow(gram_counts(shared, length, allowed), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        return {r.gram: r.n for r in found.where(F.col("n") >= max(2.0, tokens * gram_share)).collect()}
-
-    pairs = grams(2, None)
-    triples = grams(3, spark.sparkContext.broadcast(np.array(sorted(pairs), np.int64))) if pairs else {}
-    history = np.array([r.n for r in frequent] + [0, ends], np.int64)
-    norm = float(np.log10(tokens + types + 1))
-    automaton = spark.sparkContext.broadcast(Automaton(head, np.log10(history + 1.0) - norm, history, pairs, triples))
-    answers = asked.select("chunk", "word").join(counts, "word")
-    schema = T.StructType([*numbered_fields(docs, own), T.StructField("lm", T.StructType([
+    tokens, types = ends + sum(n * k for n, k in classes), (ends > 0) + sum(k for _, k in classes)
+    if types >= LAST - FIRST_NUMBER:
+        raise ValueError(f"{types} distinct words are more than {BITS} bits number")
+    offsets, before = {}, FIRST_NUMBER
+    for r in ranked.groupBy("part").agg(F.count("*").alias("k")).orderBy("part").collect():
+        offsets[r.part], before = before, before + r.k
+    offset = F.create_map(*(F.lit(x) for item in offsets.items() for x in item))[F.col("part")] if offsets else F.lit(0)
+    row = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    numbers = ranked.select("word", F.when(F.col("n") > 1, offset + row).otherwise(ONCE).cast("int").alias("number"))
+    shared = spark.sparkContext.broadcast(Unigrams([c for c in classes if c[0] > 1], ends, tokens, types))
+    fields = numbered_fields(docs, own)
+    schema = T.StructType([
+        *fields, T.StructField("chunk", T.IntegerType()), T.StructField("train", T.BooleanType()),
+        T.StructField("seq", T.ArrayType(T.IntegerType())), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType())])
+
+    def numbered_texts(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        model = shared.value
+        get = dict(zip(answers.column("word").to_pylist(), answers.column("number").to_pylist())).get
+        seqs, known, base = [], [], []
+        for body in rows.column("body").to_pylist():
+            s = np.array([*(get(w, UNSEEN) for w in words_in(body)), END_NUMBER], np.int32)
+            c = model.counts(s)
+            seqs.append(s)
+            known.append(int((c > 0).sum()))
+            base.append(float(model.logs(c).sum()))
+        made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, seqs)]), pa.int32()),
+                                        pa.array(np.concatenate(seqs) if seqs else np.zeros(0, np.int32)))
+        return pa.Table.from_arrays([*rows.columns[:-1], made, pa.array(known, pa.int64()), pa.array(base, pa.float64())],
+                                    names=schema.names)
+
+    rows = held.select(*(f"c{k}" for k in range(len(own))), "chunk", "train", "body")
+    answers = asked.select("chunk", "word").join(numbers, "word")
+    texts = (rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(numbered_texts, schema)
+             .repartition(chunks, "chunk").persist(StorageLevel.MEMORY_AND_DISK))
+    texts.count()
+    held.unpersist()
+    seqs = texts.select("chunk", "train", "seq")
+
+    def counted(rows: DataFrame, *gram: str) -> DataFrame:
+        """The rows of kept n-grams with n from all chunks; ``first`` marks one row of each n-gram."""
+        each = Window.partitionBy(*gram)
+        return (rows.withColumn("n", F.sum("n").over(each)).where(F.col("n") >= least)
+                .withColumn("first", F.row_number().over(each.orderBy("chunk")) == 1))
+
+    pairs = stored(counted(seqs.groupBy("chunk").applyInArrow(pair_rows, "chunk int, pair long, n long"), "pair"), "pairs")
+    triples = stored(counted(
+        seqs.groupBy("chunk").cogroup(pairs.select("chunk", "pair", "n").groupBy("chunk"))
+        .applyInArrow(triple_rows, "chunk int, pair long, last long, n long, shorter long"), "pair", "last"), "triples")
+
+    def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            pair, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            number, below = pair >> BITS, 10.0 ** model.logs(model.counts(pair & LAST))
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array((n - DISCOUNT) / model.counts(number)), pa.array(below)],
+                                             names=["number", "p", "below"])
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            pair, n, shorter = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            below = (shorter - DISCOUNT) / model.counts(pair & LAST)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n - DISCOUNT), pa.array(below)], names=["pair", "mass", "below"])
+
+    single = (pairs.where("first").select("pair", "n").mapInArrow(arcs, "number long, p double, below double")
+              .groupBy("number").agg(left_over(F.sum("p"), F.sum("below")).alias("weight")))
+    double = (triples.where("first").select("pair", "n", "shorter").mapInArrow(followed, "pair long, mass double, below double")
+              .groupBy("pair").agg(F.sum("mass").alias("mass"), F.sum("below").alias("below")))
+    none = F.lit(None).cast("double")
+    asked_words = seqs.groupBy("chunk").applyInArrow(word_rows, "chunk int, number long").join(single, "number")
+    own_pairs = pairs.select("chunk", "pair", "n").join(double, "pair", "left")
+    parts = asked_words.select("chunk", F.lit(1).alias("kind"), F.col("number").alias("a"), F.lit(0).cast("long").alias("last"),
+                               F.lit(0).cast("long").alias("n"), "weight").union(
+        own_pairs.select("chunk", F.lit(2), "pair", F.lit(0).cast("long"), "n", left_over(F.col("mass") / F.col("n"), F.col("below")))).union(
+        triples.select("chunk", F.lit(3), "pair", "last", "n", none))
+    out = T.StructType([*fields, T.StructField("lm", T.StructType([
         T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]))])
-    arrow = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-                       ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        model = automaton.value
-        known = dict(zip(answers.column("word").to_pylist(), answers.column("n").to_pylist()))
-        get, number, out = known.get, model.head.ids.get, []
-        for text_ in rows.column("body").to_pylist():
-            words = words_in(text_)
-            c = np.array([*(get(w, 0) for w in words), ends], np.int64)
-            single = np.log10(c + 1.0) - norm
-            numbers = [number(w, -1) for w in words]
-            numbers.append(model.head.end)
-            out.append({"n_tokens": len(c), "n_known": int((c > 0).sum()), "train_tokens": tokens,
-                        "base_score": float(single.sum()), "score": model.score(numbers, single.tolist())})
-        return pa.Table.from_arrays([*(rows.column(k) for k in range(len(own))), pa.array(out, arrow)], names=schema.names)
-
-    rows = held.select(*(f"c{k}" for k in range(len(own))), "chunk", "body")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema).toDF(*own, name)
+
+    def scored(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        s, of = laid(rows.column("seq"))
+        kind, a, last, n = (column_of(parts, k).astype(np.int64) for k in (1, 2, 3, 4))
+        weight = column_of(parts, 5).astype(float)
+        (w, w_at), (p, p_at) = (np.unique(a[kind == k], return_index=True) for k in (1, 2))
+        third = kind == 3
+        logs = chunk_scores(s, shared.value, (w, weight[kind == 1][w_at]), (p, n[kind == 2][p_at], weight[kind == 2][p_at]),
+                            (a[third], last[third], n[third]))
+        count = rows.num_rows
+        lm = pa.StructArray.from_arrays(
+            [pa.array(np.bincount(of, minlength=count) - 1), rows.column("n_known").combine_chunks(), pa.array(np.full(count, tokens, np.int64)),
+             rows.column("base_score").combine_chunks(), pa.array(np.bincount(of, logs, minlength=count))],
+            names=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.Table.from_arrays([*(rows.column(k) for k in range(len(own))), lm], names=out.names)
+
+    read = texts.select(*(f"c{k}" for k in range(len(own))), "chunk", "seq", "n_known", "base_score")
+    return read.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(scored, out).toDF(*own, name)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

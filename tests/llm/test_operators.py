@@ -248,6 +248,32 @@ def test_automaton_sums_to_one_and_equals_recursion():
         assert sum(grown) + rest == pytest.approx(1, rel=1e-9)
 
 
+def test_language_model_keeps_every_gram_seen_twice(docs_of):
+    """Against an automaton of all counts, over several chunks; the grams have shares far below 1e-5 of the tokens."""
+    rng = random.Random(8)
+    rare = [f"rare{k} pair{k} goes{k} on" for k in range(40)] * 2
+    filler = [" ".join(rng.choice(("aa", "bb", "cc", "dd")) for _ in range(30_000)) for _ in range(12)]
+    texts = rare + filler + ["", "rare3 pair3 goes3 off", "pair5 goes5 on on", "aa new bb"]
+    got = {r.doc_id: r.lm for r in backoff_lm.score(docs_of(list(enumerate(texts))), F.col("doc_id") < len(texts) - 3).collect()}
+    train = [backoff_lm.words_in(t.encode()) for t in texts[:-3]]
+    counts = collections.Counter(w for t in train for w in t)
+    head, end = backoff_lm.Head(sorted(w for w, n in counts.items() if n > 1)), len(train)
+    size, pairs, triples = head.size, collections.Counter(), collections.Counter()
+    for t in train:
+        s = head.sequence(t).tolist()
+        pairs.update(a * size + b for a, b in zip(s, s[1:]) if a >= 0 and b >= 0)
+        triples.update((a * size + b) * size + c for a, b, c in zip(s, s[1:], s[2:]) if min(a, b, c) >= 0)
+    pairs, triples = ({g: n for g, n in x.items() if n > 1} for x in (pairs, triples))
+    norm = math.log10(sum(counts.values()) + end + len(counts) + 2)
+    history = np.array([counts[w] for w in head.ids] + [end, end])
+    auto = backoff_lm.Automaton(head, np.log10(history + 1.0) - norm, history, pairs, triples)
+    for k, t in enumerate(texts):
+        words = backoff_lm.words_in(t.encode())
+        single = [math.log10(counts[w] + 1) - norm for w in words] + [math.log10(end + 1) - norm]
+        assert got[k].base_score == pytest.approx(sum(single), rel=1e-9)
+        assert got[k].score == pytest.approx(auto.score(head.sequence(words).tolist()[1:], single), rel=1e-9)
+
+
 def test_pigeonring_keeps_every_close_pair():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
