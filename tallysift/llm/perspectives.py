@@ -7,8 +7,9 @@ mark in it, a backslash is put inside, so that no turn can pass for another spea
 
 A dialogue is rendered in chunks of ``chunk_turns`` turn numbers, each a sample by itself, so a dialogue of any length
 is spread over tasks: turns are grouped by (conversation, chunk), and chunks meet the participants in a join. Turns
-that share a number follow each other by speaker and text; a chunk with more than ``chunk_rows`` of them is dealt into
-several by hash. Null texts are empty turns, null speakers are called ``unknown``, turns without a number form a chunk
+that share a number follow each other by speaker and text. A chunk with more than ``chunk_rows`` turns is cut into parts
+of so many turns that follow each other in that order, so the parts' texts one behind the other are the chunk's; without
+``chunk_rows`` chunks stay whole. Null texts are empty turns, null speakers are called ``unknown``, turns without a number form a chunk
 of their own, null conversations are one conversation, repeated rows are repeated turns. A dialogue of system turns only
 has no participant and no rendering.
 """
@@ -16,7 +17,7 @@ has no participant and no rendering.
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,17 +54,37 @@ def render(turns: list[tuple[str, str]], participant: str) -> tuple[str, list[tu
     return "".join(parts), mask
 
 
+def in_parts(said: DataFrame, chunk_rows: int) -> DataFrame:
+    """Add ``part``: in chunks of more than ``chunk_rows`` turns, the turn's rank over ``chunk_rows``, else 0.
+
+    The turns of large chunks are sorted by ranges, repeated ones too, and a rank is the row in the range plus the rows
+    of the chunk in the ranges before."""
+    full = stored(said.groupBy("conv", "chunk").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows)
+                  .select(F.col("conv").alias("c"), F.col("chunk").alias("k"), F.lit(True).alias("large")), "full")
+    if full.isEmpty():
+        return said.withColumn("part", F.lit(0).cast("long"))
+    dealt = said.join(small_side(full), F.col("conv").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k")), "left")
+    order = ["conv", "chunk", "turn", "speaker", "text"]
+    rows = stored(dealt.where("large").select(*order, F.monotonically_increasing_id().alias("tie")).orderBy(*order, "tie").select(
+        *order, F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("row")), "large")
+    tasks = rows.groupBy("conv", "chunk", "task").agg(F.min("row").alias("least"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv", "chunk").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(tasks.select(F.col("conv").alias("c"), F.col("chunk").alias("k"), F.col("task").alias("t"), (
+        F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("offset")), "offsets")
+    ranked = rows.join(small_side(offsets), F.col("conv").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k"))
+                       & (F.col("task") == F.col("t")))
+    return dealt.where("large IS NULL").select(*order, F.lit(0).cast("long").alias("part")).union(
+        ranked.select(*order, F.floor((F.col("row") + F.col("offset")) / chunk_rows).cast("long")))
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
-           chunk_turns: int = 64, chunk_rows: int = 4096) -> DataFrame:
+           chunk_turns: int = 64, chunk_rows: int | None = 4096) -> DataFrame:
     """Per conversation, participant and chunk (``chunk``, ``part`` of it): n_turns, n_own, text, mask."""
     said = turns.select(
         F.col(conv).alias("conv"), F.floor(F.col(turn) / chunk_turns).cast("long").alias("chunk"), F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    full = stored(said.groupBy("conv", "chunk").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows)
-                  .select(F.col("conv").alias("c"), F.col("chunk").alias("k"), F.ceil(F.col("n") / chunk_rows).alias("deal")), "full")
-    dealt = said.join(small_side(full), F.col("conv").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k")), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("turn", "speaker", "text", F.monotonically_increasing_id()), F.col("deal")), F.lit(0))
-    chunks = dealt.select("conv", "chunk", part.alias("part"), F.struct("turn", "speaker", "text").alias("t")).groupBy(
+    dealt = in_parts(said, chunk_rows) if chunk_rows else said.withColumn("part", F.lit(0).cast("long"))
+    chunks = dealt.select("conv", "chunk", "part", F.struct("turn", "speaker", "text").alias("t")).groupBy(
         "conv", "chunk", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     people = said.where(F.col("speaker") != SYSTEM).select(F.col("conv").alias("c"), F.col("speaker").alias("participant")).distinct()
     views = chunks.join(people, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "participant", "chunk", "part", "turns")
@@ -85,4 +106,4 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
                 [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array([len(m) for m in masks], pa.int64()),
                  pa.array(texts, pa.string()), pa.array(masks, pa.list_(pa.list_(pa.int64())))], names=schema.names)
 
-    return views.select("conv", "participant", "chunk", F.col("part").cast("long").alias("part"), "turns").mapInArrow(run, schema)
+    return views.select("conv", "participant", "chunk", "part", "turns").mapInArrow(run, schema)

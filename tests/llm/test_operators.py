@@ -412,5 +412,29 @@ def test_perspectives(spark):
     assert perspectives.rotate(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_parts_of_large_chunks_follow_each_other(spark, tasks):
+    rows = [(c, n, "ab"[k % 2], f"t{k % 90:03d}") for c, n in ((1, 5), (None, 5), (2, None)) for k in range(500)]
+    turns = spark.createDataFrame(rows + [(3, 1, "a", "x")], "conv_id long, turn long, role string, text string").repartition(tasks)
+    whole = {(r.conv_id, r.participant, r.chunk): r for r in perspectives.rotate(turns, chunk_rows=None).collect()}
+    parts = collections.defaultdict(list)
+    for r in sorted(perspectives.rotate(turns, chunk_rows=120).collect(), key=lambda r: r.part):
+        parts[(r.conv_id, r.participant, r.chunk)].append(r)
+    assert len(whole) == 7 and set(parts) == set(whole)
+    for key, found in parts.items():
+        assert "".join(r.rendered for r in found) == whole[key].rendered
+        assert [r.n_turns for r in found] == ([1] if key[0] == 3 else [120] * 4 + [20])
+        assert [r.part for r in found] == list(range(len(found)))
+
+
+def test_chunks_of_any_size_are_one_row(spark, tmp_path):
+    from tallysift.llm.queries import op10_perspectives
+
+    rows = [(1, None, "ab"[k % 2], f"t{k}") for k in range(5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op10_perspectives(spark, str(tmp_path)).collect()
+    assert [(r.participant, r.n_turns, r.n_own) for r in sorted(got, key=lambda r: r.participant)] == [("a", 5000, 2500), ("b", 5000, 2500)]
+
+
 def test_scratch_folder_is_new_each_time(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
