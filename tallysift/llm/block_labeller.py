@@ -27,7 +27,7 @@ TAG_SIZE, WORD_SIZE, HIDDEN, FIGURES = 16, 8, 16, 4
 INPUTS = TAG_SIZE + WORD_SIZE + FIGURES
 #: Pages labelled at once.
 GROUP = 256
-NOT_MAIN = {"nav", "aside", "footer", "form", "header"}
+NOT_MAIN = {"nav", "aside", "footer", "form", "header", "datalist", "option"}
 
 
 def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:

@@ -12,8 +12,9 @@ TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text.
-SILENT = frozenset("script style title textarea template noscript iframe svg math object select option".split())
+#: Elements whose content is no text. Of those with raw content, what follows an opening tag is code until some end tag.
+RAW = frozenset("script style title textarea iframe".split())
+SILENT = RAW | frozenset("template noscript svg math object select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 #: An opening tag of the key's kind ends an open one of these.
@@ -27,6 +28,17 @@ def blocks_of(page: str | None) -> list[tuple[str, list[str], bool]]:
     stack: list[tuple[str, list[str]]] = []
     pieces: list[str] = []
     linked = False
+    endless: set[str] = set()
+
+    def after(name: str, at: int) -> int:
+        """Where the page goes on after the opening tag of a silent element. Without an end tag raw content reaches to
+        the parent's, or else to the page's end; other elements are passed over as if they were empty."""
+        for tag in (name, *([stack[-1][0]] if name in RAW and stack else [])):
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                return end.end() if tag == name else end.start()
+            endless.add(tag)
+        return len(page) if name in RAW else at
 
     def flush() -> None:
         nonlocal linked
@@ -60,14 +72,13 @@ def blocks_of(page: str | None) -> list[tuple[str, list[str], bool]]:
             continue
         if name in SILENT:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = after(name, at)
             continue
         if name not in INLINE:
             flush()
             ends = CLOSES.get(name, ())
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in ends:
+                if stack[k][0] in ("p", "option") or stack[k][0] in ends:
                     del stack[k:]
                     break
                 if stack[k][0] not in INLINE:
@@ -135,7 +146,8 @@ def invented(n: int, seed: int) -> list[tuple[list[tuple[str, list[str], bool]],
               "<div class='ads sponsored promo'>{short}</div>", "<div class='cookie notice'><p>{short}.</p></div>",
               "<div class='alert notification consent'>{short}.</div>", "<div class='social share'><ul>{links}</ul></div>",
               "<form><label>{short}</label><p>{short}</p><button>{short}</button></form>",
-              "<div class='newsletter subscribe'><form><p>{short}</p></form></div>", "<div class='popup modal'>{some}</div>")
+              "<div class='newsletter subscribe'><form><p>{short}</p></form></div>", "<div class='popup modal'>{some}</div>",
+              "<datalist><option value='a'>{short}<option value='b'>{short}</datalist>")
     talk = ("<section class='comments'><h3>{short}</h3>{some}</section>",
             "<div id='comments'><div class='comment'><p>{short}</p></div><div class='comment'>{some}</div></div>",
             "<ol class='commentlist'><li class='comment'><p>{short}.</p></li></ol>", "<div class='replies discussion'>{some}</div>")

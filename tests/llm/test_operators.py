@@ -151,6 +151,17 @@ def test_main_text_of_odd_pages(spark):
     assert block_labeller.extract(pages.limit(0), weights).count() == 0
 
 
+@pytest.mark.parametrize("before", [
+    "<datalist><option value=a><option value=b></datalist>", "<option>", "<div><select><option>x</select></div>", "<noscript>", "<svg>",
+    "<object>", "<template>", "<div><script>if (a<b) f()</div>", "<option>x<p>y</p></option>"])
+def test_silent_elements_without_end_tag_cut_nothing(before):
+    article = "<article><p>First words.</p><p>Last words.</p></article>"
+    page = f"<html><body>{before}{article}</body></html>"
+    found = page_blocks.blocks_of(page)
+    assert [t for t, path, _ in found if "article" in path and "option" not in path] == ["First words.", "Last words."]
+    assert not any("f()" in t for t, _, _ in found)
+
+
 def test_labeller_gradients_and_held_out_pages():
     rng = np.random.default_rng(2)
     w = {k: v * 3 for k, v in block_labeller.new_weights(rng).items()}
