@@ -1,17 +1,19 @@
 """Main text of pages: a bidirectional LSTM in numpy labels every leaf block.
 
 A page is the sequence of its leaf blocks. A block enters as the mean of its tag-path vectors (tags and class, id and
-role words of the open elements, hashed), the mean of its hashed words' vectors and four figures; one LSTM reads the
+role words of all open elements, hashed), the mean of its hashed words' vectors and four figures; one LSTM reads the
 page forwards, one backwards, so each block is judged with the whole page in view. Blocks judged as main text are
 joined by a space.
 
 The model is trained here, by back-propagation through the pages and Adam, on made-up pages with known labels
 (``page_blocks.invented``) and on ``fit_pages`` real ones, those with the least hash, labelled by the elements they
-stand in (an article or main element against navigation, asides, footers, forms). The sample has that bound and pages
+stand in (an article or main element against navigation, asides, footers, forms, and against comments, adverts and
+notices inside it). The sample has that bound and pages
 of at most ``fit_chars``; it is all the driver holds. All pages are labelled, whole, in tasks that get the trained
 weights (about 250 kB). Null and empty pages give an empty text.
 """
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,12 @@ GROUP = 256
 NOT_MAIN = {"nav", "aside", "footer", "form", "header", "datalist", "option"}
 
 
+#: Class, id and role words of containers that are not main text inside an article or main element.
+NOT_MAIN_INSIDE = {f".{w}" for w in (
+    "comment comments commentlist replies discussion ad ads advert advertisement banner sponsored promo cookie notice alert "
+    "notification consent social share newsletter subscribe popup modal related sidebar widget").split()}
+
+
 def new_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     w = {"tag": rng.normal(0, 0.3, (TAG_BUCKETS, TAG_SIZE)), "word": rng.normal(0, 0.1, (WORD_BUCKETS, WORD_SIZE)),
          "out": rng.normal(0, 0.1, (2 * HIDDEN,)), "bias": np.zeros(1)}
@@ -149,10 +157,15 @@ def train(pages: list, epochs: int = 6, rate: float = 0.01, group: int = 16, see
 
 def by_elements(page: list) -> np.ndarray | None:
     """Labels of a page that says itself which block is what; None for others."""
-    paths = [set(path) for _, path, _ in page]
-    if not any({"article", "main"} & p for p in paths):
-        return None
-    return np.array([float(bool({"article", "main"} & p) and not NOT_MAIN & p) for p in paths])
+    def main(path: list[str]) -> bool:
+        at = next((k for k, t in enumerate(path) if t in ("article", "main")), None)
+        if at is None or not NOT_MAIN.isdisjoint(path):
+            return False
+        inner = itertools.dropwhile(lambda t: t.startswith("."), path[at + 1:])
+        return NOT_MAIN_INSIDE.isdisjoint(inner)
+
+    labels = np.array([float(main(path)) for _, path, _ in page])
+    return labels if labels.any() else None
 
 
 def fit(pages: DataFrame, html: str = "html", fit_pages: int = 192, fit_chars: int = 200_000, made_up: int = 300) -> dict:

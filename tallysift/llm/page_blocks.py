@@ -19,7 +19,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "span strike strong sub sup time tt u var wbr".split())
 #: An opening tag of the key's kind ends an open one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-TAG_BUCKETS, WORD_BUCKETS, PATH_TOKENS = 512, 512, 24
+TAG_BUCKETS, WORD_BUCKETS = 512, 512
 
 
 def blocks_of(page: str | None) -> list[tuple[str, list[str], bool]]:
@@ -45,8 +45,7 @@ def blocks_of(page: str | None) -> list[tuple[str, list[str], bool]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path = [t for _, own in stack[-PATH_TOKENS:] for t in own][-PATH_TOKENS:]
-                out.append((text, path, linked))
+                out.append((text, [t for _, own in stack for t in own], linked))
             pieces.clear()
         linked = False
 
@@ -155,6 +154,11 @@ def invented(n: int, seed: int) -> list[tuple[list[tuple[str, list[str], bool]],
              ("<div class='content'>", "</div>"), ("<div class='post entry'>", "</div>"), ("<div id='article body'>", "</div>"),
              ("<div class='story text'>", "</div>"), ("<section>", "</section>"))
 
+    def wrapped(part: str) -> str:
+        """Inside up to a dozen elements with names that say nothing."""
+        depth = int(rng.integers(1, 13)) if rng.random() < 0.3 else 0
+        return "".join(f"<div class='{words(1, 4).lower()}'>" for _ in range(depth)) + part + "</div>" * depth
+
     def fill(part: str) -> str:
         while (k := re.search(r"\{(\w+)\}", part)) is not None:
             put = {"links": links, "short": lambda: words(2, 14), "some": lambda: paragraphs(1, 4)}[k[1]]()
@@ -169,11 +173,13 @@ def invented(n: int, seed: int) -> list[tuple[list[tuple[str, list[str], bool]],
             pick("", f"<p><b>{words(3, 12)}.<br><p>{words(5, 40)}."), paragraphs(1, 7),
             pick("", f"<blockquote><p>{words(6, 30)}.</p></blockquote>", f"<ul><li>{words(3, 12)}</li><li>{words(3, 12)}</li></ul>",
                  f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>", f"<h2>{words(2, 8)}</h2>"), paragraphs(0, 4)))
+        inner = wrapped(inner)
         before = [fill(pick(*menus))] + [fill(pick(*p)) for p in (heads, extras, sides) if rng.random() < 0.5]
         after = [fill(pick(*feet))] + [fill(pick(*p)) for p in (talk, sides, extras) if rng.random() < 0.5]
         rng.shuffle(before)
         after = after[1:] + after[:1]
-        inside = fill(pick(*extras)) if rng.random() < 0.2 else ""
+        inside = wrapped("".join(fill(pick(*p)) for p in (extras, talk) if rng.random() < 0.2))
+        before, after = ([re.sub("^(<[^>]*>)(.*)(</[^>]*>)$", lambda m: m[1] + wrapped(m[2]) + m[3], p) for p in parts] for parts in (before, after))
         parts = [(p, 0) for p in before] + [(inner, 1), (inside, 0)] + [(p, 0) for p in after]
         marked = "".join(f"{opening if p is inner else ''}{re.sub('>([^<]+)', rf'>{y}\\1', p)}"
                          f"{closing if p is inside else ''}" for p, y in parts)

@@ -162,6 +162,19 @@ def test_silent_elements_without_end_tag_cut_nothing(before):
     assert not any("f()" in t for t, _, _ in found)
 
 
+def test_deep_blocks_and_containers_inside_the_article():
+    deep = "".join(f"<div class='row-{k} col wide box'>" for k in range(12))
+    close = "</div>" * 12
+    parts = [(f"<nav>{deep}<p>Menu</p>{close}</nav>", 0), (f"{deep}<p>Long words of the article.</p>{close}", 1),
+             ("<div class='comments'><p>I think.</p></div>", 0), (f"<div id='ad-1'>{deep}<p>Buy.</p>{close}</div>", 0),
+             ("<div class='cookie-notice'>We use.</div>", 0), ("<p>More words of it.</p>", 1)]
+    page = page_blocks.blocks_of("<body class='with-sidebar'><main class='no-ads'>" + "".join(p for p, _ in parts) + "</main></body>")
+    assert block_labeller.by_elements(page).tolist() == [y for _, y in parts]
+    made = [b for page, _ in page_blocks.invented(200, 5) for b in page]
+    assert any({"article", "main"} & set(path) and {".comments", ".comment"} & set(path) for _, path, _ in made)
+    assert max(len(path) for _, path, _ in made) > 24
+
+
 def test_labeller_gradients_and_held_out_pages():
     rng = np.random.default_rng(2)
     w = {k: v * 3 for k, v in block_labeller.new_weights(rng).items()}
