@@ -124,11 +124,10 @@ def records(f, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], byt
         head = f.read(min(HEAD_BYTES, size - at))
         if head[:2] == b"\x1f\x8b":
             inflate, length = zlib.decompressobj(31), member_length(head)
-            data, raw, end = b"", head, at + len(head)
-            while b"\r\n\r\n" not in data and raw:
+            data = inflate.decompress(head, HEAD_BYTES)
+            # nothing is read beyond the headers' end: the body goes on with the unconsumed rest
+            while b"\r\n\r\n" not in data and not inflate.eof and (raw := inflate.unconsumed_tail or f.read(HEAD_BYTES)):
                 data += inflate.decompress(raw, HEAD_BYTES)
-                raw = inflate.unconsumed_tail or ("" if inflate.eof else f.read(HEAD_BYTES))
-                end = max(end, f.tell())
             if b"\r\n\r\n" not in data:
                 raise ValueError(f"broken record at byte {at}")
             head, _, data = data.partition(b"\r\n\r\n")

@@ -421,6 +421,21 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).where("record_type = 'resource'").first().headers["X-Folded"] == "a b"
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_archives_of_payloads_that_do_not_compress(tmp_path, level):
+    from pyarrow import fs
+
+    payload = random.Random(3).randbytes(100_000)
+    row = {"record_type": "response", "record_id": "<urn:x>", "target_uri": "http://x/", "payload_digest": None,
+           "payload_length": None, "headers": [("X-Long", "h" * 3000)], "payload": payload}
+    (tmp_path / "own.warc.gz").write_bytes(warc.member(warc.record(row), level) * 2)
+    (tmp_path / "other.warc.gz").write_bytes(gzip.compress(warc.record(row), level) * 2)
+    for name in ("own", "other"):
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / f"{name}.warc.gz")) as f:
+            assert [p for _, p in warc.records(f, lambda _: True, True)] == [payload] * 2
+            assert len([p for _, p in warc.records(f, lambda _: True, False) if p is None]) == 2
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|end|> yo"), (1, 1, "bob", "<|end|> yo"), (1, 2, "system", "be nice"),
             (1, 70, None, None), (2, 0, "system", "alone"), (None, None, "x|>", "")] + [(3, 5, "hot", f"t{k}") for k in range(50)]
