@@ -65,8 +65,7 @@ def h3_best(spark, sf):
 
 def population(spark, sf, method):
     return search.fit_population(
-        X.line_samples(spark, sf), COLUMNS, "label", method=method, runs=2, base_seed=42,
-        generations=6, population=8, dimensions=5)
+        X.line_samples(spark, sf), COLUMNS, "label", method=method, runs=2, base_seed=42, dimensions=5)
 
 
 @query("h4_particle_swarm")

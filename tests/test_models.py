@@ -272,3 +272,21 @@ def test_pieces_of_a_growing_file_hold_each_line_once(tmp_path):
         reader = growing_log.GrowingLines({"path": str(tmp_path), "piece_bytes": size})
         end = reader.latestOffset()
         assert [t for p in reader.partitions({}, end) for _, t in reader.read(p)] == lines
+
+
+@pytest.mark.parametrize("name", ["h4_particle_swarm", "h4_differential_evolution"])
+def test_registered_searches_run_the_whole_schedule(spark, name, monkeypatch):
+    from catalog import fixtures, modelling
+
+    rows = spark.createDataFrame([(1.0, 0.5, 0.1, 0.2, 1), (0.2, 0.9, 0.3, 0.1, 0)], [*modelling.COLUMNS, "label"])
+    monkeypatch.setattr(fixtures, "line_samples", lambda spark, sf: rows.coalesce(1))
+    sizes, score = set(), modelling.search.candidate_scores
+
+    def counted(samples, features, label, vectors, *rest):
+        sizes.add(len(vectors))
+        return score(samples, features, label, vectors, *rest)
+
+    monkeypatch.setattr(modelling.search, "candidate_scores", counted)
+    history = (modelling.h4_swarm if "swarm" in name else modelling.h4_evolution)(spark, "")
+    got = history.groupBy("Run").agg(F.countDistinct("Epoch").alias("n")).collect()
+    assert [r.n for r in got] == [100, 100] and sizes == {20}
