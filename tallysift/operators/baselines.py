@@ -52,7 +52,7 @@ class KernelModel:
 
 
 def fit_kernel(train: DataFrame, features: list[str], label: str = "label", width: int = 128,
-               seed: int = 0, max_iter: int = 1000, tol: float = 1e-3) -> KernelModel:
+               seed: int = 0, max_iter: int = 1000, tol: float = 1e-6) -> KernelModel:
     """RBF support-vector classifier by random Fourier features (Rahimi and Recht 2007).
 
     gamma = 1 / (number of features x variance of all feature values). The kernel matrix, which
