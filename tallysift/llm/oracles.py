@@ -48,6 +48,7 @@ def rules_judged(alpha: float = 0.05, delta: float = 0.05) -> str:
     judged AS (SELECT b.*, NOT base_failed AND NOT ({bad}) AS kept FROM based b)"""
 
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LATIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -72,7 +73,63 @@ def contamination(docs: str = "documents") -> str:
                FROM dw LEFT JOIN n_hits USING (rid) LEFT JOIN n_items USING (rid))"""
 
 
+BLANK = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op11_lexical_search": rf"""WITH dt AS (
+          SELECT rid, doc_id, unnest(w) AS term, len(w) AS n FROM (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{TERM}') AS w FROM documents)),
+        tf AS (SELECT rid, doc_id, term, n, count(*) AS tf FROM dt GROUP BY ALL),
+        size AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS total FROM (SELECT rid, any_value(n) AS n FROM dt GROUP BY rid)),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM tf, size GROUP BY term),
+        iq AS (SELECT iid, item_id, term, count(*) AS c FROM (
+                 SELECT iid, item_id, unnest(w) AS term FROM (
+                   SELECT row_number() OVER () AS iid, item_id,
+                          regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{TERM}') AS w FROM benchmark)) GROUP BY ALL),
+        s AS (SELECT iid, item_id, rid, doc_id,
+                     CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // total)))) AS BIGINT) AS score
+              FROM iq JOIN w USING (term) JOIN tf USING (term), size GROUP BY ALL)
+        SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS r FROM s WHERE score > 0)
+        WHERE r <= 20""",
+    "op12_prefix_trie": """WITH t AS (
+          SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS pos, g, b
+          FROM (SELECT *, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS g, strlen(coalesce(text, '')) AS b
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        k AS (SELECT c, c - c % 5 AS base, CASE WHEN c % 5 = 0 THEN 0 ELSE CAST(crc AS BIGINT) % 9 END AS h
+              FROM (SELECT DISTINCT c, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+                      range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT))),
+                      lambda a, x: list_reduce([xor(a, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, i:
+                        CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS rest,
+                      xor(rest, 4294967295) AS crc FROM t)),
+        lead AS (SELECT k.c, t.pos, t.g, t.b FROM k JOIN t ON t.c = k.base WHERE k.c <> k.base AND t.pos < h),
+        n_lead AS (SELECT k.c, k.h, count(l.c) AS n FROM k LEFT JOIN lead l ON l.c = k.c GROUP BY k.c, k.h),
+        r AS (SELECT c, pos + 1 AS d, g, b FROM lead UNION ALL
+              SELECT t.c, n + pos - h + 1, g, b FROM t JOIN n_lead ON n_lead.c = t.c WHERE pos >= h),
+        p AS (SELECT c, d, b, string_agg(g, '') OVER (PARTITION BY c ORDER BY d) AS path FROM r
+              UNION ALL SELECT c, 0, 0, '' FROM k),
+        ending AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+        nodes AS (SELECT path, d, min(p.c) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+                         coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (ending.d IS NOT NULL), '') AS ends
+                  FROM p LEFT JOIN ending USING (c, d) GROUP BY path, d),
+        kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+        below AS (SELECT a.path, sum((z.n_convs - 1) * z.b) AS saved, count(*) FILTER (kids.n IS NULL) AS n_leaves
+                  FROM nodes a JOIN nodes z ON starts_with(z.path, a.path) LEFT JOIN kids ON kids.path = z.path GROUP BY a.path)
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0) AS n_children,
+               n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+        FROM nodes v JOIN below ON below.path = v.path LEFT JOIN kids ON kids.path = v.path
+        LEFT JOIN nodes u ON v.d > 0 AND u.path = left(v.path, length(v.path) - 32)""",
+    "op13_line_dedup": f"""WITH l AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+        x AS (SELECT rid, doc_id, s[i] AS line, i, {LOWERED.format(f"trim(s[i], {BLANK})")} AS key
+              FROM (SELECT rid, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM l)),
+        f AS (SELECT key, min(doc_id) AS first FROM x WHERE length(key) >= 10 GROUP BY key),
+        y AS (SELECT x.*, coalesce(first IS NOT NULL AND (doc_id IS NULL OR doc_id > first), false) AS gone FROM x LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM y GROUP BY rid, doc_id""",
     "op10_perspectives": """WITH t AS (
           SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS chunk, turn, coalesce(role, 'unknown') AS who,
                  replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS body FROM conversations),

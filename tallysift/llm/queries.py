@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallysift.llm import (backoff_lm, block_labeller, decontaminate, packing, perspectives, quality_classifier,
-                            quality_rules, simhash, substrings, warc)
+from tallysift.llm import (backoff_lm, block_labeller, decontaminate, lexical_search, line_dedup, packing, perspectives,
+                            prefix_trie, quality_classifier, quality_rules, simhash, substrings, warc)
 from tallysift.llm.common import table
 from tallysift.llm.oracles import ORACLES  # noqa: F401
 
@@ -90,3 +90,21 @@ def op6_backoff_lm(spark, sf_dir):
     scored = backoff_lm.score(table(spark, sf_dir, "documents"), ~out, keep=["doc_id"])
     return scored.select("doc_id", out.alias("held_out"), *(f"lm.{c}" for c in (
         "n_tokens", "n_known", "train_tokens", "base_score", "score")))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    turns, members = prefix_trie.shared_beginnings(prefix_trie.conversation_turns(table(spark, sf_dir, "conversations")))
+    nodes, _ = prefix_trie.trie(turns, members)
+    return nodes.drop("node_1", "node_2")
+
+
+@query
+def op13_line_dedup(spark, sf_dir):
+    lines = line_dedup.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id"], rest=False)
+    return lines.select("doc_id", *(f"lines.{c}" for c in ("n_lines", "n_dropped", "kept_sha256")))
