@@ -12,8 +12,8 @@ the failure arcs are followed down to the root, whose arcs are the unigrams.
 
 No part of it is held whole. Documents are dealt into chunks of about ``CHUNK_BYTES`` of text; every chunk asks for the
 words, then the 2-grams, then the 3-grams it has (a row per chunk and n-gram, never one per token or document), gets the
-counts and the backoff weights of those alone, and is scored with the arcs and failure arcs of its own part of the
-automaton. Words are numbered by falling count, so a number tells the count by a table of the distinct counts, which
+counts and the backoff weights of those alone, and builds its own part of the automaton of them. All texts of a chunk are
+then read left to right side by side, each with its own state. Words are numbered by falling count, so a number tells the count by a table of the distinct counts, which
 grows with the square root of the tokens. Null and empty texts have the end token only; repeated rows count each time;
 without training rows every token has probability one of the unknown.
 """
@@ -34,6 +34,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK_BYTES = 16 << 20
 DISCOUNT = 0.75
 ROOT, START = 0, 1
+#: Words that a text reads one after another; longer texts are read in stretches.
+STRETCH = 512
 #: Numbers of the end, of the start and of the most frequent word; unseen words and words seen once have none.
 END_NUMBER, START_NUMBER, FIRST_NUMBER, UNSEEN, ONCE = 0, 1, 2, -1, -2
 BITS = 31
@@ -228,29 +230,75 @@ def triple_rows(table: pa.Table, kept: pa.Table) -> pa.Table:
                      "n": n, "shorter": shorter})
 
 
-def chunk_scores(s: np.ndarray, unigrams: Unigrams, words: tuple, pairs: tuple, triples: tuple) -> np.ndarray:
-    """log10 probability of each token of ``laid`` texts (0 for starts), by the arcs and failure arcs of the states.
+class ChunkAutomaton:
+    """The part of the automaton that a chunk's texts can reach, as arrays: states, arcs sorted by state and word, and
+    failure arcs.
 
     ``words``: numbers with kept 2-grams behind them, backoff weights; ``pairs``: kept 2-grams, counts, backoff weights
-    (NaN: no kept 3-gram goes on from it); ``triples``: 2-gram, last number and count of the kept 3-grams. All sorted."""
-    count = unigrams.counts(s)
-    history, log = np.roll(count, 1), unigrams.logs(count)
-    at = places(words[0], s)
-    weight = np.append(words[1], 0.0)[at]
-    pair = places(pairs[0], pairs_of(s))
-    n = np.append(pairs[1], 1)[pair]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log = np.where(pair >= 0, np.log10((n - DISCOUNT) / history), np.roll(weight, 1) + log)
-    weight = np.append(pairs[2], np.nan)[pair]
-    before, weight = np.roll(pair, 1), np.roll(weight, 1)
-    deep = ~np.isnan(weight) & (s != START_NUMBER)
-    keys = (places(pairs[0], triples[0]) << BITS) + triples[1]
-    order = np.argsort(keys)
-    triple = places(keys[order], np.where(deep & (s >= 0), (before << BITS) + s, -1))
-    n = np.append(triples[2][order], 1)[triple]
-    arc = np.log10((n - DISCOUNT) / np.append(pairs[1], 1)[before])
-    log = np.where(deep, np.where(triple >= 0, arc, weight + log), log)
-    return np.where(s == START_NUMBER, 0.0, log)
+    (NaN: no kept 3-gram goes on from it); ``triples``: 2-gram, last number and count of the kept 3-grams. Words and pairs
+    are sorted. State 0 is the root, then come the histories of one word, then those of two."""
+
+    def __init__(self, unigrams: Unigrams, words: tuple, pairs: tuple, triples: tuple):
+        self.unigrams, self.numbers = unigrams, words[0]
+        grams, counts, weights = pairs
+        goes_on = ~np.isnan(weights)
+        histories, first = grams[goes_on], 1 + len(self.numbers)
+        last = histories & LAST
+        self.fail = np.concatenate([np.zeros(first, np.int64), self.of_word(last)])
+        self.weight = np.concatenate([[0.0], words[1], weights[goes_on]])
+        state = np.where(goes_on, first + np.cumsum(goes_on) - 1, self.of_word(grams & LAST))
+        pair, word, n = triples
+        at, later = places(histories, pair), places(histories, ((pair & LAST) << BITS) + word)
+        arcs = np.concatenate([(self.of_word(grams >> BITS) << BITS) + (grams & LAST), ((first + at) << BITS) + word])
+        logs = np.log10(np.concatenate([(counts - DISCOUNT) / np.maximum(unigrams.counts(grams >> BITS), 1),
+                                        (n - DISCOUNT) / np.append(counts[goes_on], 1)[at]]))
+        to = np.concatenate([state, np.where(later >= 0, first + later, self.of_word(word))])
+        order = np.argsort(arcs)
+        self.arcs, self.logs, self.to = arcs[order], logs[order], to[order]
+
+    def of_word(self, word: np.ndarray) -> np.ndarray:
+        """The state after a word alone."""
+        return places(self.numbers, word) + 1
+
+    def step(self, state: np.ndarray, word: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every text reads one word: the states it gets to, and the log10 probabilities. A state without an arc for the
+        word follows its failure arc and tries again; the root has an arc for everything."""
+        state, log, open_ = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        after = self.of_word(word)
+        while len(open_):
+            own = state[open_]
+            at = np.where(word[open_] >= 0, places(self.arcs, (own << BITS) + word[open_]), -1)
+            root = own == ROOT
+            found = (at >= 0) & ~root
+            log[open_] += np.where(found, self.logs[at] if len(self.logs) else 0.0, np.where(root, single[open_], self.weight[own]))
+            state[open_] = np.where(found, self.to[at] if len(self.to) else ROOT, np.where(root, after[open_], self.fail[own]))
+            open_ = open_[~found & ~root]
+        return state, log
+
+    def traverse(self, s: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of ``laid`` texts (0 for starts).
+
+        All texts are read side by side, each left to right with its own state. Long texts are read in stretches that begin
+        side by side too: a state knows two words at most, so a stretch gets its state from the two words before it."""
+        begin = np.flatnonzero(s == START_NUMBER)
+        stop = np.append(begin[1:], len(s))
+        parts = -(-(stop - begin - 1) // STRETCH)
+        text = np.repeat(np.arange(len(begin)), parts)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, end = begin[text] + 1 + part * STRETCH, np.minimum(begin[text] + 1 + (part + 1) * STRETCH, stop[text])
+        state = np.zeros(len(at), np.int64)
+        inner, none = part > 0, np.zeros(int((part > 0).sum()))
+        state[~inner] = self.of_word(np.full(int((~inner).sum()), START_NUMBER))
+        for back in (2, 1):
+            state[inner] = self.step(state[inner], s[at[inner] - back], none)[0]
+        single, out = self.unigrams.logs(self.unigrams.counts(s)), np.zeros(len(s))
+        order = np.argsort(at - end, kind="stable")  # the longest first, so that those still reading are the first ones
+        at, state, length = at[order], state[order], (end - at)[order]
+        for k in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -k, "left"))
+            here = at[:live] + k
+            state[:live], out[here] = self.step(state[:live], s[here], single[here])
+        return out
 
 
 def left_over(kept: Column, below: Column) -> Column:
@@ -362,8 +410,9 @@ def score(docs: DataFrame, training: Column, text: str = "text", least: int = 2,
         weight = column_of(parts, 5).astype(float)
         (w, w_at), (p, p_at) = (np.unique(a[kind == k], return_index=True) for k in (1, 2))
         third = kind == 3
-        logs = chunk_scores(s, shared.value, (w, weight[kind == 1][w_at]), (p, n[kind == 2][p_at], weight[kind == 2][p_at]),
-                            (a[third], last[third], n[third]))
+        automaton = ChunkAutomaton(shared.value, (w, weight[kind == 1][w_at]), (p, n[kind == 2][p_at], weight[kind == 2][p_at]),
+                                   (a[third], last[third], n[third]))
+        logs = automaton.traverse(s)
         count = rows.num_rows
         lm = pa.StructArray.from_arrays(
             [pa.array(np.bincount(of, minlength=count) - 1), rows.column("n_known").combine_chunks(), pa.array(np.full(count, tokens, np.int64)),

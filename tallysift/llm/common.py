@@ -1,5 +1,7 @@
 """What the operators share: tables, scratch tables on the shared folder, joins with checked sizes."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lists that take down the scratch tables written meanwhile, the innermost last.
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted(paths: list[str]):
+    """Add to ``paths`` the folder of every scratch table that is written inside."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def free(spark: SparkSession, paths: list[str], unless_read_by: DataFrame | None = None) -> None:
+    """Delete the scratch tables ``paths``, and take them off the list, but for those that a table still reads."""
+    read = unless_read_by.inputFiles() if unless_read_by is not None and paths else []
+    for path in list(paths):
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            paths.remove(path)
+
+
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage: later jobs and lost executors read the files instead of computing them again.
     """
     path = scratch_dir(df.sparkSession, label)
+    if _noting:
+        _noting[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
