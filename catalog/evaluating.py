@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.measuring import scored, scored_sql
 from catalog.registry import query, r9, rounded
-from tallysift.operators import reports, roc
+from tallysift.operators import arriving, reports, roc
 from tallysift.plans import evaluate
+from tallysift.session import scratch_dir
 
 RANKED = f"{X.PREDICTIONS}, {X.ranked_sql('predictions')}"
 YOUDEN = f"{RANKED}, {X.youden_sql()}"
@@ -148,7 +149,7 @@ def g10_summary(spark, sf):
 
 
 # a range join: the grid point g lies in the segment from one point of the curve to the next
-@query("g11_mean_roc", f"""WITH {RANKED}, points AS (
+MEAN_CURVE = f"""WITH {RANKED}, points AS (
   SELECT run, tp, fp, positives, negatives FROM ranked
   UNION ALL SELECT run, 0, 0, max(positives), max(negatives) FROM ranked GROUP BY run),
 segments AS (SELECT *, LEAD(fp) OVER w AS next_fp, LEAD(tp) OVER w AS next_tp FROM points
@@ -158,17 +159,42 @@ curves AS (SELECT run, g, (tp + (next_tp - tp) * ((g * negatives / CAST(199 AS D
   WHERE next_fp > fp AND fp * 199 <= g * negatives AND g * negatives < next_fp * 199
   UNION ALL SELECT DISTINCT run, 199, CAST(1 AS DOUBLE) FROM points)
 SELECT CAST(g AS INT) AS g, {r9('g / CAST(199 AS DOUBLE)')} AS fpr, {r9('AVG(tpr)')} AS mean_tpr,
-  {r9('STDDEV_POP(tpr)')} AS std_tpr, COUNT(*) AS curves FROM curves GROUP BY g""")
+  {r9('STDDEV_POP(tpr)')} AS std_tpr, COUNT(*) AS curves FROM curves GROUP BY g"""
+
+
+@query("g11_mean_roc", MEAN_CURVE)
 def g11(spark, sf):
     return rounded(roc.mean_roc(ranked(spark, sf)), "fpr", "mean_tpr", "std_tpr")
 
 
-@query("g12_pooled_auc", f"""WITH {X.PREDICTIONS}, {X.auc_sql('predictions', keys='')}
-SELECT {r9('roc_auc')} AS pooled_auc FROM auc""")
+POOLED = f"""WITH {X.PREDICTIONS}, {X.auc_sql('predictions', keys='')}
+SELECT {r9('roc_auc')} AS pooled_auc FROM auc"""
+
+
+@query("g12_pooled_auc", POOLED)
 def g12(spark, sf):
     return rounded(roc.fit_pooled_auc(X.predictions(spark, sf)), "pooled_auc")
 
 
+def arrive(spark, sf) -> str:
+    """Five runs in three batches, one of them written twice; two batches are then merged."""
+    root, rows = scratch_dir(spark, "curves"), X.predictions(spark, sf)
+    for name, part in (("a", "run = 1"), ("b", "run IN (2, 4)"), ("c", "run IN (3, 5)"), ("b", "run IN (2, 4)")):
+        arriving.add_runs(rows.filter(part), root, name)
+    arriving.merge_batches(spark, root, "ab", ["a", "b"])
+    return root
+
+
+@query("g11_arriving_runs", MEAN_CURVE)
+def g11_arriving(spark, sf):
+    return rounded(arriving.stored_mean_roc(spark, arrive(spark, sf)), "fpr", "mean_tpr", "std_tpr")
+
+
+@query("g12_arriving_runs", POOLED)
+def g12_arriving(spark, sf):
+    return rounded(arriving.fit_stored_auc(spark, arrive(spark, sf)), "pooled_auc")
+
+
 SPLIT = "CASE WHEN event_id % 5 = 0 THEN 'test' ELSE 'train' END"
 
 

@@ -1,5 +1,6 @@
 """Baselines, candidate scoring and population search."""
 
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
@@ -45,6 +46,36 @@ def h2(spark, sf):
     return baselines.kernel_predictions(model, done.test, done.features, ("row_id", "label"))
 
 
+# a fixed kernel model of five random features on two columns
+WAVES = [(1.5, -0.5, 0.25), (0.5, 2.0, -1.0), (-1.0, 0.75, 2.0), (2.5, 1.0, 0.5), (-0.25, -1.75, 1.25)]  # frequency, frequency, phase
+PULLS, SHIFT = [0.8, -1.1, 0.6, 1.4, -0.3], 0.15
+WAVES_SQL = " + ".join(
+    f"CAST({w!r} AS DOUBLE) * SQRT(CAST(2 AS DOUBLE) / {len(WAVES)}) * COS(quantity * {a!r} + price * {b!r} + {p!r})"
+    for w, (a, b, p) in zip(PULLS, WAVES))
+
+
+@query("h2_kernel_margins", f"""WITH {X.LINE_SAMPLES}, margins AS (SELECT label, {WAVES_SQL} + {SHIFT!r} AS margin FROM line_samples)
+SELECT label, COUNT(*) AS samples, {r9('AVG(margin)')} AS mean, {r9('MIN(margin)')} AS least, {r9('MAX(margin)')} AS most,
+  COUNT(*) FILTER (WHERE margin > 0) AS positive FROM margins GROUP BY label""")
+def h2_margins(spark, sf):
+    """Decision values of a fixed model; the fit itself is held to its duality gap."""
+    model = baselines.KernelModel(
+        tuple((a, b) for a, b, _ in WAVES), tuple(p for *_, p in WAVES),
+        baselines.Separator(DenseVector(PULLS), SHIFT), (1.0, 0.0), True)
+    rows = baselines.kernel_margins(model, X.line_samples(spark, sf), ["quantity", "price"])
+    return rounded(rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("margin").alias("mean"), F.min("margin").alias("least"),
+        F.max("margin").alias("most"), F.count_if(F.col("margin") > 0).alias("positive")), "mean", "least", "most")
+
+
+@query("h2_kernel_fit")
+def h2_fit(spark, sf):
+    """What the kernel fit reports of itself: objective, duality gap and passes."""
+    model = baselines.fit_kernel(X.line_samples(spark, sf), COLUMNS)
+    return spark.createDataFrame([(model.objective, model.gap, model.passes, model.converged)],
+                                 "objective double, gap double, passes int, converged boolean")
+
+
 @query("h3_candidate_scores", fitness_sql(LOGISTIC, CANDIDATES))
 def h3(spark, sf):
     return rounded(scoring.candidate_scores(X.line_samples(spark, sf), COLUMNS, "label", CANDIDATES), "fitness")

@@ -124,6 +124,37 @@ def a6(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("a6_commit_history", f"WITH {X.HISTORY} SELECT * FROM history")
+def a6_commits(spark, sf):
+    """Batches by run, all of them written twice: each row is there once."""
+    path, rows = scratch_dir(spark, "history"), X.history(spark, sf).persist()
+    for part in ("Run <= 2", "Run > 2", "Run <= 2", "Run > 2"):
+        results.append_history(rows.filter(part), path, batch=part)
+    return results.read_history(spark, path)
+
+
+@query("a7_commit_predictions", f"""WITH {PREDICTED} SELECT run AS "Run", label AS "True_Label", CAST(predicted AS INT) AS "Predicted_Label",
+  prob AS "Prob_1" FROM predicted""")
+def a7_commits(spark, sf):
+    """A batch that was written wrongly first is replaced by the one that follows under its name."""
+    path = scratch_dir(spark, "predictions")
+    rows = predicted(spark, sf).select(
+        F.col("run").alias("Run"), F.col("label").alias("True_Label"),
+        F.col("predicted").alias("Predicted_Label"), F.col("prob").alias("Prob_1"))
+    results.append_predictions(rows.filter("Run = 1"), path, "low")
+    results.append_predictions(rows.filter("Run <= 3"), path, "low")
+    results.append_predictions(rows.filter("Run > 3"), path, "high")
+    return results.read_predictions(spark, path)
+
+
+@query("a4_split_run_records", RECORDS)
+def a4_split(spark, sf):
+    """The array in pieces of 700 bytes, so that records and strings are cut anywhere."""
+    path = scratch_dir(spark, "records")
+    write_array(event_records(spark, sf), path)
+    return record_columns(results.read_run_records(spark, path, piece_bytes=700))
+
+
 @query("a7_write_predictions", f"""WITH {PREDICTED} SELECT run AS "Run", label AS "True_Label", CAST(predicted AS INT) AS "Predicted_Label",
   prob AS "Prob_1" FROM predicted""")
 def a7(spark, sf):

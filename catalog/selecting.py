@@ -6,7 +6,7 @@ from catalog import fixtures as X
 from catalog.pruning import labelled
 from catalog.registry import query, r9, rounded
 from tallysift.operators import mutual_info as M
-from tallysift.operators import subset
+from tallysift.operators import branch_bound, subset
 from tallysift.plans import reduce
 
 ALPHAS = [0.25, 0.5, 0.75, 0.95]
@@ -154,6 +154,33 @@ def e7(spark, sf):
     return rounded(subset.exact_minimum(subset.subset_table(spark, tables), tables, ALPHAS), "energy")
 
 
+@query("e7_bounded_subset", f"""WITH {ENERGIES} SELECT alpha, CAST(mask AS BIGINT) AS mask, CAST(bit_count(mask) AS INT) AS size,
+  {r9('energy')} AS energy FROM best WHERE place = 1""")
+def e7_bounded(spark, sf):
+    """The same minima, proven by branch and bound."""
+    tables = line_tables(spark, sf)
+    found = [(a, branch_bound.fit_bounded_minimum(spark, *subset.qubo(tables, a))) for a in ALPHAS]
+    return rounded(spark.createDataFrame([(a, m.mask, m.mask.bit_count(), m.energy) for a, m in found],
+                                         "alpha double, mask long, size int, energy double"), "energy")
+
+
+WIDE = 30
+
+
+@query("e7_wide_subset")
+def e7_wide(spark, sf):
+    """Minima of 30 embedding dimensions, out of reach of enumeration, with the work that the proof took."""
+    names = [f"d{i:02d}" for i in range(WIDE)]
+    rows = X.vectors(spark, sf).select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)))
+    binned = M.bin_columns(rows, M.fit_bin_edges(rows, names))
+    tables = subset.fit_mi_tables(M.relevance_and_redundancy(binned, names, "label"), names, "label")
+    lines = []
+    for alpha in (0.97, 0.99, 0.995):
+        m = branch_bound.fit_bounded_minimum(spark, *subset.qubo(tables, alpha))
+        lines.append((alpha, ",".join(c for i, c in enumerate(names) if m.mask >> i & 1), m.energy, m.rounds, m.prefixes))
+    return spark.createDataFrame(lines, "alpha double, features string, energy double, rounds int, prefixes long")
+
+
 @query("e8_annealed_subset", f"""WITH {ENERGIES} SELECT {r9('energy')} AS energy,
   array_to_string(list_transform(range(0, {len(X.LINE_FEATURES)}), lambda i: (mask >> i) & 1), '') AS bits
 FROM best WHERE place = 1 AND alpha = 0.75""")

@@ -155,3 +155,32 @@ def d4(spark, sf):
     model = components.fit_array_components(rows.filter(F.col("row_id") % 5 != 0), "embedding", COMPONENTS)
     lines = [(n, v) for n, v in zip(model.names, model.explained)] + [("total", model.explained_total)]
     return spark.createDataFrame(lines, "component string, explained double")
+
+
+MOMENTS = f"""{X.LINE_SAMPLES}, m AS (SELECT AVG(quantity) AS mq, AVG(price) AS mp FROM line_samples),
+s AS (SELECT SUM((quantity - mq) * (quantity - mq)) AS a, SUM((quantity - mq) * (price - mp)) AS b,
+  SUM((price - mp) * (price - mp)) AS c FROM line_samples, m),
+ev AS (SELECT *, (a + c) / 2 + SQRT((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - SQRT((a - c) * (a - c) / 4 + b * b) AS l2 FROM s)"""
+
+
+@query("d4_two_columns", f"""WITH {MOMENTS} SELECT 'PC1' AS component, {r9('l1 / (l1 + l2)')} AS explained FROM ev
+UNION ALL SELECT 'PC2', {r9('l2 / (l1 + l2)')} FROM ev""")
+def d4_two(spark, sf):
+    """Two columns have their eigenvalues in closed form."""
+    model = components.fit_components(X.line_samples(spark, sf), ["quantity", "price"], 2)
+    return rounded(spark.createDataFrame(list(zip(model.names, model.explained)), "component string, explained double"), "explained")
+
+
+# the first eigenvector is (b, l1 - a), signed by its larger coordinate
+@query("d3_two_columns", f"""WITH {MOMENTS}, v AS (SELECT mq, mp, SIGN(CASE WHEN ABS(b) >= ABS(l1 - a) THEN b ELSE l1 - a END)
+  / SQRT(b * b + (l1 - a) * (l1 - a)) AS f, b, l1 - a AS d FROM ev, m),
+p AS (SELECT label, f * (b * (quantity - mq) + d * (price - mp)) AS pc1 FROM line_samples, v)
+SELECT label, COUNT(*) AS samples, {r9('AVG(pc1)')} AS mean, {r9('VAR_POP(pc1)')} AS spread, {r9('MIN(pc1)')} AS least,
+  {r9('MAX(pc1)')} AS most FROM p GROUP BY label""")
+def d3_two(spark, sf):
+    rows = X.line_samples(spark, sf)
+    model = components.fit_components(rows, ["quantity", "price"], 2)
+    out = components.to_components(rows, model, ("label",)).groupBy("label").agg(
+        F.count(F.lit(1)).alias("samples"), F.avg("PC1").alias("mean"), F.var_pop("PC1").alias("spread"),
+        F.min("PC1").alias("least"), F.max("PC1").alias("most"))
+    return rounded(out, "mean", "spread", "least", "most")

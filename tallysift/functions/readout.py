@@ -1,5 +1,6 @@
 """From bitstring counts to P(1), and from P(1) to log-likelihood."""
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +30,8 @@ def prob_from_map(counts: Column, readout: str = "single_qubit") -> Column:
 def log_likelihood(label: Column, prob: Column) -> Column:
     """Natural log of the probability given to the true label."""
     return F.log(F.when(label == 1, prob).otherwise(1 - prob) + F.lit(FLOOR))
+
+
+def log_likelihood_matrix(label: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """``log_likelihood`` of a column of probabilities per candidate."""
+    return np.log(np.where((label == 1)[:, None], prob, 1 - prob) + FLOOR)

@@ -1,7 +1,8 @@
-"""Closed-form scores P(1) of a feature vector under a parameter vector."""
+"""Closed-form scores P(1) of a feature vector under a parameter vector, as columns and for whole matrices."""
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,4 +19,20 @@ def product_form(x: list[Column], w: list[Column]) -> Column:
     return reduce(lambda a, b: a * b, parts)
 
 
+def logistic_matrix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``logistic`` of every row of x under every row of w."""
+    logits = x @ w[:, :x.shape[1]].T + w[:, x.shape[1]:].sum(axis=1)
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-logits))
+
+
+def product_matrix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``product_form`` of every row of x under every row of w."""
+    out = np.ones((len(x), len(w)))
+    for k in range(min(x.shape[1], w.shape[1])):
+        out *= np.sin((x[:, k, None] + w[None, :, k]) / 2) ** 2
+    return out
+
+
 SCORES = {"logistic": logistic, "product": product_form}
+MATRIX_SCORES = {"logistic": logistic_matrix, "product": product_matrix}

@@ -2,15 +2,19 @@
 
 import math
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallysift.operators.blocks import add_up, pack, persist_blocks
+from tallysift.operators.margin_fit import fit_calibration, fit_margin
 from tallysift.session import persist_evenly
 
 NAMES = ("LogReg", "SVM-RBF")  # fixed values: model names in comparison tables
@@ -40,80 +44,89 @@ def logistic_predictions(model, df: DataFrame, features: list[str], keep: tuple[
         *keep, vector_to_array("probability")[1].alias("prob"), F.col("prediction").cast("int").alias("predicted"))
 
 
+@dataclass(frozen=True)
+class Separator:
+    coefficients: DenseVector
+    intercept: float
+
+
 @dataclass(frozen=True)
 class KernelModel:
-    """Random Fourier features, the linear separator on them and its probability calibration."""
+    """Random Fourier features, the linear separator on them and its probability calibration.
+
+    ``gap`` is the share of the objective by which the separator may miss the optimum.
+    """
 
     frequencies: tuple[tuple[float, ...], ...]
     phases: tuple[float, ...]
-    separator: object
+    separator: Separator
     calibration: tuple[float, float]
     converged: bool
+    objective: float = float("nan")
+    gap: float = float("nan")
+    passes: int = 0
 
 
 def fit_kernel(train: DataFrame, features: list[str], label: str = "label", width: int = 128,
-               seed: int = 0, max_iter: int = 1000, tol: float = 1e-6) -> KernelModel:
+               seed: int = 0, max_iter: int = 30, tol: float = 3e-4) -> KernelModel:
     """RBF support-vector classifier by random Fourier features (Rahimi and Recht 2007).
 
-    gamma = 1 / (number of features x variance of all feature values). The kernel matrix, which
-    grows with the square of the rows, is never formed. Probabilities come from a logistic fit
-    on the decision value (Platt 1999). ``converged`` tells whether the separator reached ``tol``
-    before ``max_iter``.
+    gamma = 1 / (number of features x variance of all feature values). Neither the kernel matrix, which
+    grows with the square of the rows, nor a row's random features are ever stored: each pass forms them
+    block by block. ``converged`` tells whether the duality gap came below ``tol`` of the objective within
+    ``max_iter`` passes. Probabilities come from a logistic fit on the decision value (Platt 1999).
+    Rows with a null feature are left out.
     """
-    spread, rows = persist_evenly(train.select(*features, F.col(label).cast("double").alias("label")))
-    moments = spread.agg(*[
-        a for c in features for a in (F.avg(c).alias(f"m_{c}"), F.avg(F.col(c) * F.col(c)).alias(f"s_{c}"))
-    ]).first()
-    mean = sum(moments[f"m_{c}"] for c in features) / len(features)
-    variance = sum(moments[f"s_{c}"] for c in features) / len(features) - mean * mean
-    gamma = 1.0 / (len(features) * variance) if variance > 0 else 1.0
+    known = train.select(*features, F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias(label))
+    blocks = persist_blocks(known, lambda df: pack(df, [*features, label]))
+    count = len(features)
+    rows, total, squares = add_up(blocks, count + 1, 3, lambda x: np.array(
+        [len(x), x[:, :count].sum(), (x[:, :count] ** 2).sum()]))
+    values = max(1.0, rows * count)
+    variance = squares / values - (total / values) ** 2
+    gamma = 1.0 / (count * variance) if variance > 0 else 1.0
     rng = np.random.default_rng(seed)
-    frequencies = rng.normal(0.0, math.sqrt(2 * gamma), (width, len(features))).tolist()
-    phases = rng.uniform(0.0, 2 * math.pi, width).tolist()
-    lifted = _lifted(spread, features, frequencies, phases).select("vector", "label").persist()
-    separator = LinearSVC(
-        featuresCol="vector", labelCol="label", regParam=1.0 / rows, maxIter=max_iter, tol=tol,
-        standardization=False,
-    ).fit(lifted)
-    margins = separator.transform(lifted).select(
-        vector_to_array("rawPrediction")[1].alias("margin"), "label")
-    platt = LogisticRegression(featuresCol="vector", labelCol="label", maxIter=100).fit(
-        _assembled(margins, ["margin"]))
-    lifted.unpersist()
-    spread.unpersist()
+    frequencies = rng.normal(0.0, math.sqrt(2 * gamma), (width, count))
+    phases = rng.uniform(0.0, 2 * math.pi, width)
+    lift = partial(fourier_features, frequencies=frequencies, phases=phases)
+    fit = fit_margin(blocks, count, width, lift, tol, max_iter)
+    calibration = fit_calibration(blocks, count, lambda x: lift(x) @ fit.weights + fit.bias)
+    blocks.unpersist()
     return KernelModel(
-        tuple(map(tuple, frequencies)), tuple(phases), separator,
-        (float(platt.coefficients[0]), float(platt.intercept)),
-        separator.summary().totalIterations < max_iter,
-    )
+        tuple(map(tuple, frequencies.tolist())), tuple(phases.tolist()),
+        Separator(DenseVector(fit.weights), fit.bias), calibration, fit.gap <= tol, fit.objective, fit.gap, fit.passes)
+
+
+def fourier_features(x: np.ndarray, frequencies: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """cos(w.x + b) * sqrt(2 / width) for every random frequency."""
+    return math.sqrt(2.0 / len(phases)) * np.cos(x @ frequencies.T + phases)
+
+
+def kernel_margins(model: KernelModel, df: DataFrame, features: list[str], name: str = "margin") -> DataFrame:
+    """Add the decision value; null where a feature is."""
+    frequencies, phases = np.array(model.frequencies), np.array(model.phases)
+    weights, bias = model.separator.coefficients.toArray(), model.separator.intercept
+
+    @F.arrow_udf("double")
+    def decision(*columns: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
+        return pa.array(fourier_features(x, frequencies, phases) @ weights + bias)
+
+    inputs = [F.col(c).cast("double") for c in features]
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in features))
+    return df.withColumn(name, F.when(known, decision(*inputs)))
 
 
 def kernel_predictions(model: KernelModel, df: DataFrame, features: list[str],
                        keep: tuple[str, ...]) -> DataFrame:
     """P(1) and the predicted label (sign of the decision value) next to ``keep``."""
-    scored = model.separator.transform(_lifted(df, features, model.frequencies, model.phases))
     slope, shift = model.calibration
-    margin = vector_to_array("rawPrediction")[1]
-    return scored.select(
+    margin = F.col("_margin")
+    return kernel_margins(model, df, features, "_margin").select(
         *keep, (1.0 / (1.0 + F.exp(-(margin * slope + shift)))).alias("prob"),
-        F.col("prediction").cast("int").alias("predicted"),
+        (margin > 0).cast("int").alias("predicted"),
     )
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="vector").transform(df)
-
-
-def _lifted(df: DataFrame, features, frequencies, phases) -> DataFrame:
-    """cos(w.x + b) * sqrt(2 / width) for every random frequency, one matrix product per Arrow batch."""
-    scale = math.sqrt(2.0 / len(phases))
-
-    @F.arrow_udf("array<double>")
-    def waves(*columns: pa.Array) -> pa.Array:
-        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns])
-        out = scale * np.cos(x @ np.array(frequencies).T + np.array(phases))
-        offsets = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, out.ravel())
-
-    inputs = [F.col(c).cast("double") for c in features]
-    return df.withColumn("vector", array_to_vector(waves(*inputs)))

@@ -1,15 +1,23 @@
-"""Scoring many candidate parameter vectors on all samples in one pass."""
+"""Scoring many candidate parameter vectors on all samples in one pass.
 
-from collections.abc import Callable
+Named scores are matrix products: a block of samples meets all candidates at once and a task sends one sum per candidate.
+A score given as a column expression unfolds the candidates in every row instead.
+"""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.functions.readout import log_likelihood
-from tallysift.functions.scores import SCORES
+from tallysift.functions.readout import log_likelihood, log_likelihood_matrix
+from tallysift.functions.scores import MATRIX_SCORES, SCORES
+from tallysift.operators.blocks import is_packed, matrices, pack
 
 Score = Callable[[list[Column], list[Column]], Column]
 MAX_PARAMETERS = 1_000_000
+STEP_SCORES = 1 << 21
 
 
 def score_builder(score: str | Score) -> Score:
@@ -27,9 +35,13 @@ def candidate_scores(
 ) -> DataFrame:
     """Mean log-likelihood of each candidate over all samples: (cand, fitness, samples).
 
-    The candidates are a literal of bounded size that every row unfolds in place. The map side
-    sums per candidate, so each task shuffles one row per candidate whatever the sample count.
+    Samples with a null feature or label count as samples but not in the mean.
     """
+    if not callable(score) and len({len(c) for c in candidates}) == 1:
+        score_builder(score)
+        _check_size(candidates)
+        blocks = samples if is_packed(samples) else packed_samples(samples, features, label)
+        return _matrix_scores(blocks, len(features), np.array(candidates, float), score)
     unfolded = _with_candidates(samples.select(*features, label), candidates)
     prob = score_builder(score)([F.col(c) for c in features], _parameters(candidates))
     return unfolded.groupBy("cand").agg(
@@ -38,6 +50,36 @@ def candidate_scores(
     )
 
 
+def packed_samples(samples: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Samples as matrices for ``candidate_scores``; a null label counts as 0, as it does in ``log_likelihood``."""
+    known = F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias(label)
+    return pack(samples.select(*features, known), [*features, label])
+
+
+def _matrix_scores(blocks: DataFrame, features: int, candidates: np.ndarray, score: str) -> DataFrame:
+    """A step holds at most a few million scores at once."""
+    count, matrix = len(candidates), MATRIX_SCORES[score]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, nulls = np.zeros(count), 0, 0
+        for batch in batches:
+            for values in matrices(batch, features + 1):
+                rows += len(values)
+                width = max(1, STEP_SCORES // max(1, len(values)))
+                for at in range(0, count, width):
+                    prob = matrix(values[:, :features], candidates[at:at + width])
+                    total[at:at + width] += log_likelihood_matrix(values[:, features], prob).sum(axis=0)
+            nulls += sum(batch.column(1).to_pylist())
+        if rows + nulls:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(count, dtype=np.int32)), pa.array(total), *(pa.array(np.full(count, n)) for n in (rows, nulls))],
+                names=["cand", "total", "known", "nulls"])
+
+    sums = blocks.mapInArrow(run, "cand int, total double, known long, nulls long").groupBy("cand").agg(
+        *(F.sum(c).alias(c) for c in ("total", "known", "nulls")))
+    return sums.select("cand", F.try_divide("total", "known").alias("fitness"), (F.col("known") + F.col("nulls")).alias("samples"))
+
+
 def best_candidate(scores: DataFrame) -> DataFrame:
     """The candidate of highest fitness; ties go to the smallest number."""
     return scores.agg(F.max(F.struct("fitness", (-F.col("cand")).alias("rank"))).alias("b")).select(
@@ -63,10 +105,14 @@ def predict(
         F.get(F.lit(runs), "cand").alias("run"), *keep, prob.alias("prob"))
 
 
-def _with_candidates(df: DataFrame, candidates: list[list[float]]) -> DataFrame:
+def _check_size(candidates: list[list[float]]) -> None:
     size = sum(len(c) for c in candidates)
     if size > MAX_PARAMETERS:
         raise ValueError(f"{size} candidate parameters exceed the literal bound of {MAX_PARAMETERS}")
+
+
+def _with_candidates(df: DataFrame, candidates: list[list[float]]) -> DataFrame:
+    _check_size(candidates)
     rows = ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in c) + ")" for c in candidates)
     return df.select("*", F.posexplode(F.expr(f"array({rows})")).alias("cand", "params"))
 

@@ -1,7 +1,7 @@
 """Population search over parameter vectors: particle swarm and differential evolution.
 
-All runs advance together; one generation is one scoring pass over the cached samples with the
-swarms of every run in it. The driver holds the swarms only (runs x population vectors).
+All runs advance together; one generation is one scoring pass over the samples with the swarms of
+every run in it. For named scores the samples are packed as matrices once and persisted like that. The driver holds the swarms only (runs x population vectors).
 Update rules: Kennedy and Eberhart 1995 with the inertia weight of Shi and Eberhart 1998;
 Storn and Price 1997 (rand/1/bin).
 """
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tallysift.operators.scoring import Score, candidate_scores
+from tallysift.operators.blocks import persist_blocks
+from tallysift.operators.scoring import Score, candidate_scores, packed_samples
 from tallysift.session import persist_evenly
 from tallysift.sources.schemas import HISTORY
 
@@ -46,7 +47,11 @@ def fit_population(
     if method == "DE" and population < 4:
         raise ValueError("differential evolution needs a population of at least 4")
     size = dimensions or len(features)
-    cached, _ = persist_evenly(samples.select(*features, label))
+    wanted = samples.select(*features, label)
+    if callable(score):
+        cached, _ = persist_evenly(wanted)
+    else:
+        cached = persist_blocks(wanted, lambda df: packed_samples(df, features, label))
     swarm = _Swarm if method == "PSO" else _Evolution
     searches = {r: swarm(np.random.default_rng(base_seed + r - 1), population, size)
                 for r in range(1, runs + 1)}

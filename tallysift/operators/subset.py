@@ -9,6 +9,7 @@ where a feature whose alpha * I_i falls below epsilon pays the penalty mu instea
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,6 @@ from pyspark.sql.window import Window
 EPSILON = 1e-8  # fixed value: relevance below this counts as none
 ALPHA_WIDTH = 1e-6  # fixed value: the alpha search stops below this interval width
 EXACT_FEATURES = 22
-ALPHAS_PER_SCAN = 15  # four search steps: every alpha they can visit
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,118 @@ def exact_minimum(
     )
 
 
+@dataclass(frozen=True)
+class Envelope:
+    """Subsets that are of least energy at some alpha, for every set of penalised features."""
+
+    tables: MiTables
+    epsilon: float
+    masks: dict[int, list[int]]  # penalised features (bit i = feature i) -> subsets
+
+    def minimum(self, alpha: float) -> int:
+        """The least-energy subset at ``alpha``; ties go to the smallest mask."""
+        linear, pairs = _coefficients(self.tables, alpha, self.epsilon)
+        low = sum(1 << i for i, v in enumerate(self.tables.relevance) if alpha * v < self.epsilon)
+
+        def energy(mask: int) -> float:
+            own = [i for i in range(len(linear)) if mask >> i & 1]
+            return sum(linear[i] for i in own) + sum(pairs.get((i, j), 0.0) for a, i in enumerate(own) for j in own[a + 1:])
+
+        return min((energy(m), m) for m in self.masks[low])[1]
+
+
+def fit_envelope(spark: SparkSession, tables: MiTables, epsilon: float = EPSILON) -> Envelope:
+    """One scan of all subsets for every alpha of the search at once.
+
+    For a fixed set of penalised features the energy of a subset is a line in alpha, so only subsets on the
+    lower envelope of these lines can ever be the minimum. Each task keeps its envelopes' lines, and the
+    envelope of these few is that of all.
+    """
+    n = len(tables.features)
+    if n > EXACT_FEATURES:
+        raise ValueError(f"exact search covers at most {EXACT_FEATURES} features, got {n}")
+    spans = _penalty_spans(tables, epsilon)
+    linear = {low: [_coefficients(tables, t, epsilon, low) for t in ends] for low, ends in spans.items()}
+
+    def scan(batches):
+        import pyarrow as pa
+
+        kept = {low: np.zeros(0, np.int64) for low in spans}
+        for batch in batches:
+            masks = batch.column(0).to_numpy()
+            for low, ends in linear.items():
+                found = _lower_envelope(masks, *(_energies(masks, *c) for c in ends))
+                kept[low] = np.concatenate([kept[low], found])
+        for low, masks in kept.items():
+            masks = _lower_envelope(masks, *(_energies(masks, *c) for c in linear[low]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(masks), low)), pa.array(masks)], names=["low", "mask"])
+
+    found: dict[int, list[int]] = {low: [] for low in spans}
+    for r in spark.range(2 ** n).mapInArrow(scan, "low long, mask long").collect():
+        found[r["low"]].append(r["mask"])
+    return Envelope(tables, epsilon, found)
+
+
+def qubo(tables: MiTables, alpha: float, epsilon: float = EPSILON) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Linear and pair coefficients at one alpha, in feature order."""
+    return _coefficients(tables, alpha, epsilon)
+
+
+def _penalty_spans(tables: MiTables, epsilon: float) -> dict[int, tuple[float, float]]:
+    """Sets of penalised features that some alpha of the search has, with the least and greatest such alpha."""
+    least = 0.5
+    while least >= ALPHA_WIDTH:
+        least /= 2
+    edges = sorted({epsilon / v for v in tables.relevance if v > 0 and least <= epsilon / v < 1} | {least, 1.0})
+    spans = {}
+    for a, b in zip(edges, edges[1:]):
+        middle = (a + b) / 2
+        low = sum(1 << i for i, v in enumerate(tables.relevance) if middle * v < epsilon)
+        spans[low] = (min(spans.get(low, (a, b))[0], a), b)
+    return spans
+
+
+def _energies(masks: np.ndarray, linear: list[float], pairs: dict[tuple[int, int], float]) -> np.ndarray:
+    bits = (masks[:, None] >> np.arange(len(linear)) & 1).astype(float)
+    coupling = np.zeros((len(linear), len(linear)))
+    for (i, j), v in pairs.items():
+        coupling[i, j] = v
+    return bits @ np.array(linear) + ((bits @ coupling) * bits).sum(axis=1)
+
+
+def _lower_envelope(masks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Masks of the lines on the lower envelope between two ends, given the lines' values there.
+
+    Between two lines of the envelope lies another one if something is below where they cross. Lines that only
+    touch the envelope are kept too: rounding must not decide between them here.
+    """
+    if not len(masks):
+        return masks
+    scale = max(1.0, float(np.abs(left).max()), float(np.abs(right).max()))
+    near, found, open_ = 1e-12 * scale, set(), []
+
+    def lowest(t: float) -> int:
+        values = (1 - t) * left + t * right
+        ties = np.flatnonzero(values <= values.min() + near)
+        found.update(ties[np.argsort(masks[ties])][:64].tolist())
+        return int(ties[np.argmin(masks[ties])])
+
+    open_.append((0.0, lowest(0.0), 1.0, lowest(1.0)))
+    while open_:
+        a, i, b, j = open_.pop()
+        if i == j or b - a < 1e-15:
+            continue
+        gap_a, gap_b = ((1 - t) * (left[i] - left[j]) + t * (right[i] - right[j]) for t in (a, b))
+        if gap_a >= 0 or gap_b <= 0:
+            continue
+        t = a + (b - a) * gap_a / (gap_a - gap_b)
+        k = lowest(t)
+        value = (1 - t) * left[k] + t * right[k]
+        if value < (1 - t) * left[i] + t * right[i] - near:
+            open_ += [(a, i, t, k), (t, k, b, j)]
+    return masks[sorted(found)]
+
+
 def annealed_reads(
     spark: SparkSession, tables: MiTables, alpha: float, num_reads: int, seed: int,
     epsilon: float = EPSILON, sweeps: int = 1000,
@@ -170,9 +282,10 @@ def fit_subset(
 
     More than k lowers the upper end, fewer raise the lower end. Once the interval is narrower
     than 1e-6 the last subset is returned with ``reached_k=False``. Method ``exact`` looks at every
-    subset and refuses more than ``EXACT_FEATURES`` features; ``annealed`` searches.
+    subset once, whatever the number of alphas, and refuses more than ``EXACT_FEATURES`` features;
+    ``bounded`` proves the minimum of more features by branch and bound; ``annealed`` searches.
     """
-    if method not in ("exact", "annealed"):
+    if method not in ("exact", "bounded", "annealed"):
         raise ValueError(f"unknown method {method!r}")
     if method == "annealed":
         def solve(alpha, lower, upper):
@@ -181,19 +294,24 @@ def fit_subset(
             return [f for f, b in zip(tables.features, bits) if b == "1"]
 
         return _search(solve, k)
-    subsets = subset_table(spark, tables).persist()
-    masks: dict[float, int] = {}
+    if method == "bounded":
+        from tallysift.operators.branch_bound import fit_bounded_minimum
+
+        known: list[int] = []
+
+        def solve(alpha, lower, upper):
+            found = fit_bounded_minimum(spark, *_coefficients(tables, alpha, epsilon), starts=known)
+            known.append(found.mask)
+            return [f for i, f in enumerate(tables.features) if found.mask >> i & 1]
+
+        return _search(solve, k)
+    lines = fit_envelope(spark, tables, epsilon)
 
     def solve(alpha, lower, upper):
-        if alpha not in masks:
-            ahead = _reachable(lower, upper, ALPHAS_PER_SCAN)
-            for r in exact_minimum(subsets, tables, ahead, epsilon).collect():
-                masks[r["alpha"]] = r["mask"]
-        return [f for i, f in enumerate(tables.features) if masks[alpha] >> i & 1]
+        mask = lines.minimum(alpha)
+        return [f for i, f in enumerate(tables.features) if mask >> i & 1]
 
-    choice = _search(solve, k)
-    subsets.unpersist()
-    return choice
+    return _search(solve, k)
 
 
 def _search(solve, k: int) -> SubsetChoice:
@@ -212,17 +330,6 @@ def _search(solve, k: int) -> SubsetChoice:
             return SubsetChoice(chosen, alpha, False, trail)
 
 
-def _reachable(lower: float, upper: float, count: int) -> list[float]:
-    """The midpoints the next search steps can visit, breadth first."""
-    out, open_ = [], [(lower, upper)]
-    while len(out) < count:
-        a, b = open_.pop(0)
-        middle = (a + b) / 2
-        out.append(middle)
-        open_ += [(a, middle), (middle, b)]
-    return out
-
-
 def _penalty(tables: MiTables, alpha: float) -> float:
     raw = [-alpha * v for v in tables.relevance]
     raw += [2 * (1 - alpha) * v for v in tables.redundancy.values()]
@@ -230,9 +337,11 @@ def _penalty(tables: MiTables, alpha: float) -> float:
     return peak if peak > 0 else 1.0
 
 
-def _coefficients(tables: MiTables, alpha: float, epsilon: float):
+def _coefficients(tables: MiTables, alpha: float, epsilon: float, low: int | None = None):
+    """Linear and pair coefficients; ``low``: the penalised features, if they don't follow from ``alpha``."""
     mu = _penalty(tables, alpha)
-    linear = [mu if alpha * v < epsilon else -alpha * v for v in tables.relevance]
+    waived = [alpha * v < epsilon if low is None else low >> i & 1 for i, v in enumerate(tables.relevance)]
+    linear = [mu if w else -alpha * v for v, w in zip(tables.relevance, waived)]
     pairs = {ij: 2 * (1 - alpha) * v for ij, v in tables.redundancy.items()}
     return linear, pairs
 

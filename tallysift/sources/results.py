@@ -3,9 +3,11 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallysift.sources import schemas as S
+from tallysift.sources.commits import commit_rows, read_committed
+from tallysift.sources.json_arrays import PIECE_BYTES, read_array_records
 
 
 def scan_history(spark: SparkSession, experiment_dir: str) -> DataFrame:
@@ -25,10 +27,11 @@ def scan_run_records(spark: SparkSession, experiment_dir: str) -> DataFrame:
     return found.withColumn("Run", offset + F.col("Run"))
 
 
-def read_run_records(spark: SparkSession, *paths: str, layout: str = "array") -> DataFrame:
+def read_run_records(spark: SparkSession, *paths: str, layout: str = "array", piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Nested run records with their ``Run`` number and file path.
 
-    Layout ``array``: each file is one JSON array and the position in it numbers the runs from 1.
+    Layout ``array``: each file is one JSON array and the position in it numbers the runs from 1; large files
+    are read by many tasks each.
     Layout ``lines``: one record per line carrying its own ``Run``, as ``write_run_records`` writes.
     A file that is not valid JSON is an error.
     """
@@ -42,10 +45,10 @@ def read_run_records(spark: SparkSession, *paths: str, layout: str = "array") ->
             if layout == "lines":
                 part = spark.read.schema(numbered).option("mode", "FAILFAST").json(path).select("*", path_col)
             else:
-                whole = spark.read.option("wholetext", True).text(path).select("value", path_col)
-                records = F.from_json("value", ArrayType(S.RUN_RECORD), {"mode": "FAILFAST"})
-                part = whole.select("path", F.posexplode(records).alias("pos", "r")).select(
-                    (F.col("pos") + 1).alias("Run"), "r.*", "path")
+                found = read_array_records(spark, path, piece_bytes)
+                record = F.from_json("value", S.RUN_RECORD, {"mode": "FAILFAST"}).alias("r")
+                part = found.select("path", "pos", record).select(
+                    (F.col("pos") + 1).cast("int").alias("Run"), "r.*", "path")
             out = out.unionByName(part)
         except AnalysisException as missing:
             if not _is_missing(missing):
@@ -62,9 +65,31 @@ def discover_experiments(spark: SparkSession, root: str, layout: str = "array")
     return found.withColumn("experiment", F.regexp_extract("path", pattern, 1)).drop("path")
 
 
-def append_history(history: DataFrame, path: str) -> None:
-    """Append history rows; one folder per run keeps later reads of a run pruned."""
-    history.write.mode("append").partitionBy("Run").parquet(path)
+def append_history(history: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append history rows; one folder per run keeps later reads of a run pruned.
+
+    With ``batch``, such as a task's name, the rows are a commit: appending the batch again, after a crash or
+    by mistake, replaces it instead of doubling its rows. ``read_history`` reads commits.
+    """
+    if batch is None:
+        history.write.mode("append").partitionBy("Run").parquet(path)
+    else:
+        commit_rows(history.select(S.HISTORY.names), path, batch, ("Run",))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """History rows of all batches appended to ``path``."""
+    return read_committed(spark, path, S.HISTORY)
+
+
+def append_predictions(predictions: DataFrame, path: str, batch: str) -> None:
+    """Predictions as a commit of their own, as ``append_history`` does with a batch."""
+    commit_rows(predictions.select(S.PREDICTIONS.names), path, batch, ("Run",))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of all batches appended to ``path``."""
+    return read_committed(spark, path, S.PREDICTIONS)
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
