@@ -34,4 +34,6 @@ def log_likelihood(label: Column, prob: Column) -> Column:
 
 def log_likelihood_matrix(label: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """``log_likelihood`` of a column of probabilities per candidate."""
-    return np.log(np.where((label == 1)[:, None], prob, 1 - prob) + FLOOR)
+    sign = np.where(label == 1, 1.0, -1.0)[:, None]
+    # prob for label 1, 1 - prob otherwise, without a second matrix to choose from
+    return np.log((sign < 0) + sign * prob + FLOOR)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallysift.functions.readout import log_likelihood, log_likelihood_matrix
 from tallysift.functions.scores import MATRIX_SCORES, SCORES
-from tallysift.operators.blocks import is_packed, matrices, pack
+from tallysift.operators.blocks import add_up, is_packed, matrices, pack
 
 Score = Callable[[list[Column], list[Column]], Column]
 MAX_PARAMETERS = 1_000_000
@@ -40,8 +40,7 @@ def candidate_scores(
     if not callable(score) and len({len(c) for c in candidates}) == 1:
         score_builder(score)
         _check_size(candidates)
-        blocks = samples if is_packed(samples) else packed_samples(samples, features, label)
-        return _matrix_scores(blocks, len(features), np.array(candidates, float), score)
+        return _matrix_scores(packed_samples(samples, features, label), len(features), np.array(candidates, float), score)
     unfolded = _with_candidates(samples.select(*features, label), candidates)
     prob = score_builder(score)([F.col(c) for c in features], _parameters(candidates))
     return unfolded.groupBy("cand").agg(
@@ -50,14 +49,43 @@ def candidate_scores(
     )
 
 
+def fit_candidate_scores(
+    samples: DataFrame, features: list[str], label: str, candidates: list[list[float]],
+    score: str | Score = "logistic",
+) -> list[float]:
+    """The fitness of each candidate, at once. ``samples`` may be ``packed_samples`` if the score has a name: a pass
+    over them is one stage, whose tasks send a sum per candidate."""
+    if not is_packed(samples):
+        rows = candidate_scores(samples, features, label, candidates, score).collect()
+        return [r["fitness"] for r in sorted(rows, key=lambda r: r["cand"])]
+    _check_size(candidates)
+    count, columns = len(candidates), len(features) + 1
+    points, matrix = np.array(candidates, float), MATRIX_SCORES[score]
+
+    def step(values: np.ndarray) -> np.ndarray:
+        return np.append(_likelihoods(values, points, matrix), len(values))
+
+    total = add_up(samples, columns, count + 1, step)
+    return [float(v) / total[-1] if total[-1] else float("nan") for v in total[:-1]]
+
+
 def packed_samples(samples: DataFrame, features: list[str], label: str) -> DataFrame:
     """Samples as matrices for ``candidate_scores``; a null label counts as 0, as it does in ``log_likelihood``."""
     known = F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias(label)
     return pack(samples.select(*features, known), [*features, label])
 
 
+def _likelihoods(values: np.ndarray, candidates: np.ndarray, matrix: Callable) -> np.ndarray:
+    """Sums per candidate over the rows of ``values`` (features, then the label), a few million scores at a time."""
+    total = np.zeros(len(candidates))
+    width = max(1, STEP_SCORES // max(1, len(values)))
+    for at in range(0, len(candidates), width):
+        prob = matrix(values[:, :-1], candidates[at:at + width])
+        total[at:at + width] = log_likelihood_matrix(values[:, -1], prob).sum(axis=0)
+    return total
+
+
 def _matrix_scores(blocks: DataFrame, features: int, candidates: np.ndarray, score: str) -> DataFrame:
-    """A step holds at most a few million scores at once."""
     count, matrix = len(candidates), MATRIX_SCORES[score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,10 +93,7 @@ def _matrix_scores(blocks: DataFrame, features: int, candidates: np.ndarray, sco
         for batch in batches:
             for values in matrices(batch, features + 1):
                 rows += len(values)
-                width = max(1, STEP_SCORES // max(1, len(values)))
-                for at in range(0, count, width):
-                    prob = matrix(values[:, :features], candidates[at:at + width])
-                    total[at:at + width] += log_likelihood_matrix(values[:, features], prob).sum(axis=0)
+                total += _likelihoods(values, candidates, matrix)
             nulls += sum(batch.column(1).to_pylist())
         if rows + nulls:
             yield pa.RecordBatch.from_arrays(

@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tallysift.operators.blocks import persist_blocks
-from tallysift.operators.scoring import Score, candidate_scores, packed_samples
+from tallysift.operators.scoring import Score, packed_samples
+from tallysift.operators.scoring import fit_candidate_scores as candidate_scores
 from tallysift.session import persist_evenly
 from tallysift.sources.schemas import HISTORY
 
@@ -59,8 +60,7 @@ def fit_population(
     for epoch in range(1, generations + 1):
         order = sorted(active)
         flat = [list(map(float, v)) for r in order for v in searches[r].proposals()]
-        rows = candidate_scores(cached, features, label, flat, score).collect()
-        scored = np.array([r["fitness"] for r in sorted(rows, key=lambda r: r["cand"])])
+        scored = np.array(candidate_scores(cached, features, label, flat, score), float)
         for at, r in enumerate(order):
             searches[r].accept(scored[at * population:(at + 1) * population])
             best, mean = searches[r].summary()
