@@ -5,8 +5,9 @@ small letters, digits, symbols, marks, others); and words for how much of the te
 and lines that came before, a word for every tenth reached). All are hashed to 2**18 buckets. A bucket's ratio
 log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|) comes from the document counts of both classes over *all* training rows,
 added up per task and then per bucket. A row is the vector of its buckets' ratios at length one. The model is fitted by
-dual coordinate descent on at most ``fit_rows`` training rows with ``fit_nonzeros`` indicators in all, those with the
-least hashed id; every fifth of them is kept from the fit and sets the sigmoid that turns margins into scores.
+dual coordinate descent on at most ``fit_rows`` training rows with ``fit_nonzeros`` indicators in all, by hashed id; long
+rows that don't fit are passed over, each class has half of the room to itself, and a class that would be left without a
+row is an error. Every fifth of them is kept from the fit and sets the sigmoid that turns margins into scores.
 
 Scoring is one pass over the documents with 2 MB of broadcast weights. Empty and null texts have the bare bias as
 margin. Repeated labels count once, as 1 if any says so; null labels don't count. Where one class has no training rows,
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,6 +180,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
+def within(sizes: list[tuple[int, int, int]], nonzeros: int) -> list[int]:
+    """Of (order, label, indicators) rows the orders that are fitted on: in that order whatever still fits, a class at a
+    time up to its half of ``nonzeros``, then both with what is left. Long rows that don't fit are passed over and don't
+    end the sample. An error if a class would be left without any."""
+    total: dict[tuple[int, int], int] = {}
+    for order, label, size in sizes:
+        total[order, label] = total.get((order, label), 0) + size
+    picked, left = set(), nonzeros
+    for label in (0, 1, None):
+        room = left if label is None else nonzeros // 2
+        for (order, own), size in sorted(total.items()):
+            if order not in picked and label in (own, None) and size <= room:
+                picked.add(order)
+                room, left = room - size, left - size
+        if label is not None and any(own == label for _, own in total) and not any(o in picked for o, own in total if own == label):
+            raise ValueError(f"no labelled row of class {label} fits into {nonzeros} indicators: raise fit_nonzeros")
+    return sorted(picked)
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text",
         label: str = "quality", fit_rows: int = 4000, fit_nonzeros: int = 4_000_000) -> Model:
     """Train on the labelled rows for which ``training`` (a condition on the document id) holds."""
@@ -203,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, doc_id: str = "doc
     rows = stored(body.join(small_side(chosen), "_id").orderBy(order).limit(fit_rows)
                   .select(order.alias("order"), "label", "text").mapInArrow(
                       indicator_rows, "order long, label int, buckets array<int>"), "sample")
-    running = F.sum(F.size("buckets")).over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
-    sample = rows.withColumn("running", running).where(F.col("running") <= fit_nonzeros).orderBy("order").select(
+    sizes = [tuple(r) for r in rows.select("order", "label", F.size("buckets")).collect()]
+    sample = rows.where(F.col("order").isin(within(sizes, fit_nonzeros))).orderBy("order").select(
         "label", "buckets").toArrow().combine_chunks()
     y = np.where(sample.column("label").to_numpy() == 1, 1.0, -1.0)
     x = [b.values.to_numpy() for b in sample.column("buckets")]

@@ -80,6 +80,23 @@ def test_classifier_on_odd_rows(odd, none, labels):
     assert quality_classifier.fit(none, labels, everything).bias == 0
 
 
+def test_long_rows_leave_room_for_others(docs_of, spark):
+    """A long text first in line neither ends the sample nor crowds a class out."""
+    within = quality_classifier.within
+    assert within([(1, 1, 90), (2, 1, 20), (3, 0, 30), (4, 1, 10), (5, 0, 25)], 100) == [2, 3, 4, 5]
+    assert within([(1, 1, 90), (2, 0, 5)], 200) == [1, 2] and within([(k, k % 2, 1) for k in range(9)], 100) == list(range(9))
+    assert within([], 10) == [] and within([(7, 1, 3), (7, 1, 3), (8, 0, 1)], 12) == [7, 8]
+    with pytest.raises(ValueError):
+        within([(1, 1, 60), (2, 0, 5)], 100)
+    texts = [(k, f"{'good words here' if k % 2 else 'BAD! stuff! $$'} {k} " * (3 if k % 10 else 400)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs_of(texts), labels, F.lit(True), fit_nonzeros=600)
+    got = {r.doc_id: r.s for r in quality_classifier.score(docs_of(texts), model, name="s", keep=["doc_id"]).collect()}
+    assert sum((got[k] > 0.5) == (k % 2 == 1) for k in got) >= 58
+    with pytest.raises(ValueError):
+        quality_classifier.fit(docs_of(texts), labels, F.lit(True), fit_nonzeros=10)
+
+
 def test_indicators_are_per_document():
     texts = [b"Some words here", None, b"", b"A!! B!!\nA!! B!!\nA!! B!!", b"some words here"]
     together = quality_classifier.indicators(texts)
@@ -272,6 +289,16 @@ def test_automaton_sums_to_one_and_equals_recursion():
         assert sum(grown) + rest == pytest.approx(1, rel=1e-9)
 
 
+def test_substrings_of_rows_repeated_in_bulk(docs_of):
+    """2,000 rows alike, with and without an id, beside others that share a part: the cost is that of their bytes."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(7, text)] * 1500 + [(None, text)] * 500 + [(8, text[500:1500] + "x" * 150), (9, "y" * 150 + text[:300]), (10, text[:150])]
+    got = collections.Counter((r.doc_id, *r.cut[:4]) for r in substrings.deduplicate(docs_of(rows), keep=["doc_id"], rest_as=None).collect())
+    want = brute_cut([text.encode(), text.encode(), *(t.encode() for _, t in rows[2000:])])
+    assert got == collections.Counter({(7, *want[0]): 1500, (None, *want[0]): 500, **{(i, *w): 1 for (i, _), w in zip(rows[2000:], want[2:])}})
+
+
 def test_language_model_keeps_every_gram_seen_twice(docs_of):
     """Against an automaton of all counts, over several chunks; the grams have shares far below 1e-5 of the tokens."""
     rng = random.Random(8)
