@@ -7,6 +7,7 @@ from catalog import fixtures as X
 from catalog.registry import query, r9, rounded
 from tallysift.operators import baselines, reports, scoring, search
 from tallysift.plans import preprocess
+from tallysift.session import scratch_dir
 
 COLUMNS = ["quantity", "price", "discount", "tax"]
 # a fixed grid of candidate vectors, four weights and a bias each
@@ -109,6 +110,17 @@ def h4_evolution(spark, sf):
     return population(spark, sf, "DE").history
 
 
+@query("h4_resumed_swarm")
+def h4_resumed(spark, sf):
+    """Ten generations, their state stored and read again, and ten more."""
+    rows, path = X.line_samples(spark, sf), scratch_dir(spark, "search")
+    args = dict(method="PSO", runs=2, base_seed=42, dimensions=5)
+    first = search.fit_population(rows, COLUMNS, "label", generations=10, **args)
+    first.resume.write.parquet(path)
+    rest = search.fit_population(rows, COLUMNS, "label", generations=20, resume=spark.read.parquet(path), **args)
+    return first.history.unionByName(rest.history)
+
+
 RUN_VECTORS = {r + 1: v for r, v in enumerate(CANDIDATES[5:8])}
 
 

@@ -6,6 +6,7 @@ Update rules: Kennedy and Eberhart 1995 with the inertia weight of Shi and Eberh
 Storn and Price 1997 (rand/1/bin).
 """
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -20,28 +21,36 @@ from tallysift.sources.schemas import HISTORY
 
 BOUND = math.pi  # fixed value: parameters start in, and stay within, [-pi, pi]
 METHODS = ("PSO", "DE")
+RESUME = "Run int, Epoch int, state string"
 
 
 @dataclass(frozen=True)
 class SearchResult:
-    """Best parameters and fitness per run, the history table and the per-generation states."""
+    """Best parameters and fitness per run, the history table, the per-generation states, and ``resume``: all
+    that a later call needs to go on with each run from its last state (Run, Epoch, state), to be stored as a table."""
 
     best: dict[int, list[float]]
     fitness: dict[int, float]
     history: DataFrame
     states: DataFrame
+    resume: DataFrame
 
 
 def fit_population(
     samples: DataFrame, features: list[str], label: str, *, method: str = "PSO", runs: int = 1,
     base_seed: int = 0, generations: int = 100, population: int = 10, dimensions: int | None = None,
     tolerance: float = 0.0, score: str | Score = "logistic", state_every: int = 10,
+    resume: DataFrame | None = None,
 ) -> SearchResult:
     """Maximise the mean log-likelihood; each run is seeded base_seed + run.
 
     A run stops early once its best and mean personal-best fitness differ by less than
     ``tolerance``. History rows are ``fitness`` (best so far) and ``mean_best`` (mean of the
     personal bests) per generation.
+
+    With ``resume``, the ``resume`` table of an earlier call, its runs go on from their last epoch up to
+    ``generations``, as if they had never stopped; history and states are those of the new epochs. Runs that
+    the table doesn't have begin anew.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
@@ -56,13 +65,26 @@ def fit_population(
     swarm = _Swarm if method == "PSO" else _Evolution
     searches = {r: swarm(np.random.default_rng(base_seed + r - 1), population, size)
                 for r in range(1, runs + 1)}
-    history, states, active = [], [], set(searches)
-    for epoch in range(1, generations + 1):
-        order = sorted(active)
+    history, states, reached = [], [], dict.fromkeys(searches, 0)
+    for r in resume.collect() if resume is not None else []:
+        if r["Run"] in searches:
+            reached[r["Run"]] = r["Epoch"]
+            searches[r["Run"]].restore(r["state"])
+    active = {r for r, epoch in reached.items() if epoch < generations}
+    for r in {r for r in active if reached[r]}:
+        best, mean = searches[r].summary()
+        if abs(best - mean) < tolerance:
+            active.discard(r)
+    for epoch in range(min(reached.values()) + 1, generations + 1):
+        # runs that were resumed further on wait for the others
+        order = sorted(r for r in active if reached[r] < epoch)
+        if not order:
+            continue
         flat = [list(map(float, v)) for r in order for v in searches[r].proposals()]
         scored = np.array(candidate_scores(cached, features, label, flat, score), float)
         for at, r in enumerate(order):
             searches[r].accept(scored[at * population:(at + 1) * population])
+            reached[r] = epoch
             best, mean = searches[r].summary()
             history += [(r, epoch, "fitness", best), (r, epoch, "mean_best", mean)]
             done = abs(best - mean) < tolerance
@@ -78,12 +100,15 @@ def fit_population(
         {r: s.best() for r, s in searches.items()}, {r: s.summary()[0] for r, s in searches.items()},
         spark.createDataFrame(history, HISTORY),
         spark.createDataFrame(states, "Run int, Epoch int, params array<double>"),
+        spark.createDataFrame([(r, reached[r], s.state()) for r, s in searches.items()], RESUME),
     )
 
 
 class _Population:
     """Personal bests of one run."""
 
+    ARRAYS = ("points", "kept", "values")
+
     def __init__(self, rng, population, size):
         self.rng = rng
         self.points = rng.uniform(-BOUND, BOUND, (population, size))
@@ -96,6 +121,20 @@ class _Population:
     def best(self):
         return [float(v) for v in self.kept[self.values.argmax()]]
 
+    def state(self) -> str:
+        """Positions and the generator's state; numbers are written so that they read back as they were."""
+        arrays = {name: getattr(self, name).tolist() for name in self.ARRAYS}
+        return json.dumps({"method": type(self).__name__, "arrays": arrays, "generator": self.rng.bit_generator.state})
+
+    def restore(self, state: str) -> None:
+        found = json.loads(state)
+        shape = np.array(found["arrays"]["points"]).shape
+        if found["method"] != type(self).__name__ or shape != self.points.shape:
+            raise ValueError(f"the stored state is of another search: {found['method']} of {shape}")
+        for name in self.ARRAYS:
+            setattr(self, name, np.array(found["arrays"][name], float))
+        self.rng.bit_generator.state = found["generator"]
+
     def accept(self, fitness):
         better = fitness > self.values
         self.values = np.where(better, fitness, self.values)
@@ -103,6 +142,7 @@ class _Population:
 
 
 class _Swarm(_Population):
+    ARRAYS = (*_Population.ARRAYS, "speed")
     INERTIA, PULL = 0.729, 1.49445
 
     def __init__(self, rng, population, size):

@@ -131,6 +131,26 @@ def test_searches_agree_between_matrix_and_column_scores(spark):
         assert a.best[r] == pytest.approx(b.best[r], rel=1e-9) and a.fitness[r] == pytest.approx(b.fitness[r], rel=1e-12)
 
 
+@pytest.mark.parametrize("method", search.METHODS)
+def test_a_resumed_search_goes_on_as_if_it_had_not_stopped(spark, tmp_path, method):
+    rng = np.random.default_rng(4)
+    df, names = frame(spark, rng.normal(size=(300, 2)), rng.integers(0, 2, 300))
+    args = dict(method=method, base_seed=3, population=5)
+    whole = search.fit_population(df, names, "label", runs=2, generations=6, **args)
+    # one run stops after four generations, is stored, and goes on beside one that begins
+    search.fit_population(df, names, "label", runs=1, generations=4, **args).resume.write.parquet(str(tmp_path / "state"))
+    rest = search.fit_population(df, names, "label", runs=2, generations=6, resume=spark.read.parquet(str(tmp_path / "state")), **args)
+    assert rest.best == whole.best and rest.fitness == pytest.approx(whole.fitness, rel=1e-12)
+    values = lambda found: {(r["Run"], r["Epoch"], r["Metric"]): r["Value"] for r in found.history.collect()}
+    got, want = values(rest), values(whole)
+    assert set(want) - set(got) == {(1, e, m) for e in range(1, 5) for m in ("fitness", "mean_best")}
+    assert got == pytest.approx({k: want[k] for k in got}, rel=1e-12)
+    done = search.fit_population(df, names, "label", runs=2, generations=6, resume=whole.resume, **args)
+    assert done.best == whole.best and done.history.count() == 0
+    with pytest.raises(ValueError):
+        search.fit_population(df, names, "label", runs=1, generations=9, resume=whole.resume, method=method, base_seed=3, population=6)
+
+
 def test_log_likelihood_forms_agree(spark):
     from tallysift.functions.readout import log_likelihood_matrix
     labels, probs = [1, 0, 1, 0], [0.0, 0.0, 1.0, 0.25]
