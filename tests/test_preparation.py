@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallysift.operators import components, mutual_info, prune, quantiles, scale, split
+from tallysift.operators import components, mutual_info, prune, quantiles, rank_sketch, scale, split
 from tallysift.plans import preprocess, reduce
 from tallysift.sources import results, tables
 from tallysift.sources import schemas as S
@@ -122,6 +122,49 @@ def test_quantiles_are_exact(spark, bins):
         assert got[c].quantiles == pytest.approx(tuple(np.quantile(values, probs)), rel=1e-12), c
 
 
+@pytest.mark.parametrize("between", [4_000_000, 10])
+def test_quantiles_take_two_passes(spark, monkeypatch, between):
+    """A sketch and one count; only where too many rows lie between the bounds, bins. Ties, hot values, any order of rows."""
+    rng = np.random.default_rng(3)
+    data = {"order": np.arange(20_000.0), "hot": np.where(rng.random(20_000) < .4, 7.0, rng.normal(size=20_000)),
+            "wide": np.exp(rng.normal(0, 8, 20_000)) * rng.choice([-1, 1], 20_000), "few": rng.integers(0, 3, 20_000).astype(float)}
+    df = spark.createDataFrame(list(zip(*[[float(v) for v in c] for c in data.values()])), list(data)).repartition(70)
+    passes = []
+    for name in ("_sketched", "_counted_between", "_count_bins"):
+        run = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, run=run, name=name: passes.append(name) or run(*a))
+    monkeypatch.setattr(quantiles, "MAX_BETWEEN", between)
+    probs = [i / 20 for i in range(21)] + [.001, .4999]
+    got = quantiles.fit_quantiles(df, list(data), probs, level_values=64)
+    for c, values in data.items():
+        assert got[c].quantiles == pytest.approx(tuple(np.quantile(values, probs)), rel=1e-12), c
+        assert (got[c].rows, got[c].low, got[c].high) == (20_000, values.min(), values.max())
+    assert passes[0] == "_sketched"
+    assert passes[1:] == ["_counted_between"] if between > 10 else set(passes[1:]) == {"_count_bins"}
+    passes.clear()
+    quantiles.fit_quantiles(df, list(data), probs)
+    assert passes == ["_sketched"]
+
+
+def test_a_sketch_knows_its_error():
+    rng = np.random.default_rng(0)
+    for values in (np.arange(5000.0), rng.normal(size=5000), rng.integers(0, 9, 5000).astype(float), np.arange(5000.0)[::-1]):
+        parts = []
+        for part in np.array_split(values, 7):
+            parts.append(rank_sketch.RankSketch(50))
+            for batch in np.array_split(part, 11):
+                parts[-1].add(batch)
+        whole = rank_sketch.RankSketch.loads(parts[0].dumps())
+        for p in parts[1:]:
+            whole.merge(p)
+        assert sum(len(v) << k for k, v in enumerate(whole.levels)) == whole.rows == 5000
+        assert sum(map(len, whole.levels)) <= 50 * len(whole.levels) and 0 < whole.error < 2500
+        ranks, ordered = list(range(0, 5000, 37)), np.sort(values)
+        for r, (low, high) in zip(ranks, whole.brackets(ranks)):
+            assert low < ordered[r] <= high
+            assert (values <= high).sum() - (values <= low).sum() <= 8 * whole.error + (values == high).sum() + 2
+
+
 def test_quantiles_ignore_missing_values(spark):
     df = spark.createDataFrame([(None, None), (float("nan"), None), (1.0, None), (4.0, None)], "a double, b double")
     got = quantiles.fit_quantiles(df, ["a", "b"], [.5])
