@@ -130,9 +130,10 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM y GROUP BY rid, doc_id""",
-    "op10_perspectives": """WITH t AS (
+    "op10_perspectives": """WITH said AS (
           SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS chunk, turn, coalesce(role, 'unknown') AS who,
                  replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS body FROM conversations),
+        t AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, who, body) - 1) // 4096 AS part FROM said),
         p AS (SELECT DISTINCT conv_id, who AS participant FROM t WHERE who <> 'system'),
         v AS (SELECT t.*, participant, who = participant AS own,
                      CASE WHEN who = participant THEN '<|assistant|>' WHEN who = 'system' THEN '<|system|>'
@@ -140,12 +141,12 @@ ORACLES = {
                      || chr(10) AS head
               FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
         o AS (SELECT *, row_number() OVER w AS k, sum(length(head) + length(body)) OVER w - length(body) AS pos FROM v
-              WINDOW w AS (PARTITION BY conv_id, participant, chunk ORDER BY turn NULLS FIRST, who, body
+              WINDOW w AS (PARTITION BY conv_id, participant, chunk, part ORDER BY turn NULLS FIRST, who, body
                            ROWS UNBOUNDED PRECEDING))
-        SELECT conv_id, participant, chunk, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+        SELECT conv_id, participant, chunk, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
                string_agg(head || body, '' ORDER BY k) AS rendered,
                coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || ':' || length(body), ',' ORDER BY k) FILTER (own), '') AS mask
-        FROM o GROUP BY conv_id, participant, chunk""",
+        FROM o GROUP BY conv_id, participant, chunk, part""",
     "op9_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         s AS (SELECT b, max(page_id) AS first FROM p WHERE octet_length(b) >= 1000 GROUP BY b HAVING count(*) > 1)
         SELECT page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,

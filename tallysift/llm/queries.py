@@ -64,10 +64,9 @@ def op9_warc(spark, sf_dir):
 
 @query
 def op10_perspectives(spark, sf_dir):
-    # whole chunks, as in the SQL: a row per conversation, participant and chunk
-    views = perspectives.rotate(table(spark, sf_dir, "conversations"), chunk_rows=None)
+    views = perspectives.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m[0].cast("string"), m[1].cast("string"))), ",")
-    return views.select("conv_id", "participant", "chunk", "n_turns", "n_own", "rendered", mask.alias("mask"))
+    return views.select("conv_id", "participant", "chunk", "part", "n_turns", "n_own", "rendered", mask.alias("mask"))
 
 
 @query

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -493,13 +494,22 @@ def test_parts_of_large_chunks_follow_each_other(spark, tasks):
         assert [r.part for r in found] == list(range(len(found)))
 
 
-def test_chunks_of_any_size_are_one_row(spark, tmp_path):
-    from tallysift.llm.queries import op10_perspectives
-
-    rows = [(1, None, "ab"[k % 2], f"t{k}") for k in range(5000)]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = op10_perspectives(spark, str(tmp_path)).collect()
-    assert [(r.participant, r.n_turns, r.n_own) for r in sorted(got, key=lambda r: r.participant)] == [("a", 5000, 2500), ("b", 5000, 2500)]
+def test_large_chunks_come_in_parts(spark, tmp_path):
+    """Turns without a number and turns that share one: parts of 4,096, as the SQL says, and whole chunks on wish."""
+    from compare import same
+    from tallysift.llm.queries import ORACLES, op10_perspectives
+
+    rows = [(1, None, "ab"[k % 2], f"t{k:05}") for k in range(5000)] + [(None, 70, "a", f"s{k % 3000:05}") for k in range(4500)]
+    df = spark.createDataFrame(rows + [(2, 3, "a", "x")], "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = op10_perspectives(spark, str(tmp_path))
+    assert same(got, con.execute(ORACLES["op10_perspectives"]).df()) is None
+    assert sorted((r.participant, r.part, r.n_turns) for r in got.where("conv_id = 1").collect()) == [
+        ("a", 0, 4096), ("a", 1, 904), ("b", 0, 4096), ("b", 1, 904)]
+    whole = perspectives.rotate(df, chunk_rows=None).where("conv_id = 1").collect()
+    assert [(r.n_turns, r.n_own) for r in whole] == [(5000, 2500)] * 2
 
 
 def test_scratch_folder_is_new_each_time(spark):
