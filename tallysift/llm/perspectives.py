@@ -79,7 +79,8 @@ def in_parts(said: DataFrame, chunk_rows: int) -> DataFrame:
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text",
            chunk_turns: int = 64, chunk_rows: int | None = 4096) -> DataFrame:
-    """Per conversation, participant and chunk (``chunk``, ``part`` of it): n_turns, n_own, text, mask."""
+    """Per conversation, participant and chunk (``chunk``, ``part`` of it): n_turns, n_own, rendered, mask. Where the
+    conversation's column has one of these names, that of the result gets an underscore behind it."""
     said = turns.select(
         F.col(conv).alias("conv"), F.floor(F.col(turn) / chunk_turns).cast("long").alias("chunk"), F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker).cast("string"), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -89,7 +90,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     people = said.where(F.col("speaker") != SYSTEM).select(F.col("conv").alias("c"), F.col("speaker").alias("participant")).distinct()
     views = chunks.join(people, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "participant", "chunk", "part", "turns")
     schema = T.StructType([
-        T.StructField(conv, turns.schema[conv].dataType), T.StructField("participant", T.StringType()),
+        T.StructField("conv", turns.schema[conv].dataType), T.StructField("participant", T.StringType()),
         T.StructField("chunk", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_turns", T.LongType()),
         T.StructField("n_own", T.LongType()), T.StructField("rendered", T.StringType()),
         T.StructField("mask", T.ArrayType(T.ArrayType(T.LongType())))])
@@ -106,4 +107,5 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
                 [*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array([len(m) for m in masks], pa.int64()),
                  pa.array(texts, pa.string()), pa.array(masks, pa.list_(pa.list_(pa.int64())))], names=schema.names)
 
-    return views.select("conv", "participant", "chunk", "part", "turns").mapInArrow(run, schema)
+    names = [f"{n}_" if n.lower() == conv.lower() else n for n in schema.names[1:]]
+    return views.select("conv", "participant", "chunk", "part", "turns").mapInArrow(run, schema).toDF(conv, *names)

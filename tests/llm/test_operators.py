@@ -508,6 +508,8 @@ def test_large_chunks_come_in_parts(spark, tmp_path):
     assert same(got, con.execute(ORACLES["op10_perspectives"]).df()) is None
     assert sorted((r.participant, r.part, r.n_turns) for r in got.where("conv_id = 1").collect()) == [
         ("a", 0, 4096), ("a", 1, 904), ("b", 0, 4096), ("b", 1, 904)]
+    odd = perspectives.rotate(df.withColumnRenamed("conv_id", "part"), conv="part")
+    assert odd.columns[:4] == ["part", "participant", "chunk", "part_"] and odd.count() == got.count()
     whole = perspectives.rotate(df, chunk_rows=None).where("conv_id = 1").collect()
     assert [(r.n_turns, r.n_own) for r in whole] == [(5000, 2500)] * 2
 
