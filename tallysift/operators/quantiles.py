@@ -13,7 +13,7 @@ from tallysift.operators.blocks import DIRECT
 from tallysift.operators.rank_sketch import LEVEL_VALUES, RankSketch
 
 BINS = 4096
-#: Rows between the bounds of all wanted ranks that are counted value by value.
+#: Distinct values between the bounds of all wanted ranks that are counted one by one.
 MAX_BETWEEN = 4_000_000
 
 
@@ -42,7 +42,7 @@ def fit_quantiles(
     the columns' order; a sketch of fewer than ``level_values`` rows is exact. The sketch names for every wanted rank two
     values that the ranked one lies between for certain, and a second pass counts the values between them,
     and only the number of those below. So two passes are exact, whatever the values look like. Where more
-    than ``MAX_BETWEEN`` rows lie between (tables of 10**9 rows and more), these are counted in bins and
+    than ``MAX_BETWEEN`` values may lie between (tables of 10**8 rows and more), these are counted in bins and
     the bins that hold a rank are counted again. ``approx`` trades exactness for a single sketch pass of Spark's.
     """
     sketch = approx and bool(probs)
@@ -84,15 +84,20 @@ def _exact(df: DataFrame, columns: list[str], probs: list[float], bins: int, lev
                 between[c].append((min(before[0], low), max(before[1], high), [*before[2], r]))
             else:
                 between.setdefault(c, []).append((low, high, [r]))
-    # what lies between at most: the ranks' distance, and the error and the bounds' own weight on both sides
-    most = sum(ranks[-1] - ranks[0] + 8 * sketches[c].error + 2 for c, parts in between.items() for _, _, ranks in parts)
+    most = sum(sketches[c].most_values([(low, high) for low, high, _ in parts]) for c, parts in between.items())
     if between and most <= MAX_BETWEEN:
         known.update(_counted_between(df, between))
     elif between:
         below = df.agg(*[F.count_if(as_number(c) <= low).alias(f"b{i}_{j}")
                          for i, (c, parts) in enumerate(between.items()) for j, (low, _, _) in enumerate(parts)]).first()
-        spans = {c: [(max(math.nextafter(low, math.inf), sketches[c].low), high, below[f"b{i}_{j}"], ranks)
-                     for j, (low, high, ranks) in enumerate(parts)] for i, (c, parts) in enumerate(between.items())}
+        spans: dict[str, list[tuple[float, float, int, list[int]]]] = {}
+        for i, (c, parts) in enumerate(between.items()):
+            for j, (low, high, ranks) in enumerate(parts):
+                low = max(math.nextafter(low, math.inf), sketches[c].low)
+                if low < high:
+                    spans.setdefault(c, []).append((low, high, below[f"b{i}_{j}"], ranks))
+                else:  # no room for another value
+                    known.update({(c, r): high for r in ranks})
         known.update(_by_counting(df, spans, bins))
     out = {}
     for c in columns:
@@ -223,21 +228,22 @@ def _count_bins(df: DataFrame, spans: dict[str, list[tuple[float, float]]], bins
         for parts in spans.values():
             low, high = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
             size = len(parts) * bins
-            tallies.append((first, low, high, np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)))
+            # halves where the distance between extremes would overflow
+            scale = np.where(high / 2 - low / 2 > np.finfo(float).max / 2, 0.5, 1.0)
+            tallies.append((first, low, high, scale, np.zeros(size, np.int64), np.full(size, np.inf), np.full(size, -np.inf)))
             first += len(parts)
         for batch in batches:
-            for column, (_, low, high, n, least, most) in zip(batch.columns, tallies):
+            for column, (_, low, high, scale, n, least, most) in zip(batch.columns, tallies):
                 values = column.drop_null().to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(high, values), len(high) - 1)
                 inside = (values >= low[at]) & (values <= high[at])
                 values, at = values[inside], at[inside]
-                # halves, so that the distance between extremes cannot overflow
-                share = (values / 2 - low[at] / 2) / (high[at] / 2 - low[at] / 2)
+                share = (values * scale[at] - low[at] * scale[at]) / (high[at] * scale[at] - low[at] * scale[at])
                 place = at * bins + np.minimum((share * bins).astype(np.int64), bins - 1)
                 n += np.bincount(place, minlength=len(n))
                 np.minimum.at(least, place, values)
                 np.maximum.at(most, place, values)
-        for first, _, _, n, least, most in tallies:
+        for first, _, _, _, n, least, most in tallies:
             filled = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((first + filled // bins).astype(np.int32)), pa.array((filled % bins).astype(np.int32)),

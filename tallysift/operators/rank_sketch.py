@@ -54,14 +54,18 @@ class RankSketch:
                 self.error += 1 << k
             k += 1
 
-    def brackets(self, ranks: list[int]) -> list[tuple[float, float]]:
-        """For each rank (from 0) two values: the one of that rank is above the first and at most the second."""
+    def _ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct values in order, and all weight up to and with each."""
         values = np.concatenate(self.levels)
         weights = np.concatenate([np.full(len(v), 1 << k, np.int64) for k, v in enumerate(self.levels)])
         order = np.argsort(values, kind="stable")
         values, upto = values[order], np.cumsum(weights[order])
         last = np.append(values[1:] != values[:-1], True) if len(values) else np.zeros(0, bool)
-        values, upto = values[last], upto[last]  # by distinct value, all weight up to and with it
+        return values[last], upto[last]
+
+    def brackets(self, ranks: list[int]) -> list[tuple[float, float]]:
+        """For each rank (from 0) two values: the one of that rank is above the first and at most the second."""
+        values, upto = self._ranked()
         out = []
         for r in ranks:
             below = int(np.searchsorted(upto, r + 1 - self.error, "left"))  # so many values have upto + error < r + 1
@@ -69,6 +73,20 @@ class RankSketch:
             out.append((float(values[below - 1]) if below else -np.inf, float(values[above]) if above < len(values) else self.high))
         return out
 
+    def most_values(self, spans: list[tuple[float, float]]) -> int:
+        """Distinct values above the first and at most the second bound of all spans together, at most.
+
+        Between two neighbours of the sketch lie 2 * error rows at most, so that values with many rows count once.
+        """
+        values, upto = self._ranked()
+        upto, total = np.concatenate([[0], upto]), 0
+        for low, high in spans:
+            first = int(np.searchsorted(values, low, "right"))
+            stop = max(first, int(np.searchsorted(values, high, "left")))
+            rows = int(upto[stop] - upto[first]) + 2 * self.error + 1
+            total += min(rows, (stop - first + 1) * (2 * self.error + 1))
+        return total
+
     def dumps(self) -> bytes:
         return pickle.dumps((self.size, self.levels, self.odd, self.rows, self.low, self.high, self.error))
 

@@ -146,6 +146,25 @@ def test_quantiles_take_two_passes(spark, monkeypatch, between):
     assert passes == ["_sketched"]
 
 
+@pytest.mark.parametrize("between", [30_000, 10])
+def test_quantiles_of_values_with_many_rows(spark, monkeypatch, between):
+    """Ranks that fall on the least value, and values of many rows, which need no bins however many rows they have."""
+    rng = np.random.default_rng(5)
+    data = {"line": rng.integers(1, 8, 40_000).astype(float), "least": np.where(rng.random(40_000) < .6, 1.0, 1 + rng.random(40_000)),
+            "tiny": rng.integers(0, 3, 40_000) * 5e-324}
+    df = spark.createDataFrame(list(zip(*[[float(v) for v in c] for c in data.values()])), list(data)).repartition(4)
+    passes = []
+    for name in ("_counted_between", "_count_bins"):
+        run = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *a, run=run, name=name: passes.append(name) or run(*a))
+    monkeypatch.setattr(quantiles, "MAX_BETWEEN", between)
+    probs = [i / 20 for i in range(21)]
+    for c in data if between == 10 else ["line", "tiny"]:
+        got = quantiles.fit_quantiles(df, [c], probs, level_values=512)
+        assert got[c].quantiles == pytest.approx(tuple(np.quantile(data[c], probs)), rel=1e-12, abs=0), c
+    assert "_count_bins" in passes if between == 10 else set(passes) == {"_counted_between"}
+
+
 def test_a_sketch_knows_its_error():
     rng = np.random.default_rng(0)
     for values in (np.arange(5000.0), rng.normal(size=5000), rng.integers(0, 9, 5000).astype(float), np.arange(5000.0)[::-1]):
@@ -163,6 +182,7 @@ def test_a_sketch_knows_its_error():
         for r, (low, high) in zip(ranks, whole.brackets(ranks)):
             assert low < ordered[r] <= high
             assert (values <= high).sum() - (values <= low).sum() <= 8 * whole.error + (values == high).sum() + 2
+            assert len(np.unique(values[(values > low) & (values <= high)])) <= whole.most_values([(low, high)])
 
 
 def test_quantiles_ignore_missing_values(spark):
