@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 READOUTS = ("single_qubit", "parity")
 FLOOR = 1e-10  # fixed value: added to a probability before its logarithm
+FACTORS = 16  # as many powers of FLOOR are far from underflow
 
 
 def is_hit(bitstring: Column, readout: str = "single_qubit") -> Column:
@@ -37,3 +38,17 @@ def log_likelihood_matrix(label: np.ndarray, prob: np.ndarray) -> np.ndarray:
     sign = np.where(label == 1, 1.0, -1.0)[:, None]
     # prob for label 1, 1 - prob otherwise, without a second matrix to choose from
     return np.log((sign < 0) + sign * prob + FLOOR)
+
+
+def log_likelihood_sums(label: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The sum of ``log_likelihood_matrix`` per candidate; ``prob`` is overwritten.
+
+    A logarithm costs more than all else, so ``FACTORS`` likelihoods, none below ``FLOOR``, are multiplied first.
+    """
+    other = label != 1
+    prob *= np.where(other, -1.0, 1.0)[:, None]
+    prob += other[:, None]
+    prob += FLOOR
+    whole = len(prob) // FACTORS
+    factors = prob[:whole * FACTORS].reshape(FACTORS, whole, prob.shape[1]).prod(axis=0)
+    return np.log(factors).sum(axis=0) + np.log(prob[whole * FACTORS:]).sum(axis=0)

@@ -21,16 +21,23 @@ def product_form(x: list[Column], w: list[Column]) -> Column:
 
 def logistic_matrix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """``logistic`` of every row of x under every row of w."""
-    logits = x @ w[:, :x.shape[1]].T + w[:, x.shape[1]:].sum(axis=1)
+    out = x @ -w[:, :x.shape[1]].T
+    out -= w[:, x.shape[1]:].sum(axis=1)
     with np.errstate(over="ignore"):
-        return 1.0 / (1.0 + np.exp(-logits))
+        np.exp(out, out=out)
+    out += 1.0
+    return np.divide(1.0, out, out=out)
 
 
 def product_matrix(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """``product_form`` of every row of x under every row of w."""
     out = np.ones((len(x), len(w)))
     for k in range(min(x.shape[1], w.shape[1])):
-        out *= np.sin((x[:, k, None] + w[None, :, k]) / 2) ** 2
+        part = x[:, k, None] + w[None, :, k]
+        part /= 2
+        np.sin(part, out=part)
+        part *= part
+        out *= part
     return out
 
 

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.functions.readout import log_likelihood, log_likelihood_matrix
+from tallysift.functions.readout import log_likelihood, log_likelihood_sums
 from tallysift.functions.scores import MATRIX_SCORES, SCORES
 from tallysift.operators.blocks import add_up, is_packed, matrices, pack
 
 Score = Callable[[list[Column], list[Column]], Column]
 MAX_PARAMETERS = 1_000_000
-STEP_SCORES = 1 << 21
+#: Scores, and candidates, that a step of a task forms at once: as many as stay in a core's cache.
+STEP_SCORES, STEP_CANDIDATES = 1 << 14, 128
 
 
 def score_builder(score: str | Score) -> Score:
@@ -76,12 +77,14 @@ def packed_samples(samples: DataFrame, features: list[str], label: str) -> DataF
 
 
 def _likelihoods(values: np.ndarray, candidates: np.ndarray, matrix: Callable) -> np.ndarray:
-    """Sums per candidate over the rows of ``values`` (features, then the label), a few million scores at a time."""
+    """Sums per candidate over the rows of ``values`` (features, then the label), some thousand scores at a time."""
     total = np.zeros(len(candidates))
-    width = max(1, STEP_SCORES // max(1, len(values)))
-    for at in range(0, len(candidates), width):
-        prob = matrix(values[:, :-1], candidates[at:at + width])
-        total[at:at + width] = log_likelihood_matrix(values[:, -1], prob).sum(axis=0)
+    for at in range(0, len(candidates), STEP_CANDIDATES):
+        some = candidates[at:at + STEP_CANDIDATES]
+        rows = STEP_SCORES // len(some)
+        for k in range(0, len(values), rows):
+            part = values[k:k + rows]
+            total[at:at + STEP_CANDIDATES] += log_likelihood_sums(part[:, -1], matrix(part[:, :-1], some))
     return total
 
 

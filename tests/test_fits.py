@@ -160,6 +160,43 @@ def test_log_likelihood_forms_agree(spark):
     assert got.tolist() == pytest.approx(want, rel=1e-14) and math.isfinite(min(want))
 
 
+@pytest.mark.parametrize("rows", [0, 5, 16, 50, 4096])
+def test_sums_of_likelihoods_take_few_logarithms(monkeypatch, rows):
+    """All-wrong certainties, too, whose products must not underflow."""
+    from tallysift.functions import readout
+    rng = np.random.default_rng(rows)
+    labels, probs = rng.integers(0, 2, rows), rng.random((rows, 3))
+    probs[:, 1] = 1 - labels
+    want = readout.log_likelihood_matrix(labels, probs).sum(axis=0)
+    taken, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda x: taken.append(x.size) or log(x))
+    assert readout.log_likelihood_sums(labels, probs).tolist() == pytest.approx(want.tolist(), rel=1e-12)
+    assert sum(taken) <= 3 * (rows // 16 + 15)
+
+
+def test_random_features_are_cosines_of_any_size():
+    rng = np.random.default_rng(2)
+    x, waves, phases = rng.normal(0, 40, (1000, 3)), rng.normal(size=(7, 3)), rng.uniform(0, 2 * math.pi, 7)
+    want = math.sqrt(2 / 7) * np.cos(x @ waves.T + phases)
+    held = np.zeros((1000, 9))
+    assert np.abs(baselines.fourier_features(x, waves, phases) - want).max() < 1e-12
+    baselines.fourier_features(x, waves, phases, out=held[:, 1:8])
+    assert np.abs(held[:, 1:8] - want).max() < 1e-12 and not held[:, [0, 8]].any()
+
+
+def test_calibration_reads_stored_decisions(spark):
+    """Decision values are formed once; blocks of (decision, label) calibrate as the features do."""
+    from tallysift.operators import margin_fit
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(a + b + c > 0)) for a, b, c in rng.normal(size=(3000, 3))] + [(None, 1.0, 0.0)]
+    packed = blocks.pack(spark.createDataFrame(rows, "a double, b double, y double").repartition(3), ["a", "b", "y"])
+    fit = margin_fit.MarginFit(np.array([1.0, 0.5]), 0.25, 0.0, 0.0, 0)
+    decided = blocks.mapped(packed, 3, lambda x: np.column_stack([margin_fit.decisions(x[:, :2], lambda z: z, fit), x[:, 2]]))
+    assert decided.agg(F.sum("nulls")).first()[0] == 1
+    want = margin_fit.fit_calibration(packed, 2, lambda x: x @ fit.weights + fit.bias)
+    assert margin_fit.fit_calibration(decided, 1, lambda x: x[:, 0]) == pytest.approx(want, rel=1e-9)
+
+
 # -- subsets
 
 @pytest.mark.parametrize("seed", range(3))
