@@ -13,11 +13,15 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.operators.blocks import add_up, pack, persist_blocks
-from tallysift.operators.margin_fit import fit_calibration, fit_margin
+from tallysift.operators.blocks import add_up, mapped, pack, persist_blocks
+from tallysift.operators.margin_fit import decisions, fit_calibration, fit_margin
 from tallysift.session import persist_evenly
 
 NAMES = ("LogReg", "SVM-RBF")  # fixed values: model names in comparison tables
+LIFTED_ROWS = 128
+#: Of sin(2 pi t) / t in t * t up to a quarter turn, off by 1e-16 at most between the points of interpolation.
+SINE = np.polynomial.Chebyshev.interpolate(
+    lambda s: 2 * math.pi * np.sinc(2 * np.sqrt(s)), 9, [0, 1 / 16]).convert(kind=np.polynomial.Polynomial).coef
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str = "label", max_iter: int = 1000,
@@ -73,7 +77,7 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
 
     gamma = 1 / (number of features x variance of all feature values). Neither the kernel matrix, which
     grows with the square of the rows, nor a row's random features are ever stored: each pass forms them
-    block by block. ``converged`` tells whether the duality gap came below ``tol`` of the objective within
+    block by block; only the decision values are, for the calibration. ``converged`` tells whether the duality gap came below ``tol`` of the objective within
     ``max_iter`` passes. Probabilities come from a logistic fit on the decision value (Platt 1999).
     Rows with a null feature are left out.
     """
@@ -90,16 +94,42 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     phases = rng.uniform(0.0, 2 * math.pi, width)
     lift = partial(fourier_features, frequencies=frequencies, phases=phases)
     fit = fit_margin(blocks, count, width, lift, tol, max_iter)
-    calibration = fit_calibration(blocks, count, lambda x: lift(x) @ fit.weights + fit.bias)
+    decided = mapped(blocks, count + 1, lambda x: np.column_stack([decisions(x[:, :count], lift, fit), x[:, count]])).persist()
+    decided.count()
     blocks.unpersist()
+    calibration = fit_calibration(decided, 1, lambda x: x[:, 0])
+    decided.unpersist()
     return KernelModel(
         tuple(map(tuple, frequencies.tolist())), tuple(phases.tolist()),
         Separator(DenseVector(fit.weights), fit.bias), calibration, fit.gap <= tol, fit.objective, fit.gap, fit.passes)
 
 
-def fourier_features(x: np.ndarray, frequencies: np.ndarray, phases: np.ndarray) -> np.ndarray:
-    """cos(w.x + b) * sqrt(2 / width) for every random frequency."""
-    return math.sqrt(2.0 / len(phases)) * np.cos(x @ frequencies.T + phases)
+def fourier_features(x: np.ndarray, frequencies: np.ndarray, phases: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """cos(w.x + b) * sqrt(2 / width) for every random frequency, written to ``out`` if there is one.
+
+    The cosine of t turns is the sine of what is left to a quarter turn, here by a polynomial over a few rows that stay in
+    the cache: as exact as the library's, and some times faster.
+    """
+    width = len(phases)
+    out = np.empty((len(x), width)) if out is None else out
+    waves, shifts = (frequencies / (2 * math.pi)).T, phases / (2 * math.pi)
+    sine, (turns, squares, sums) = SINE * math.sqrt(2.0 / width), np.empty((3, LIFTED_ROWS, width))
+    for at in range(0, len(x), LIFTED_ROWS):
+        rows = x[at:at + LIFTED_ROWS]
+        left, square, total = turns[:len(rows)], squares[:len(rows)], sums[:len(rows)]
+        np.matmul(rows, waves, out=left)
+        left += shifts
+        left -= np.rint(left, out=square)
+        np.abs(left, out=left)
+        np.subtract(0.25, left, out=left)
+        np.multiply(left, left, out=square)
+        np.multiply(square, sine[-1], out=total)
+        for c in sine[-2:0:-1]:
+            total += c
+            total *= square
+        total += sine[0]
+        np.multiply(total, left, out=out[at:at + LIFTED_ROWS])
+    return out
 
 
 def kernel_margins(model: KernelModel, df: DataFrame, features: list[str], name: str = "margin") -> DataFrame:

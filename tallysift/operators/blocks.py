@@ -78,6 +78,17 @@ def matrices(batch: pa.RecordBatch, columns: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, columns)
 
 
+def mapped(blocks: DataFrame, columns: int, step: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks of ``step(matrix)``, which keeps the rows; matrices have ``columns`` columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([step(values).tobytes() for values in matrices(batch, columns)], pa.binary()), batch.column(1)],
+                names=["block", "nulls"])
+
+    return blocks.mapInArrow(run, "block binary, nulls long")
+
+
 def add_up(blocks: DataFrame, columns: int, size: int, step: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all blocks of ``step(matrix)``, an array of ``size`` doubles; matrices have ``columns`` columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

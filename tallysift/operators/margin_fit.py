@@ -11,7 +11,7 @@ The rows carry no dual variables: nothing per row is kept, written or lost betwe
 came. What a task sends has the size of that matrix.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ RIDGE = 1e-6
 WIDEST, NARROWING = 1.0, 0.1
 #: The direction is done when it promises less than this share of what the smoothing costs.
 DONE = 0.3
+#: Rows whose random features are held at once.
+PIECE_ROWS = 1024
 STEPS = np.array([1.0, 0.7, 0.5, 0.35, 0.25, 0.17, 0.1, 0.05, 0.02, 1.4, 2.0])
 
 
@@ -35,26 +37,34 @@ class MarginFit:
     passes: int
 
 
-def fit_margin(blocks: DataFrame, features: int, width: int, lift: Callable[[np.ndarray], np.ndarray], tol: float,
+def fit_margin(blocks: DataFrame, features: int, width: int, lift: Callable[..., np.ndarray], tol: float,
                max_passes: int) -> MarginFit:
-    """``blocks``: packed features and a label of 0 or 1; ``lift``: features to ``width`` random features."""
+    """``blocks``: packed features and a label of 0 or 1; ``lift``: features to ``width`` random features,
+    written to ``out``."""
     n = width + 1
     upper = np.triu_indices(n)
 
-    def rows_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = np.hstack([lift(values[:, :features]), np.ones((len(values), 1))])
-        return z, np.where(values[:, features] == 1, 1.0, -1.0)
+    def rows_of(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = np.empty((PIECE_ROWS, n))
+        for part in pieces(values):
+            z = held[:len(part)]
+            lift(part[:, :features], out=z[:, :width])
+            z[:, width] = 1
+            yield z, np.where(part[:, features] == 1, 1.0, -1.0)
 
     def evaluate(v: np.ndarray, h: float) -> tuple:
         def step(values: np.ndarray) -> np.ndarray:
-            z, y = rows_of(values)
-            t = 1 - y * (z @ v)
-            root = np.sqrt(t * t + 4 * h * h)
-            alpha = (1 + t / root) / 2
-            hinge, curve = np.maximum(t, 0), 2 * h * h / root ** 3
-            ones = y > 0
-            return np.concatenate([[hinge.sum(), (hinge - alpha * t).sum()], alpha[ones] @ z[ones], alpha[~ones] @ z[~ones],
-                                   (z.T @ (z * curve[:, None]))[upper]])
+            losses, slopes, second = np.zeros(2), np.zeros((2, n)), np.zeros((n, n))
+            for z, y in rows_of(values):
+                t = 1 - y * (z @ v)
+                root = np.sqrt(t * t + 4 * h * h)
+                alpha = (1 + t / root) / 2
+                hinge = np.maximum(t, 0)
+                losses += hinge.sum(), (hinge - alpha * t).sum()
+                slopes += np.where([y > 0, y < 0], alpha, 0.0) @ z
+                z *= np.sqrt(2 * h * h / root ** 3)[:, None]
+                second += z.T @ z
+            return np.concatenate([losses, *slopes, second[upper]])
 
         total = add_up(blocks, features + 1, 2 + 2 * n + len(upper[0]), step)
         (hinge, loose), up, down = total[:2], total[2:2 + n], total[2 + n:2 + 2 * n]
@@ -71,8 +81,7 @@ def fit_margin(blocks: DataFrame, features: int, width: int, lift: Callable[[np.
 
     def step_length(v: np.ndarray, move: np.ndarray, h: float) -> float:
         def step(values: np.ndarray) -> np.ndarray:
-            z, y = rows_of(values)
-            t, along = 1 - y * (z @ v), -y * (z @ move)
+            t, along = np.hstack([np.stack([1 - y * (z @ v), -y * (z @ move)]) for z, y in rows_of(values)])
             out = np.empty(len(STEPS))
             for k, size in enumerate(STEPS):
                 at = t + size * along
@@ -103,6 +112,16 @@ def fit_margin(blocks: DataFrame, features: int, width: int, lift: Callable[[np.
     return MarginFit(v[:-1], float(v[-1]), float(primal), float((primal - lower) / primal) if primal > 0 else 0.0, passes)
 
 
+def pieces(values: np.ndarray) -> Iterator[np.ndarray]:
+    for at in range(0, len(values), PIECE_ROWS):
+        yield values[at:at + PIECE_ROWS]
+
+
+def decisions(rows: np.ndarray, lift: Callable[..., np.ndarray], fit: MarginFit) -> np.ndarray:
+    """The fit's decision values for rows of features."""
+    return np.concatenate([np.zeros(0), *(lift(part) @ fit.weights + fit.bias for part in pieces(rows))])
+
+
 def fit_calibration(blocks: DataFrame, features: int, margin: Callable[[np.ndarray], np.ndarray], max_passes: int = 30) -> tuple[float, float]:
     """Slope and shift of a logistic fit on the margins (Platt 1999, with its targets of (n + 1) / (n + 2))."""
     def counts(values: np.ndarray) -> np.ndarray:
