@@ -300,6 +300,17 @@ def test_substrings_of_rows_repeated_in_bulk(docs_of):
     assert got == collections.Counter({(7, *want[0]): 1500, (None, *want[0]): 500, **{(i, *w): 1 for (i, _), w in zip(rows[2000:], want[2:])}})
 
 
+def test_substrings_of_texts_without_id_that_share_31_bits(docs_of):
+    """Texts under one id, or none, are told apart by all of their hash; these two share its upper 31 bits."""
+    passage = " ".join(f"w{k * k % 89}" for k in range(90))
+    texts = [f"122748:{passage}", f"{passage}:201567", "x" * 40]
+    docs = docs_of([(None, t) for t in texts])
+    bits = docs.select(F.shiftrightunsigned(F.xxhash64("text", F.lit(True)), 33).alias("bits"))
+    assert bits.distinct().count() == 2
+    got = substrings.deduplicate(docs, keep=["doc_id"], rest_as=None).collect()
+    assert collections.Counter(tuple(r.cut[:4]) for r in got) == collections.Counter(brute_cut([t.encode() for t in texts]))
+
+
 def test_language_model_keeps_every_gram_seen_twice(docs_of):
     """Against an automaton of all counts, over several chunks; the grams have shares far below 1e-5 of the tokens."""
     rng = random.Random(8)
