@@ -5,6 +5,7 @@ import gzip
 import math
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from test_queries import brute_classes, brute_cut, brute_fingerprint
 
 from tallysift.llm import (backoff_lm, block_labeller, decontaminate, packing, page_blocks, perspectives, quality_classifier,
                            quality_rules, simhash, substrings, warc)
+from tallysift.llm.common import noted
 from tallysift.llm.components import roots
 from tallysift.session import scratch_dir
 
@@ -337,6 +339,18 @@ def test_language_model_keeps_every_gram_seen_twice(docs_of):
         assert got[k].score == pytest.approx(auto.score(head.sequence(words).tolist()[1:], single), rel=1e-9)
 
 
+def test_language_model_answers_take_a_part_of_the_texts(docs_of):
+    """Scratch tables hold answers alone, packed: a small part of the texts."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(1000 * rng.random() ** 2)}" for _ in range(400)) for _ in range(1000)]
+    paths: list[str] = []
+    with noted(paths):
+        scored = backoff_lm.score(docs_of(list(enumerate(texts))), F.col("doc_id") % 7 != 2, keep=["doc_id"])
+    size = sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).rglob("*.parquet"))
+    assert paths and 0 < size < 0.15 * sum(map(len, texts))
+    assert scored.count() == len(texts)
+
+
 def test_pigeonring_keeps_every_close_pair():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
