@@ -3,20 +3,24 @@
 import collections
 import gzip
 import math
+import os
 import random
 import re
+import tempfile
+import time
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_queries import brute_classes, brute_cut, brute_fingerprint
 
 from tallysift.llm import (backoff_lm, block_labeller, decontaminate, packing, page_blocks, perspectives, quality_classifier,
                            quality_rules, simhash, substrings, warc)
-from tallysift.llm.common import noted
+from tallysift.llm.common import noted, stored
 from tallysift.llm.components import roots
 from tallysift.session import scratch_dir
 
@@ -541,3 +545,34 @@ def test_large_chunks_come_in_parts(spark, tmp_path):
 
 def test_scratch_folder_is_new_each_time(spark):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_language_model_asks_for_grams_in_few_bytes():
+    """Frequent words have the small numbers of their part, and 2-grams are laid without losing that."""
+    words, counts = [b"a", b"b", b"c", b"d"], np.array([2, 1, 9, 5])
+    block = (backoff_lm.WORDS, 0, 0, 4, pa.compress(b" ".join(words), codec="zstd", asbytes=True), backoff_lm.laid_bytes(counts, np.full(4, 7)))
+    reply, = backoff_lm.tally(backoff_lm.blocks_table([block]), 2).column("reply").to_pylist()
+    counted, rank = backoff_lm.read_reply(backoff_lm.WORDS, reply, 4).tolist()
+    assert counted == [2, 1, 9, 5] and (rank[0], *rank[2:]) == (2, 0, 1)
+
+    rng = np.random.default_rng(3)
+    first, last = rng.integers(0, 2_000, 5_000) ** 2, (60_000 * rng.random(5_000) ** 4).astype(np.int64)
+    for grams in (np.unique((first << backoff_lm.BITS) + last), np.zeros(0, np.int64), np.array([0, 1, backoff_lm.LAST])):
+        laid = backoff_lm.laid_grams(grams)
+        assert backoff_lm.read_grams(laid, len(grams)).tolist() == grams.tolist()
+        assert len(grams) < 100 or len(laid) < 0.8 * len(backoff_lm.laid_bytes(np.diff(grams, prepend=0)))
+
+
+def test_language_model_leaves_no_shuffles_of_what_it_stored(spark):
+    """Shuffle files of the questions go as soon as the answers are stored, and the session's setting is as before."""
+    def files():
+        local = Path(spark.sparkContext.getConf().get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir())
+        return {*local.glob("**/blockmgr-*/*/shuffle_*.data")}
+
+    setting, before = spark.conf.get(backoff_lm.FREED, None), files()
+    with backoff_lm.shuffles_freed(spark):
+        rows = stored(spark.range(5_000).repartition(7, "id"), "freed")
+    end = time.monotonic() + 30
+    while (left := files() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and rows.count() == 5_000 and spark.conf.get(backoff_lm.FREED, None) == setting
