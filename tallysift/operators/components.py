@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _fitted(rows: DataFrame, pack_up: Callable[[DataFrame], DataFrame], features
         tuple(float(v) / total if total > 0 else 0.0 for v in values))
 
 
-def _leading(blocks: DataFrame, means: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _leading(blocks: RDD, means: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k leading eigenvectors (as rows) of the centred rows' product with themselves, and their eigenvalues."""
     n = len(means)
     width = min(n, k + SPARE)

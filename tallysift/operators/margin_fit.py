@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import DataFrame
 
 from tallysift.operators.blocks import add_up
@@ -37,7 +38,7 @@ class MarginFit:
     passes: int
 
 
-def fit_margin(blocks: DataFrame, features: int, width: int, lift: Callable[..., np.ndarray], tol: float,
+def fit_margin(blocks: DataFrame | RDD, features: int, width: int, lift: Callable[..., np.ndarray], tol: float,
                max_passes: int) -> MarginFit:
     """``blocks``: packed features and a label of 0 or 1; ``lift``: features to ``width`` random features,
     written to ``out``."""
@@ -122,7 +123,7 @@ def decisions(rows: np.ndarray, lift: Callable[..., np.ndarray], fit: MarginFit)
     return np.concatenate([np.zeros(0), *(lift(part) @ fit.weights + fit.bias for part in pieces(rows))])
 
 
-def fit_calibration(blocks: DataFrame, features: int, margin: Callable[[np.ndarray], np.ndarray], max_passes: int = 30) -> tuple[float, float]:
+def fit_calibration(blocks: DataFrame | RDD, features: int, margin: Callable[[np.ndarray], np.ndarray], max_passes: int = 30) -> tuple[float, float]:
     """Slope and shift of a logistic fit on the margins (Platt 1999, with its targets of (n + 1) / (n + 2))."""
     def counts(values: np.ndarray) -> np.ndarray:
         ones = float((values[:, features] == 1).sum())

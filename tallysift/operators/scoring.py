@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +52,10 @@ def candidate_scores(
 
 
 def fit_candidate_scores(
-    samples: DataFrame, features: list[str], label: str, candidates: list[list[float]],
+    samples: DataFrame | RDD, features: list[str], label: str, candidates: list[list[float]],
     score: str | Score = "logistic",
 ) -> list[float]:
-    """The fitness of each candidate, at once. ``samples`` may be ``packed_samples`` if the score has a name: a pass
+    """The fitness of each candidate, at once. ``samples`` may be ``packed_samples``, stored or not, if the score has a name: a pass
     over them is one stage, whose tasks send a sum per candidate."""
     if not is_packed(samples):
         rows = candidate_scores(samples, features, label, candidates, score).collect()

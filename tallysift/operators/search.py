@@ -1,7 +1,7 @@
 """Population search over parameter vectors: particle swarm and differential evolution.
 
 All runs advance together; one generation is one scoring pass over the samples with the swarms of
-every run in it. For named scores the samples are packed as matrices once and persisted like that. The driver holds the swarms only (runs x population vectors).
+every run in it. For named scores the samples are packed as matrices once and stored on disk like that. The driver holds the swarms only (runs x population vectors).
 Update rules: Kennedy and Eberhart 1995 with the inertia weight of Shi and Eberhart 1998;
 Storn and Price 1997 (rand/1/bin).
 """

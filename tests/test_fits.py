@@ -23,6 +23,12 @@ def frame(spark, x, y):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", label int"), list(names)
 
 
+def kept_bytes(spark, but=()):
+    """Bytes in memory and on disk of each table that is persisted now, by its number."""
+    found = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    return {r.id(): (r.memSize(), r.diskSize()) for r in found if r.id() not in but}
+
+
 # -- passes over packed rows
 
 def test_passes_add_up_on_any_partitioning(spark, monkeypatch):
@@ -37,6 +43,29 @@ def test_passes_add_up_on_any_partitioning(spark, monkeypatch):
     assert blocks.add_up(blocks.pack(df.limit(0), ["a", "b"]), 2, 3, step).tolist() == [0, 0, 0]
 
 
+def test_stored_blocks_hold_every_row_on_all_cores(spark):
+    """Fewer parts than cores are dealt out, more stay; blocks of wide rows are cut by bytes."""
+    df = spark.range(50_000).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 7 > 0, 1.0).alias("b"))
+    known = [i for i in range(50_000) if i % 7]
+    step = lambda x: np.array([x[:, 0].sum(), x[:, 1].sum(), len(x), 1])
+    for parts in (1, 8, 70):
+        held = blocks.persist_blocks(df.coalesce(1) if parts == 1 else df.repartition(parts), lambda df: blocks.pack(df, ["a", "b"]))
+        assert held.getNumPartitions() == max(parts, 8)
+        assert blocks.add_up(held, 2, 4, step).tolist()[:3] == [sum(known), len(known), len(known)]
+        if parts == 1:
+            sizes = held.mapPartitions(lambda raws: [sum(len(raw) for raw in raws)]).collect()
+            assert min(sizes) > 0 and sum(sizes) == 16 * len(known)
+        halves = blocks.mapped(held, 2, lambda x: x[:, :1] / 2)
+        assert blocks.add_up(halves, 1, 1, lambda x: x.sum(axis=0)).tolist() == [sum(known) / 2]
+        held.unpersist()
+    wide = df.limit(3000).select(F.array_repeat("a", 300).alias("v"))
+    held = blocks.persist_blocks(wide, lambda df: blocks.pack_arrays(df, "v", 300))
+    assert max(held.map(len).collect()) <= blocks.BLOCK_BYTES
+    assert blocks.add_up(held, 300, 2, lambda x: np.array([len(x), x.sum()])).tolist() == [3000, 300 * sum(range(3000))]
+    held.unpersist()
+    assert blocks.persist_blocks(df.limit(0), lambda df: blocks.pack(df, ["a", "b"])).map(len).sum() == 0
+
+
 # -- kernel separator
 
 def exact_kernel_machine(x, y, gamma, rounds=3000):
@@ -131,6 +160,18 @@ def test_searches_agree_between_matrix_and_column_scores(spark):
         assert a.best[r] == pytest.approx(b.best[r], rel=1e-9) and a.fitness[r] == pytest.approx(b.fitness[r], rel=1e-12)
 
 
+@pytest.mark.parametrize("method", ["PSO"])
+def test_a_search_holds_no_rows_in_memory(spark, monkeypatch, method):
+    """Rows kept on the heap stop an executor once there are more than it has room for."""
+    rng = np.random.default_rng(4)
+    df, names = frame(spark, rng.normal(size=(3000, 2)), rng.integers(0, 2, 3000))
+    before, seen, score = set(kept_bytes(spark)), [], search.candidate_scores
+    monkeypatch.setattr(search, "candidate_scores", lambda *args: seen.append(kept_bytes(spark, before)) or score(*args))
+    search.fit_population(df, names, "label", method=method, generations=3, population=5)
+    assert len(seen) == 3 and all(seen)
+    assert all(memory == 0 and disk > 0 for kept in seen for memory, disk in kept.values())
+
+
 @pytest.mark.parametrize("method", search.METHODS)
 def test_a_resumed_search_goes_on_as_if_it_had_not_stopped(spark, tmp_path, method):
     rng = np.random.default_rng(4)
