@@ -13,7 +13,7 @@ from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysift.operators.blocks import add_up, mapped, pack, persist_blocks
+from tallysift.operators.blocks import add_up, mapped, pack, persist_blocks, stored
 from tallysift.operators.margin_fit import decisions, fit_calibration, fit_margin
 from tallysift.session import persist_evenly
 
@@ -94,8 +94,7 @@ def fit_kernel(train: DataFrame, features: list[str], label: str = "label", widt
     phases = rng.uniform(0.0, 2 * math.pi, width)
     lift = partial(fourier_features, frequencies=frequencies, phases=phases)
     fit = fit_margin(blocks, count, width, lift, tol, max_iter)
-    decided = mapped(blocks, count + 1, lambda x: np.column_stack([decisions(x[:, :count], lift, fit), x[:, count]])).persist()
-    decided.count()
+    decided = stored(mapped(blocks, count + 1, lambda x: np.column_stack([decisions(x[:, :count], lift, fit), x[:, count]])))
     blocks.unpersist()
     calibration = fit_calibration(decided, 1, lambda x: x[:, 0])
     decided.unpersist()

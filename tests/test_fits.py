@@ -97,6 +97,20 @@ def test_kernel_fit_agrees_with_the_exact_machine(spark):
         assert model.converged and model.gap <= 1e-3 and model.passes <= 30
 
 
+def test_kernel_fit_holds_no_rows_in_memory(spark, monkeypatch):
+    """Neither the packed rows nor the decision values, as the search."""
+    df, names = frame(spark, *ring(3000))
+    before, seen = set(kept_bytes(spark)), {}
+    for name in ("fit_margin", "fit_calibration"):
+        def looked(*args, name=name, fit=getattr(baselines, name)):
+            seen[name] = kept_bytes(spark, before)
+            return fit(*args)
+        monkeypatch.setattr(baselines, name, looked)
+    baselines.fit_kernel(df, names, max_iter=3)
+    assert set(seen) == {"fit_margin", "fit_calibration"} and all(seen.values())
+    assert all(memory == 0 and disk > 0 for kept in seen.values() for memory, disk in kept.values())
+
+
 def test_kernel_gap_bounds_the_optimum(spark):
     """No other separator on the same features is better by more than the gap."""
     x, y = ring(800, 3)
