@@ -58,8 +58,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @frees()
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full token windows, sources mixed as they come."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), ids=False)
+    """Pieces of full token windows, sources mixed as they come. Documents are queued by their ids: the pieces don't depend
+    on the partitions and files that earlier stages have left."""
+    return packing.pack(docs.orderBy("doc_id", F.xxhash64("text")), public_tokenizers.path(TOKENIZER), ids=False)
 
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages),
